@@ -101,25 +101,28 @@ def rewrite_leaves(leaves: Column, kept: Column, placed: Column) -> Column:
     return let(offsets(counts), rewritten)
 
 
-def scrub_leaves(
-    leaves: Column,
-    findings_of_leaf: Callable[[Column], Column],
-    base: Callable[[Column], Column] | None = None,
-) -> Column:
+def scrub_kept(leaves: Column, kept: Column, base: Callable[[Column], Column] | None = None) -> Column:
+    """Number what was kept in each leaf and rewrite: ``struct<leaves, placed>``."""
+    return let(
+        number(kept, base),
+        lambda placed: F.struct(
+            rewrite_leaves(leaves, kept, placed).alias("leaves"), placed.alias("placed")
+        ),
+    )
+
+
+def scrub_leaves(leaves: Column, findings_of_leaf: Callable[[Column], Column]) -> Column:
     """Detect, resolve, number and rewrite: ``struct<findings, leaves, placed>``.
 
     ``findings`` has an array for each leaf, with every finding; ``placed`` lists the replaced ones.
     """
 
-    def finish(findings: Column, kept: Column) -> Column:
-        return let(
-            number(kept, base),
-            lambda placed: F.struct(
-                findings.alias("findings"), rewrite_leaves(leaves, kept, placed).alias("leaves"), placed.alias("placed")
-            ),
-        )
+    def finish(findings: Column, done: Column) -> Column:
+        return F.struct(findings.alias("findings"), done["leaves"].alias("leaves"), done["placed"].alias("placed"))
 
     return let(
         F.transform(leaves, findings_of_leaf),
-        lambda findings: let(F.transform(findings, resolve), lambda kept: finish(findings, kept)),
+        lambda findings: let(
+            scrub_kept(leaves, F.transform(findings, resolve)), lambda done: finish(findings, done)
+        ),
     )
