@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkblot.functions.arrays import let
 from inkblot.functions.dialect import SPACE
-from inkblot.functions.spans import regex_spans
+from inkblot.functions.spans import place, regex_hit, regex_spans
 
 # Token separators, least token length, threshold in bits.
 TOKEN_CLASS = r"[^\s\"'\(\)\{\}\[\]=,;:\\]"
@@ -46,8 +46,12 @@ def is_candidate(token: Column) -> Column:
     return (F.length(token) >= MIN_TOKEN_LENGTH) & ~token.rlike(r"^[a-zA-Z_]+\z")
 
 
-def high_entropy_spans(text: Column, threshold: float = ENTROPY_THRESHOLD) -> Column:
+def high_entropy_hit(text: Column, threshold: float = ENTROPY_THRESHOLD) -> Column:
     """Tokens above ``threshold``. Most words fail :func:`is_candidate`, so the pattern skips them."""
     separators = f"(?:[{_TOKEN[2:]}|\\z)"
     pattern = f"(?<!{_TOKEN})(?![a-zA-Z_]++{separators}){_TOKEN}{{{least_length(threshold)},}}+"
-    return regex_spans(text, pattern, keep=lambda token: shannon_entropy(token) > threshold)
+    return regex_hit(text, pattern, keep=lambda token: shannon_entropy(token) > threshold)
+
+
+def high_entropy_spans(text: Column, threshold: float = ENTROPY_THRESHOLD) -> Column:
+    return let(high_entropy_hit(text, threshold), place)

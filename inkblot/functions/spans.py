@@ -1,4 +1,9 @@
-"""Where a pattern or a literal occurs in a text: native expressions, no Python per row."""
+"""Where a pattern or a literal occurs in a text: native expressions, no Python per row.
+
+Matching and placing are two steps. A *hit* holds the matches of one pattern and the sizes of the
+texts between them; :func:`place` turns hits into spans. So a scan with many rules places all their
+hits with one expression.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,12 @@ from pyspark.sql import functions as F
 from inkblot.functions.arrays import empty, let, offsets
 from inkblot.functions.dialect import SPACE, WORD
 
+# wanted: indices of the matches to place; words: how many matches in a row make one span;
+# gaps: the texts between matches, kept only where spans of several words need them.
+HIT = (
+    "struct<matches:array<string>,chars:array<int>,octets:array<int>,wanted:array<int>,"
+    "words:int,gaps:array<string>>"
+)
 # start and end count code points, half open; bstart and bend count UTF-8 bytes, so that pieces of
 # the text can later be cut out of its binary form without walking it from the front each time.
 SPAN = "struct<start:int,end:int,bstart:int,bend:int,snippet:string>"
@@ -19,48 +30,67 @@ def _indices(array: Column) -> Column:
     return F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(empty("int"))
 
 
-def _place(matches: Column, gaps: Column, wanted: Column, words: int = 1) -> Column:
-    """Offsets from the matches and the texts between them.
+def _hit(matches: Column, gaps: Column, wanted: Column, words: int = 1) -> Column:
+    return F.struct(
+        matches.alias("matches"),
+        F.transform(gaps, lambda g: F.length(g)).alias("chars"),
+        F.transform(gaps, lambda g: F.octet_length(g)).alias("octets"),
+        wanted.alias("wanted"),
+        F.lit(words).alias("words"),
+        (gaps if words > 1 else F.lit(None).cast("array<string>")).alias("gaps"),
+    )
 
-    A span runs over ``words`` matches, from each index in ``wanted``. A match starts after all
-    earlier gaps and matches and its own gap. Only sizes go through the running sum, not the texts.
-    """
 
-    def before(size: Callable[[Column], Column]) -> Column:
-        own_gaps = F.slice(gaps, F.lit(1), F.size(matches))
-        return offsets(F.zip_with(matches, own_gaps, lambda m, g: size(m) + size(g)))
+def place(hit: Column) -> Column:
+    """The spans of a hit; none for a null one.
+
+    A match starts after all earlier gaps and matches and its own gap. Only sizes go through the
+    running sum, not the texts.
+    """
+    matches = hit["matches"]
 
-    def begin(sums: Column, i: Column, size: Callable[[Column], Column]) -> Column:
-        return F.get(sums, i) + size(F.get(gaps, i))
+    def before(gap_sizes: Column, size: Callable[[Column], Column]) -> Column:
+        own = F.slice(gap_sizes, F.lit(1), F.size(matches))
+        return offsets(F.zip_with(matches, own, lambda m, g: size(m) + g))
 
     def spans(chars: Column, octets: Column) -> Column:
+        def snippet(i: Column, j: Column) -> Column:
+            pieces = F.transform(
+                F.sequence(i, j),
+                lambda k: F.when(k == i, F.get(matches, k)).otherwise(F.concat(F.get(hit["gaps"], k), F.get(matches, k))),
+            )
+            return F.when(i == j, F.get(matches, i)).otherwise(F.array_join(pieces, ""))
+
         def one(i: Column) -> Column:
-            j = i + (words - 1) if words > 1 else i
-            more = [part for k in range(1, words) for part in (F.get(gaps, i + k), F.get(matches, i + k))]
-            snippet = F.concat(F.get(matches, i), *more) if more else F.get(matches, i)
+            j = i + hit["words"] - 1
+            last = F.get(matches, j)
             return F.struct(
-                begin(chars, i, F.length).alias("start"),
-                (begin(chars, j, F.length) + F.length(F.get(matches, j))).alias("end"),
-                begin(octets, i, F.octet_length).alias("bstart"),
-                (begin(octets, j, F.octet_length) + F.octet_length(F.get(matches, j))).alias("bend"),
-                snippet.alias("snippet"),
+                (F.get(chars, i) + F.get(hit["chars"], i)).alias("start"),
+                (F.get(chars, j) + F.get(hit["chars"], j) + F.length(last)).alias("end"),
+                (F.get(octets, i) + F.get(hit["octets"], i)).alias("bstart"),
+                (F.get(octets, j) + F.get(hit["octets"], j) + F.octet_length(last)).alias("bend"),
+                snippet(i, j).alias("snippet"),
             )
 
-        return F.transform(wanted, one)
+        return F.transform(hit["wanted"], one)
 
-    return let(before(F.length), lambda chars: let(before(F.octet_length), lambda octets: spans(chars, octets)))
+    placed = let(
+        before(hit["chars"], F.length),
+        lambda chars: let(before(hit["octets"], F.octet_length), lambda octets: spans(chars, octets)),
+    )
+    return F.when(hit.isNotNull(), placed).otherwise(empty(SPAN))
 
 
-def regex_spans(
+def regex_hit(
     text: Column,
     java_regex: str,
     guard: Sequence[str] = (),
     keep: Callable[[Column], Column] | None = None,
 ) -> Column:
-    """Every non-overlapping match, left to right, that ``keep`` accepts.
+    """Every non-overlapping match, left to right, that ``keep`` accepts; null if there is none.
 
     ``guard`` lists literals of which every matching text holds at least one: a byte search that
-    saves most texts the regular expression. Offsets are worked out only where a match is kept.
+    saves most texts the regular expression. The text is split only where a match is kept.
     """
     found = F.regexp_extract_all(text, F.lit(java_regex), F.lit(0))
     if guard:
@@ -69,66 +99,76 @@ def regex_spans(
             present = present | F.contains(text, F.lit(literal))
         found = F.when(present, found)
 
+    def hit(matches: Column, wanted: Column) -> Column:
+        gaps = F.split(text, java_regex, -1)
+        return F.when(F.size(wanted) > 0, let(gaps, lambda gaps: _hit(matches, gaps, wanted)))
+
     def kept(matches: Column) -> Column:
         return F.filter(_indices(matches), lambda i: keep(F.get(matches, i))) if keep else _indices(matches)
 
-    def place(matches: Column, wanted: Column) -> Column:
-        return F.when(
-            F.size(wanted) > 0,
-            let(F.split(text, java_regex, -1), lambda gaps: _place(matches, gaps, wanted)),
-        ).otherwise(empty(SPAN))
+    return let(found, lambda ms: let(kept(ms), lambda wanted: hit(ms, wanted)))
 
-    return F.coalesce(let(found, lambda ms: let(kept(ms), lambda wanted: place(ms, wanted))), empty(SPAN))
 
-
-def literal_spans(text: Column, literal: Column) -> Column:
-    """Every non-overlapping occurrence of a (non-empty) literal, left to right."""
+def literal_hit(text: Column, literal: Column) -> Column:
+    """Every non-overlapping occurrence of a (non-empty) literal, left to right; null if none."""
     quoted = F.concat(F.lit("\\Q"), F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
-    def place(gaps: Column, matches: Column) -> Column:
-        return _place(matches, gaps, _indices(matches))
+    def hit(gaps: Column) -> Column:
+        return let(F.array_repeat(literal, F.size(gaps) - 1), lambda ms: _hit(ms, gaps, _indices(ms)))
+
+    return F.when(F.contains(text, literal), let(F.split(text, quoted, -1), hit))
 
-    return F.when(
-        F.contains(text, literal),
-        let(
-            F.split(text, quoted, -1),
-            lambda gaps: let(F.array_repeat(literal, F.size(gaps) - 1), lambda ms: place(gaps, ms)),
-        ),
-    ).otherwise(empty(SPAN))
+
+def single_hit(snippet: Column, before: Column) -> Column:
+    """One span of which the text, and what comes before it, is known."""
+    return _hit(F.array(snippet), F.array(before), F.array(F.lit(0)))
 
 
 # Names are made of words: letters, digits and inner marks such as the ones in "O'Neil" or "Unit#7".
 NAME_WORD = rf"[{WORD}](?:[{WORD}#'’&.-]*[{WORD}])?"
 
 
-def ngram_spans(text: Column, words: int, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Runs of ``words`` words with only white space between, whose look-up key ``keep`` accepts.
+def ngram_hits(text: Column, keep: dict[int, Callable[[Column], Column] | None]) -> Column:
+    """For each number of words, runs of that many words whose look-up key is accepted.
 
-    The look-up key (:func:`ngram_key`) is the words in lower case, one blank apart.
+    Only white space may stand between the words. The look-up key (:func:`ngram_key`) is the words
+    in lower case, one blank apart.
     """
 
-    def wanted(matches: Column, gaps: Column) -> Column:
+    def wanted(matches: Column, gaps: Column, words: int) -> Column:
         def accepted(i: Column) -> Column:
             test = i + words <= F.size(matches)
-            if keep:
-                test = test & keep(F.lower(F.array_join(F.slice(matches, i + 1, F.lit(words)), " ")))
+            if keep[words]:
+                test = test & keep[words](F.lower(F.array_join(F.slice(matches, i + 1, F.lit(words)), " ")))
             for k in range(1, words):
                 test = test & F.get(gaps, i + k).rlike(f"^[{SPACE}]+\\z")
             return test
 
         return F.filter(_indices(matches), accepted)
 
-    def place(matches: Column, gaps: Column, wanted: Column) -> Column:
-        return F.when(F.size(wanted) > 0, _place(matches, gaps, wanted, words)).otherwise(empty(SPAN))
+    def of_size(matches: Column, gaps: Column, words: int) -> Column:
+        return let(
+            wanted(matches, gaps, words),
+            lambda want: F.when(F.size(want) > 0, _hit(matches, gaps, want, words)),
+        )
+
+    def hits(matches: Column, gaps: Column) -> Column:
+        return F.array(*[of_size(matches, gaps, n) for n in sorted(keep)])
 
     return let(
         F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0)),
-        lambda ms: let(
-            F.split(text, NAME_WORD, -1),
-            lambda gaps: let(wanted(ms, gaps), lambda want: place(ms, gaps, want)),
-        ),
+        lambda ms: let(F.split(text, NAME_WORD, -1), lambda gaps: hits(ms, gaps)),
     )
 
 
 def ngram_key(snippet: Column) -> Column:
     return F.lower(F.regexp_replace(snippet, f"[{SPACE}]+", " "))
+
+
+def regex_spans(text: Column, java_regex: str, guard: Sequence[str] = ()) -> Column:
+    return let(regex_hit(text, java_regex, guard), place)
+
+
+def ngram_spans(text: Column, words: int) -> Column:
+    """Every run of ``words`` words."""
+    return let(F.get(ngram_hits(text, {words: None}), F.lit(0)), place)

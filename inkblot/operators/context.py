@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkblot.functions.arrays import empty, let
-from inkblot.functions.spans import SPAN, literal_spans
+from inkblot.functions.spans import HIT, literal_hit, single_hit
 
 # The helpers below run in Python workers, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SITES = "array<struct<form:string,name:string,literal:string>>"
 LITERALS = "array<struct<literal:string,copies:int>>"
-ASSIGNED = f"struct<span:{SPAN},sub:int,copies:int>"
+ASSIGNED = f"struct<sub:int,copies:int,hit:{HIT}>"
 
 # A literal that is not found verbatim is looked up by this much of its two ends.
 EDGE = 20
@@ -132,29 +132,20 @@ def _by_edges(text: Column, literal: Column) -> Column:
     """
     head, tail = F.substring(literal, F.lit(1), F.lit(EDGE)), F.right(literal, F.lit(EDGE))
 
-    def span(begin: Column, tail_at: Column) -> Column:
+    def hit(begin: Column, tail_at: Column) -> Column:
         snippet = F.substring(text, begin, tail_at + EDGE - begin)
-        before = F.octet_length(F.substring(text, F.lit(1), begin - 1))
-        return F.struct(
-            (begin - 1).alias("start"), (begin - 1 + F.length(snippet)).alias("end"),
-            before.alias("bstart"), (before + F.octet_length(snippet)).alias("bend"),
-            snippet.alias("snippet"),
-        )
+        return F.when(tail_at > 0, single_hit(snippet, F.substring(text, F.lit(1), begin - 1)))
 
     return let(
         F.call_function("locate", head, text, F.lit(1)),
         lambda begin: F.when(
-            begin > 0,
-            let(
-                F.call_function("locate", tail, text, begin),
-                lambda tail_at: F.when(tail_at > 0, F.array(span(begin, tail_at))),
-            ),
+            begin > 0, let(F.call_function("locate", tail, text, begin), lambda tail_at: hit(begin, tail_at))
         ),
     )
 
 
-def assigned_spans(text: Column, literals: Column) -> Column:
-    """Every occurrence of every literal of :func:`suspicious_literals`.
+def assigned_hits(text: Column, literals: Column) -> Column:
+    """Every occurrence of every literal of :func:`suspicious_literals`, a hit for each literal.
 
     Two sites with one value find the same spans twice. Such copies are counted in ``copies``
     instead of being repeated, since their number grows with the square of the source.
@@ -163,9 +154,7 @@ def assigned_spans(text: Column, literals: Column) -> Column:
     def of_literal(x: Column, sub: Column) -> Column:
         literal = x["literal"]
         edges = F.when(F.contains(literal, F.lit("\n")), _by_edges(text, literal))
-        spans = F.when(F.contains(text, literal), literal_spans(text, literal)).otherwise(
-            F.coalesce(edges, empty(SPAN))
-        )
-        return F.transform(spans, lambda s: F.struct(s.alias("span"), sub.alias("sub"), x["copies"].alias("copies")))
+        found = F.coalesce(literal_hit(text, literal), edges)
+        return F.struct(sub.alias("sub"), x["copies"].alias("copies"), found.alias("hit"))
 
-    return F.coalesce(F.flatten(F.transform(literals, of_literal)), empty(ASSIGNED))
+    return F.coalesce(F.transform(literals, of_literal), empty(ASSIGNED))

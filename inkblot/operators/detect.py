@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkblot.functions.arrays import empty
-from inkblot.functions.entropy import high_entropy_spans
-from inkblot.functions.spans import ngram_spans, regex_spans
-from inkblot.operators.context import assigned_spans
+from inkblot.functions.entropy import high_entropy_hit
+from inkblot.functions.spans import ngram_hits, place, regex_hit
+from inkblot.operators.context import assigned_hits
 from inkblot.rules import Rule, ScanConfig
 
 # The first four fields make the natural order of findings the order in which overlaps are
@@ -25,37 +24,25 @@ FINDING = (
 )
 
 
-def _findings(spans: Column, rule: Rule) -> Column:
-    return F.transform(spans, lambda s: _finding(s, rule, F.lit(0), F.lit(1)))
+def _names(text: Column, rule: Rule, names: Sequence[str]) -> Column:
+    by_words: dict[int, list[str]] = {}
+    for name in names:
+        by_words.setdefault(len(name.split(" ")), []).append(name)
+    keep = {n: (lambda key, listed=listed: key.isin(listed)) for n, listed in by_words.items()}
+    return F.transform(ngram_hits(text, keep), lambda hit: _entry(rule, hit))
 
 
-def _finding(span: Column, rule: Rule, sub: Column, copies: Column) -> Column:
-    return F.struct(
-        (-span["start"]).alias("from_end"),
-        F.lit(-rule.priority).alias("rank"),
-        F.lit(rule.ordinal).alias("ordinal"),
-        sub.alias("sub"),
-        span["start"].alias("start"), span["end"].alias("end"),
-        span["bstart"].alias("bstart"), span["bend"].alias("bend"),
-        F.lit(rule.label).alias("label"),
-        span["snippet"].alias("snippet"),
-        F.lit(rule.detector).alias("detector"),
-        F.lit(rule.weight).alias("weight"),
-        copies.alias("copies"),
-    )
+def _assigned(text: Column, rule: Rule, literals: Column) -> Column:
+    return F.transform(assigned_hits(text, literals), lambda x: _entry(rule, x["hit"], x["sub"], x["copies"]))
 
 
-def _name_findings(text: Column, rule: Rule, names: Sequence[str], code: bool) -> Column:
-    by_words: dict[int, list[str]] = {}
-    for name in names:
-        by_words.setdefault(len(name.split(" ")), []).append(name)
-    arrays = [
-        ngram_spans(text, n, keep=lambda key, listed=listed: key.isin(listed)) for n, listed in sorted(by_words.items())
-    ]
-    spans = F.concat(*arrays)
-    if code and rule.label == "PERSON":
-        spans = F.filter(spans, lambda s: looks_like_person(s["snippet"]))
-    return _findings(spans, rule)
+def _entry(rule: Rule, hit: Column, sub: Column | None = None, copies: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(rule.ordinal).alias("rule"),
+        (F.lit(0) if sub is None else sub).alias("sub"),
+        (F.lit(1) if copies is None else copies).alias("copies"),
+        hit.alias("hit"),
+    )
 
 
 def looks_like_person(snippet: Column) -> Column:
@@ -63,15 +50,19 @@ def looks_like_person(snippet: Column) -> Column:
     return ~snippet.rlike(r"[_\p{Nd}]")
 
 
-def rule_findings(text: Column, rule: Rule, config: ScanConfig, code: bool, literals: Column | None) -> Column:
-    if rule.detector == "entropy":
-        return _findings(high_entropy_spans(text, config.entropy_threshold), rule)
-    if rule.detector == "context":
-        found = assigned_spans(text, literals)
-        return F.transform(found, lambda x: _finding(x["span"], rule, x["sub"], x["copies"]))
-    if rule.detector == "names":
-        return _name_findings(text, rule, config.names_for(rule.label), code)
-    return _findings(regex_spans(text, rule.java, rule.guard), rule)
+def _entries(text: Column, rules: Sequence[Rule], config: ScanConfig, literals: Column | None) -> Column:
+    """What each rule hits, as one array."""
+    single, several = [], []
+    for rule in rules:
+        if rule.detector == "context":
+            several.append(_assigned(text, rule, literals))
+        elif rule.detector == "names":
+            several.append(_names(text, rule, config.names_for(rule.label)))
+        elif rule.detector == "entropy":
+            single.append(_entry(rule, high_entropy_hit(text, config.entropy_threshold)))
+        else:
+            single.append(_entry(rule, regex_hit(text, rule.java, rule.guard)))
+    return F.concat(*([F.array(*single)] if single else []), *several)
 
 
 def findings_of(text: Column, kind: str, config: ScanConfig, literals: Column | None = None) -> Column:
@@ -79,10 +70,35 @@ def findings_of(text: Column, kind: str, config: ScanConfig, literals: Column |
 
     ``literals`` holds the suspicious literals of a source (the context detector's input).
     """
-    code = kind == "CODE"
     rules = [r for r in config.rules(kind) if r.detector != "context" or literals is not None]
-    found = F.concat(*[rule_findings(text, r, config, code, literals) for r in rules]) if rules else empty(FINDING)
+
+    def of_rule(values: Sequence, entry: Column) -> Column:
+        # what a rule has besides its pattern is looked up by its place in the rule set
+        return F.get(F.array(*map(F.lit, values)), entry["rule"])
+
+    def findings(entry: Column) -> Column:
+        def finding(span: Column) -> Column:
+            return F.struct(
+                (-span["start"]).alias("from_end"),
+                of_rule([-r.priority for r in rules], entry).alias("rank"),
+                entry["rule"].alias("ordinal"),
+                entry["sub"].alias("sub"),
+                span["start"].alias("start"), span["end"].alias("end"),
+                span["bstart"].alias("bstart"), span["bend"].alias("bend"),
+                of_rule([r.label for r in rules], entry).alias("label"),
+                span["snippet"].alias("snippet"),
+                of_rule([r.detector for r in rules], entry).alias("detector"),
+                of_rule([r.weight for r in rules], entry).alias("weight"),
+                entry["copies"].alias("copies"),
+            )
+
+        return F.transform(place(entry["hit"]), finding)
+
+    hits = F.filter(_entries(text, rules, config, literals), lambda e: e["hit"].isNotNull())
+    found = F.flatten(F.transform(hits, findings))
     if config.ignore:
         ignored = sorted(config.ignore)
         found = F.filter(found, lambda f: ~f["snippet"].isin(ignored))
+    if kind == "CODE" and any(r.detector == "names" for r in rules):
+        found = F.filter(found, lambda f: (f["label"] != "PERSON") | looks_like_person(f["snippet"]))
     return F.sort_array(found)

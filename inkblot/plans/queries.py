@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkblot.functions.entropy import high_entropy_spans, is_candidate, shannon_entropy, token_spans
 from inkblot.functions.routing import format_of, kind_of
 from inkblot.functions.spans import regex_spans
-from inkblot.operators.context import assign_sites, assigned_spans, suspicious_literals
+from inkblot.operators.context import assign_sites
 from inkblot.operators.detect import looks_like_person
 from inkblot.operators.findings import allow_large, drop_allowed, findings_json, findings_table
 from inkblot.operators.names import add_names, name_spans
@@ -124,11 +124,8 @@ def query_assign_sites(spark, sf):
 
 
 def query_find_assign(spark, sf):
-    docs = sources(spark, sf).withColumn("literals", suspicious_literals(F.col("text"), F.lit(True), DEFAULT.suspicious))
-    rows = docs.select("doc_id", F.explode_outer(assigned_spans(F.col("text"), F.col("literals"))).alias("x"))
-    return rows.where("x is not null").select(
-        "doc_id", F.col("x.span.start").alias("start_at"), F.col("x.span.end").alias("end_at"), "x.span.snippet", "x.copies"
-    )
+    found = findings_table(scan(sources(spark, sf), DEFAULT, "CODE")).where(F.col("label") == "SECRET_VAR_ASSIGNMENT")
+    return _listed(found, "start_at", "end_at", "snippet", "copies")
 
 
 def _people(spark, sf):
@@ -363,7 +360,8 @@ def query_stream_risk(spark, sf):
         .option("checkpointLocation", scratch_dir(spark, "stream-risk-state")).trigger(availableNow=True).start(out)
     )
     stream.awaitTermination()
-    return spark.read.schema("window_start timestamp, n_records bigint, n_findings bigint, score bigint").parquet(out)
+    rows = spark.read.schema("window_start timestamp, n_records bigint, n_findings bigint, score bigint").parquet(out)
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 FIND: dict[str, tuple] = {

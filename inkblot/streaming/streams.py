@@ -49,7 +49,8 @@ def risk_by_window(
 ) -> DataFrame:
     """Findings and score per event-time window; records later than the watermark are dropped."""
     scanned = scan(records, config, kind, text_col)
-    rated = scanned.select(ts_col, count_of(F.col("findings")).alias("n"), score_of(F.col("findings")).alias("score"))
+    at = F.col(ts_col).cast("timestamp").alias(ts_col)
+    rated = scanned.select(at, count_of(F.col("findings")).alias("n"), score_of(F.col("findings")).alias("score"))
     return (
         rated.withWatermark(ts_col, late)
         .groupBy(F.window(ts_col, every))
