@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +28,21 @@ def get_spark(app: str = "inkblot", cores: int | str = "*", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="inkblot-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared one named by ``spark.checkpoint.dir``.
+    """A fresh folder under the shared one that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a folder made and set.
+    Only where everything runs on one machine may it be unset; a temporary folder serves then.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="inkblot-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
