@@ -62,4 +62,9 @@ def collect_pass(
 
 def offsets(sizes: Column) -> Column:
     """For each size, the sum of the sizes before it."""
-    return collect_pass(sizes, F.lit(0), "int", lambda total, n: (total + n, F.array(total)))
+
+    def running(sizes: Column) -> Column:
+        summed = collect_pass(sizes, F.lit(0), "int", lambda total, n: (total + n, F.array(total)))
+        return F.when(F.size(sizes) > 1, summed).otherwise(F.transform(sizes, lambda _: F.lit(0)))
+
+    return let(sizes, running)

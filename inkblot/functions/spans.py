@@ -8,6 +8,8 @@ hits with one expression.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,23 +92,32 @@ def regex_hit(
     """Every non-overlapping match, left to right, that ``keep`` accepts; null if there is none.
 
     ``guard`` lists literals of which every matching text holds at least one: a byte search that
-    saves most texts the regular expression. The text is split only where a match is kept.
+    saves most texts the regular expression. A text with a match is gone through once more, to put
+    a NUL on both sides of each; cut there, it falls into gaps and matches by turns.
     """
-    found = F.regexp_extract_all(text, F.lit(java_regex), F.lit(0))
+    present = text.rlike(java_regex)
     if guard:
-        present = F.contains(text, F.lit(guard[0]))
-        for literal in guard[1:]:
-            present = present | F.contains(text, F.lit(literal))
-        found = F.when(present, found)
+        present = reduce(or_, [F.contains(text, F.lit(literal)) for literal in guard]) & present
 
-    def hit(matches: Column, wanted: Column) -> Column:
-        gaps = F.split(text, java_regex, -1)
-        return F.when(F.size(wanted) > 0, let(gaps, lambda gaps: _hit(matches, gaps, wanted)))
+    def hit(matches: Column, gaps: Column) -> Column:
+        def wanted() -> Column:
+            return F.filter(_indices(matches), lambda i: keep(F.get(matches, i))) if keep else _indices(matches)
 
-    def kept(matches: Column) -> Column:
-        return F.filter(_indices(matches), lambda i: keep(F.get(matches, i))) if keep else _indices(matches)
+        return let(wanted(), lambda want: F.when(F.size(want) > 0, _hit(matches, gaps, want)))
 
-    return let(found, lambda ms: let(kept(ms), lambda wanted: hit(ms, wanted)))
+    def by_turns(parts: Column) -> Column:
+        matches = F.filter(parts, lambda _, i: i % 2 == 1)
+        gaps = F.filter(parts, lambda _, i: i % 2 == 0)
+        return F.struct(matches.alias("matches"), gaps.alias("gaps"))
+
+    marked = let(F.split(F.regexp_replace(text, java_regex, "\0$0\0"), "\0", -1), by_turns)
+    # a text that holds NULs itself is matched and split by the pattern
+    apart = F.struct(
+        F.regexp_extract_all(text, F.lit(java_regex), F.lit(0)).alias("matches"),
+        F.split(text, java_regex, -1).alias("gaps"),
+    )
+    cut = F.when(F.contains(text, F.lit("\0")), apart).otherwise(marked)
+    return F.when(present, let(cut, lambda c: hit(c["matches"], c["gaps"])))
 
 
 def literal_hit(text: Column, literal: Column) -> Column:

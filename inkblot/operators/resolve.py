@@ -30,7 +30,11 @@ def resolve(findings: Column) -> Column:
         free = f["end"] <= limit
         return F.when(free, f["start"]).otherwise(limit), F.when(free, F.array(f)).otherwise(empty(FINDING))
 
-    return collect_pass(findings, F.lit(2**31 - 1), FINDING, step)
+    def run(findings: Column) -> Column:
+        free = collect_pass(findings, F.lit(2**31 - 1), FINDING, step)
+        return F.when(F.size(findings) > 1, free).otherwise(findings)
+
+    return let(findings, run)
 
 
 def placeholder(label: Column, n: Column) -> Column:
