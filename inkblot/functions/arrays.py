@@ -28,12 +28,12 @@ def collect_pass(
     items: Column,
     carry: Column,
     element_type: str,
-    step: Callable[[Column, Column], tuple[Column, Column]],
+    step: Callable[[Column, Column], tuple[Column, Column, Column | None]],
 ) -> Column:
     """One left-to-right pass over ``items`` that carries a value and gathers results.
 
-    ``step(carry, item)`` gives the next carry and the array of results for that item (often one
-    or none). Appending to an array copies it, so results are gathered in blocks that are
+    ``step(carry, item)`` gives the next carry, the result for that item and whether to keep it
+    (None: always). Appending to an array copies it, so results are gathered in blocks that are
     flattened at the end; a plain fold would be quadratic for documents with many matches.
     """
     none = empty(element_type)
@@ -42,8 +42,11 @@ def collect_pass(
         begin = F.struct(F.element_at(done, -1)["carry"].alias("carry"), none.alias("out"))
 
         def one(state: Column, item: Column) -> Column:
-            after, results = step(state["carry"], item)
-            return F.struct(after.alias("carry"), F.concat(state["out"], results).alias("out"))
+            after, result, keep = step(state["carry"], item)
+            out = F.array_append(state["out"], result)
+            if keep is not None:
+                out = F.when(keep, out).otherwise(state["out"])
+            return F.struct(after.alias("carry"), out.alias("out"))
 
         return F.aggregate(F.slice(items, k * BLOCK + 1, F.lit(BLOCK)), begin, one)
 
@@ -53,7 +56,7 @@ def collect_pass(
         blocks = F.aggregate(
             F.sequence(F.lit(0), last),
             first,
-            lambda done, k: F.concat(done, F.array(one_block(done, items, k))),
+            lambda done, k: F.array_append(done, one_block(done, items, k)),
         )
         return F.when(F.size(items) > 0, F.flatten(F.transform(blocks, lambda b: b["out"]))).otherwise(none)
 
@@ -64,7 +67,7 @@ def offsets(sizes: Column) -> Column:
     """For each size, the sum of the sizes before it."""
 
     def running(sizes: Column) -> Column:
-        summed = collect_pass(sizes, F.lit(0), "int", lambda total, n: (total + n, F.array(total)))
+        summed = collect_pass(sizes, F.lit(0), "int", lambda total, n: (total + n, total, None))
         return F.when(F.size(sizes) > 1, summed).otherwise(F.transform(sizes, lambda _: F.lit(0)))
 
     return let(sizes, running)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkblot.functions.arrays import collect_pass, empty, let, offsets
+from inkblot.functions.arrays import collect_pass, let, offsets
 from inkblot.operators.detect import FINDING
 
 PLACED = (
@@ -26,9 +26,9 @@ def resolve(findings: Column) -> Column:
     before the start of the last kept one.
     """
 
-    def step(limit: Column, f: Column) -> tuple[Column, Column]:
+    def step(limit: Column, f: Column) -> tuple[Column, Column, Column]:
         free = f["end"] <= limit
-        return F.when(free, f["start"]).otherwise(limit), F.when(free, F.array(f)).otherwise(empty(FINDING))
+        return F.when(free, f["start"]).otherwise(limit), f, free
 
     def run(findings: Column) -> Column:
         free = collect_pass(findings, F.lit(2**31 - 1), FINDING, step)
@@ -56,7 +56,7 @@ def number(kept: Column, base: Callable[[Column], Column] | None = None) -> Colu
         ).cast(f"array<{item}>")
     )
 
-    def step(last: Column, x: Column) -> tuple[Column, Column]:
+    def step(last: Column, x: Column) -> tuple[Column, Column, None]:
         n = F.when(last["label"] == x["label"], last["n"] + 1).otherwise(F.lit(1))
         shown = n + base(x["label"]) if base else n
         f = x["f"]
@@ -66,7 +66,7 @@ def number(kept: Column, base: Callable[[Column], Column] | None = None) -> Colu
             x["label"].alias("label"), shown.cast("int").alias("n"),
             placeholder(x["label"], shown).alias("placeholder"), f["snippet"].alias("original"),
         )
-        return F.struct(x["label"].alias("label"), n.alias("n")), F.array(placed)
+        return F.struct(x["label"].alias("label"), n.alias("n")), placed, None
 
     zero = F.struct(F.lit("").alias("label"), F.lit(0).alias("n"))
     return F.sort_array(collect_pass(by_label, zero, PLACED, step))
