@@ -21,7 +21,7 @@ from inkblot.plans import texts
 from inkblot.plans.oracles import FIRST_LOG_ID
 from inkblot.plans.scrub import placed_table, scan, scrub, vault_table
 from inkblot.rules import CustomRule, ScanConfig
-from inkblot.session import scratch_dir, spread
+from inkblot.session import scratch_dir, spread, without_call_sites
 from inkblot.sources.files import assemble_pages
 from inkblot.streaming.streams import risk_by_window, scrub_stream
 
@@ -30,6 +30,7 @@ DEFAULT = ScanConfig()
 
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    without_call_sites(spark)
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -238,7 +239,10 @@ def query_scrub_one_way(spark, sf):
 
 
 def query_restore(spark, sf):
-    done = scrub(mixed(spark, sf), DEFAULT, "DOC")
+    # texts and vault are stored when they are made, and read when they are needed
+    stored = scratch_dir(spark, "restore")
+    scrub(mixed(spark, sf), DEFAULT, "DOC").select("doc_id", "text", "placed").write.parquet(stored)
+    done = spark.read.parquet(stored)
     return restore(done.select("doc_id", "text"), vault_table(done))
 
 

@@ -9,6 +9,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Long expressions are built from many calls; recording the call site of each takes seconds.
+CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
+
 
 def get_spark(app: str = "inkblot", cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, use the one the cluster gives."""
@@ -19,8 +22,7 @@ def get_spark(app: str = "inkblot", cores: int | str = "*", **conf: str) -> Spar
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # long expressions are built from many calls; recording the call site of each takes seconds
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config(CALL_SITES, "false")
         .config("spark.driver.memory", os.environ.get("INKBLOT_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():
@@ -28,6 +30,14 @@ def get_spark(app: str = "inkblot", cores: int | str = "*", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def without_call_sites(spark: SparkSession) -> None:
+    """Have a session that was made elsewhere skip the call sites too, if it still can."""
+    try:
+        spark.conf.set(CALL_SITES, "false")
+    except Exception:  # a static setting in some versions: expressions are then built more slowly
+        pass
+
+
 @lru_cache(maxsize=1)
 def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="inkblot-")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from inkblot.operators.risk import count_of, score_of
 from inkblot.plans.scrub import scan, scrub, vault_table
 from inkblot.rules import ScanConfig
-from inkblot.session import scratch_dir
+from inkblot.session import scratch_dir, spread
 
 
 def scrub_stream(
@@ -27,7 +27,7 @@ def scrub_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        done = scrub(batch, config, kind)
+        done = scrub(spread(batch, id_col), config, kind)
         if vault_path is not None:
             done = done.persist()
         if vault_path is not None:
