@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -91,24 +91,24 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def _pieces(data: bytes) -> list[bytes]:
-    """Pieces from all over a text, so that the model meets short texts too."""
+def pieces_of(text: str) -> list[bytes]:
+    """Pieces from all over a text, so that the model meets short texts too; none if it has no letter."""
+    data = plain(text)
+    if not has_letter(text, data):
+        return []
     n = max(1, min(MAX_PIECES, len(data) // PIECE))
     step = max(1, len(data) // n)
     return [data[i * step : i * step + PIECE] for i in range(n)]
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5, rows: int = 32, seed: int = 7) -> Model:
-    """Fit on four fifths of the texts, calibrate on the rest."""
+def train(texts: list[list[bytes]], labels: list[str], epochs: int = 4, rate: float = 0.5, rows: int = 32, seed: int = 7) -> Model:
+    """Fit on the pieces of four fifths of the texts, calibrate on the rest."""
     langs = sorted(set(labels))
     number = {x: i for i, x in enumerate(langs)}
     rng = np.random.default_rng(seed)
     examples, held = [], []
-    for i, (text, lang) in enumerate(zip(texts, labels)):
-        data = plain(text)
-        if has_letter(text, data):
-            for piece in _pieces(data):
-                (held if i % 5 == 4 else examples).append((piece, number[lang]))
+    for i, (pieces, lang) in enumerate(zip(texts, labels)):
+        (held if i % 5 == 4 else examples).extend((piece, number[lang]) for piece in pieces)
     examples = examples or held
     bags = []
     for piece, y in examples:
@@ -174,13 +174,18 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     wanted = F.lit(False)
     for row in counts:
         wanted = wanted | ((F.col("lang") == row["lang"]) & (place < int(min(1.0, 2 * per_lang / row["count"] + 1e-3) * (1 << 30))))
-    texts, labels = [], []
-    some = known.where(wanted)
-    for row in counts:
-        for x in some.where(F.col("lang") == row["lang"]).select("doc_id", "text", place.alias("h")).orderBy("h", "doc_id").limit(per_lang).collect():
-            texts.append(x["text"])
-            labels.append(row["lang"])
-    return train(texts, labels)
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
+    some = known.where(wanted).withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= per_lang)
+    rows = some.select("lang", "turn", "text").mapInArrow(_sampled, "lang string, turn int, pieces array<binary>").collect()
+    rows.sort(key=lambda r: (r["lang"], r["turn"]))
+    return train([[bytes(p) for p in r["pieces"]] for r in rows], [r["lang"] for r in rows])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few pieces stand for a text of the sample, so that its size on the driver is bounded too."""
+    for b in batches:
+        pieces = [pieces_of(t) for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pieces, pa.list_(pa.binary()))], names=["lang", "turn", "pieces"])
 
 
 def predict(docs: DataFrame, model: Model | None, name: str = "_lang") -> DataFrame:

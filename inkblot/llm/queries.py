@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkblot.llm import ann, langid, mixing, pieces, quality, sharding, urls
+import corpus_pipeline
+from inkblot.llm import ann, langid, mixing, pieces, ppm, quality, setjoin, sharding, suffixes, urls
+from inkblot.llm.common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +18,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_ppm(spark: SparkSession, sf: str) -> DataFrame:
+    return ppm.score(table(spark, sf, "documents"), crc_mod(F.col("doc_id"), 5) != 1)
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op3_set_join(spark: SparkSession, sf: str) -> DataFrame:
+    return setjoin.join(table(spark, sf, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     coded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
@@ -33,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.report(table(spark, sf, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents"))
 
@@ -50,8 +64,9 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "op2_quality_rules": op2_quality_rules, "op4_pieces": op4_pieces, "op5_language": op5_language,
-        "op6_mixing": op6_mixing, "op8_sharding": op8_sharding, "op9_url_filter": op9_url_filter, "op10_neighbours": op10_neighbours,
+        "op1_ppm": op1_ppm, "op2_quality_rules": op2_quality_rules, "op3_set_join": op3_set_join, "op4_pieces": op4_pieces, "op5_language": op5_language,
+        "op6_mixing": op6_mixing, "op7_suffixes": op7_suffixes, "op8_sharding": op8_sharding, "op9_url_filter": op9_url_filter, "op10_neighbours": op10_neighbours,
+        "pipeline": corpus_pipeline.run,
     }
 
 
