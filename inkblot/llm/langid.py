@@ -191,14 +191,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def predict(docs: DataFrame, model: Model | None, name: str = "_lang") -> DataFrame:
     """The rows of ``docs``, with a struct ``name``: pred, score, accepted."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on buckets and languages only
     kind = StructType().add("pred", "string").add("score", "double").add("accepted", "boolean")
     schema = StructType(list(docs.schema.fields)).add(name, kind)
     at = docs.columns.index("text")
     fields = pa.struct([("pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model  # travels with the plan; its size depends on buckets and languages only
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             data = [plain(t) for t in texts]

@@ -12,8 +12,8 @@ Scores are those of the model file if it is a unigram model. A byte-pair model's
 their place, which are no log probabilities; the score is then ``-log(rank + 1000)``, as by Zipf's law.
 The result is the best path by these scores; it need not be what the merges of that model would give.
 
-Words are encoded where they stand: the vocabulary is broadcast (its size is that of the model file),
-and no text is shuffled. Null and empty texts have no pieces; null stays null when decoded. Repeated
+Words are encoded where they stand: the vocabulary travels with the plan (its size is that of the model
+file), and no text is shuffled. Null and empty texts have no pieces; null stays null when decoded. Repeated
 rows are encoded alike; an empty table gives an empty result; other columns pass through.
 """
 
@@ -142,12 +142,11 @@ def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", exact: str = "exact") -> DataFrame:
     """The rows of ``docs`` with their ``ids``, and ``exact``: decoding them gave the text back."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    v = load(model)
     schema = StructType(list(docs.schema.fields)).add(ids, ArrayType(IntegerType())).add(exact, "boolean")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
         encoder = Encoder(v)
         for b in batches:
             texts = b.column(at).to_pylist()
@@ -164,11 +163,10 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
 def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows of ``docs`` with the text that their ``ids`` stand for; ids outside the vocabulary stand for nothing."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    v = load(model)
     at = docs.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
         for b in batches:
             out = [None if x is None else decode_ids((i for i in x if i is not None and 0 <= i < len(v.spelled)), v) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, text])
