@@ -127,7 +127,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, most: int) -> Ru
         for name, values in x.items():
             v = values[alive]
             at = np.unique(np.quantile(v, np.linspace(0, 1, cuts + 2)[1:-1]))
-            at = np.unique(np.concatenate((at, np.quantile(v[y], np.linspace(0.02, 0.98, 9)))))
+            at = np.unique(np.concatenate((at, np.quantile(v[y], np.linspace(0, 1, 11)))))
             where = np.searchsorted(at, v, side="right")
             pos = np.bincount(where[y], minlength=len(at) + 1)
             neg = np.bincount(where[~y], minlength=len(at) + 1)
