@@ -178,8 +178,3 @@ def ngram_key(snippet: Column) -> Column:
 
 def regex_spans(text: Column, java_regex: str, guard: Sequence[str] = ()) -> Column:
     return let(regex_hit(text, java_regex, guard), place)
-
-
-def ngram_spans(text: Column, words: int) -> Column:
-    """Every run of ``words`` words."""
-    return let(F.get(ngram_hits(text, {words: None}), F.lit(0)), place)

@@ -86,10 +86,11 @@ def site_array(text: Column) -> Column:
     return sites(F.when(_may_hold_sites(text), text))
 
 
-def suspicious_literals(text: Column, is_code: Column, words: Sequence[str]) -> Column:
+def suspicious_literals(text: Column, is_code: Column, words: Sequence[str], apart: bool = False) -> Column:
     """The distinct literals given to suspicious names, in order, and how many sites give each.
 
-    Texts that are not source code, and sources that can hold no site, are not sent to Python.
+    Texts that are not source code, and sources that can hold no site, are not sent to Python. With
+    ``apart``, the optimizer keeps this step below others that use Python.
     """
     words = tuple(words)
 
@@ -104,7 +105,8 @@ def suspicious_literals(text: Column, is_code: Column, words: Sequence[str]) ->
 
         return sources.map(of_one)
 
-    return literals(F.when(is_code & _may_hold_sites(text), text))
+    read = literals.asNondeterministic() if apart else literals
+    return read(F.when(is_code & _may_hold_sites(text), text))
 
 
 def is_suspicious(name: Column, words: Sequence[str]) -> Column:

@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkblot.rules import INLINE_LIMIT
-
-# Copies of a hot value (one address may be a third of all findings) are spread over this many keys.
-SALTS = 32
-
 
 def in_scan_order(findings: Column, kind: Column) -> Column:
     """As a scan lists them: sources from the end by rank, documents from the start by rule."""
@@ -32,14 +27,29 @@ def with_copies(findings: Column, at_most: int | None = None) -> Column:
 
 
 def findings_table(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each finding; ``ord`` is its place in scan order, ``copies`` how often it counts."""
+    """One row for each finding; ``ord`` is its place in scan order, ``copies`` how often it counts.
+
+    Of a scan by leaves, ``leaf`` says in which leaf its offsets count.
+    """
+    if "finding_leaves" in scanned.columns:
+        paired = F.arrays_zip(F.col("finding_leaves").alias("leaf"), F.col("findings").alias("f"))
+        place = lambda x: F.struct(
+            x["leaf"].alias("leaf"), F.when(F.col("kind") == "CODE", x["f"]["from_end"]).otherwise(x["f"]["start"]).alias("at"),
+            F.when(F.col("kind") == "CODE", x["f"]["rank"]).otherwise(0).alias("rank"), x["f"]["ordinal"].alias("o"), x["f"]["sub"].alias("s"), x["f"].alias("f"),
+        )
+        ordered = scanned.select(id_col, F.sort_array(F.transform(paired, place)).alias("fs"))
+        rows = ordered.select(id_col, F.posexplode_outer("fs").alias("ord", "x")).where("x is not null").select(id_col, "ord", "x.leaf", "x.f")
+        return rows.select(id_col, "ord", "leaf", *_fields())
     ordered = scanned.select(id_col, in_scan_order(F.col("findings"), F.col("kind")).alias("fs"))
     # the outer form keeps the optimizer from adding size(fs) > 0, which would detect twice
     rows = ordered.select(id_col, F.posexplode_outer("fs").alias("ord", "f")).where("f is not null")
-    return rows.select(
-        id_col, "ord", "f.start", "f.end", "f.label", "f.snippet", "f.detector", "f.ordinal",
-        (-F.col("f.rank")).alias("priority"), "f.weight", "f.copies",
-    )
+    return rows.select(id_col, "ord", *_fields())
+
+
+def _fields() -> list:
+    return [
+        "f.start", "f.end", "f.label", "f.snippet", "f.detector", "f.ordinal", (-F.col("f.rank")).alias("priority"), "f.weight", "f.copies",
+    ]
 
 
 def findings_json(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -53,32 +63,14 @@ def findings_json(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(id_col, F.to_json(listed).alias("findings"))
 
 
-def is_small(df: DataFrame, limit: int = INLINE_LIMIT) -> bool:
-    """Whether a table has at most ``limit`` rows, found by reading no more than one beyond."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def salted(df: DataFrame, salt_of: Column) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(SALTS)).cast("int"))
-
-
-def replicated(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def drop_allowed(findings: DataFrame, allow: DataFrame, id_col: str = "doc_id", limit: int = INLINE_LIMIT) -> DataFrame:
+def drop_allowed(findings: DataFrame, allow: DataFrame) -> DataFrame:
     """Findings whose snippet is not in ``allow(value)``: exact and case-sensitive.
 
-    A list of proven small size is broadcast. A larger one is joined by shuffle, with the findings
-    salted so that a value found everywhere does not end up in one task.
+    How to join is left to Spark, which knows the size of the list in bytes: a short one is broadcast,
+    and where a value found everywhere makes a partition long, adaptive execution splits it.
     """
     values = allow.select(F.col("value").alias("_value")).where("_value is not null").distinct()
-    if is_small(values, limit):
-        return findings.join(F.broadcast(values), F.col("snippet") == F.col("_value"), "left_anti")
-    left = salted(findings, F.struct(id_col, "start"))
-    right = replicated(values).withColumnRenamed("_salt", "_salt_of_value")
-    same = (F.col("snippet") == F.col("_value")) & (F.col("_salt") == F.col("_salt_of_value"))
-    return left.join(right.hint("shuffle_merge"), same, "left_anti").drop("_salt")
+    return findings.join(values, F.col("snippet") == F.col("_value"), "left_anti")
 
 
 def allow_large(scanned: DataFrame, allow: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -89,8 +81,8 @@ def allow_large(scanned: DataFrame, allow: DataFrame, id_col: str = "doc_id") ->
     pairs = scanned.select(
         id_col, F.explode_outer(F.array_distinct(F.transform("findings", lambda f: f["snippet"]))).alias("snippet")
     ).where("snippet is not null")
-    values = replicated(allow.select(F.col("value").alias("snippet")).where("snippet is not null").distinct())
-    hits = salted(pairs, F.col(id_col)).join(values.hint("shuffle_merge"), ["snippet", "_salt"], "left_semi")
+    values = allow.select(F.col("value").alias("snippet")).where("snippet is not null").distinct()
+    hits = pairs.join(values, "snippet", "left_semi")
     per_doc = hits.groupBy(id_col).agg(F.collect_set("snippet").alias("_allowed"))
     kept = F.filter("findings", lambda f: ~F.coalesce(F.array_contains("_allowed", f["snippet"]), F.lit(False)))
     return scanned.join(per_doc, id_col, "left").withColumn("findings", kept).drop("_allowed")

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkblot.functions.arrays import empty
-from inkblot.functions.spans import ngram_key, ngram_spans
+from inkblot.functions.spans import ngram_hits, ngram_key, place
 from inkblot.operators.detect import FINDING, looks_like_person
-from inkblot.operators.findings import is_small, replicated, salted
-from inkblot.rules import CODE_ENTITIES, DOC_ENTITIES, INLINE_LIMIT, ScanConfig
+from inkblot.rules import CODE_ENTITIES, DOC_ENTITIES, ScanConfig
 
 
 def name_table(names: DataFrame) -> DataFrame:
@@ -19,30 +18,29 @@ def name_table(names: DataFrame) -> DataFrame:
     return keyed.withColumn("words", F.size(F.split("key", " ")))
 
 
-def name_spans(
-    docs: DataFrame, names: DataFrame, max_words: int, id_col: str = "doc_id", text_col: str = "text",
-    limit: int = INLINE_LIMIT,
-) -> DataFrame:
+def name_sizes(listed: DataFrame) -> list[int]:
+    """How many words the names of a list have: a few small numbers, so every name can be found."""
+    return sorted(r["words"] for r in listed.select("words").distinct().collect())
+
+
+def name_spans(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where listed names occur: ``id, start, end, bstart, bend, snippet, name_label, words``.
 
-    Common words make hot keys, so beyond the broadcast limit the n-grams are salted.
+    Runs of words of every size that the list has are taken in one pass over the texts. Only their
+    place and key are shuffled, never the texts, and Spark broadcasts a list that is small in bytes.
     """
-    grams = None
-    for n in range(1, max_words + 1):
-        spans = docs.select(id_col, F.explode_outer(ngram_spans(F.col(text_col), n)).alias("s"))
-        part = spans.where("s is not null").select(id_col, "s.*", F.lit(n).alias("words"))
-        grams = part if grams is None else grams.unionByName(part)
-    grams = grams.withColumn("key", ngram_key(F.col("snippet")))
     listed = name_table(names)
-    if is_small(listed, limit):
-        return grams.join(F.broadcast(listed), ["key", "words"]).drop("key")
-    big = replicated(listed).hint("shuffle_merge")
-    return salted(grams, F.struct(id_col, "start")).join(big, ["key", "words", "_salt"]).drop("key", "_salt")
+    sizes = name_sizes(listed)
+    hits = ngram_hits(F.col(text_col), {n: None for n in sizes or [1]})
+    spans = F.flatten(F.transform(hits, lambda h, i: F.transform(place(h), lambda s: F.struct(s.alias("s"), i.alias("i")))))
+    rows = docs.select(id_col, F.explode_outer(spans).alias("x")).where("x is not null")
+    grams = rows.select(id_col, "x.s.*", F.get(F.array(*map(F.lit, sizes or [1])), F.col("x.i")).alias("words"))
+    return grams.withColumn("key", ngram_key(F.col("snippet"))).join(listed, ["key", "words"]).drop("key")
 
 
 def add_names(
-    scanned: DataFrame, names: DataFrame, max_words: int, kind: str, config: ScanConfig | None = None,
-    id_col: str = "doc_id", text_col: str = "text", limit: int = INLINE_LIMIT,
+    scanned: DataFrame, names: DataFrame, kind: str, config: ScanConfig | None = None,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """A scan (of one engine) with the findings of a name list joined in."""
     config = config or ScanConfig()
@@ -50,7 +48,7 @@ def add_names(
     # ordinals as if the names had been part of the rule set
     planned = config.with_names([("x", "PERSON"), ("x", "LOCATION")]).rules(kind)
     rules = {r.label: r for r in planned if r.detector == "names" and r.label in labels}
-    hits = name_spans(scanned, names, max_words, id_col, text_col, limit).where(F.col("name_label").isin(list(rules)))
+    hits = name_spans(scanned, names, id_col, text_col).where(F.col("name_label").isin(list(rules)))
     if kind == "CODE":
         hits = hits.where((F.col("name_label") != "PERSON") | looks_like_person(F.col("snippet")))
     if config.ignore:

@@ -13,7 +13,8 @@ import io
 import json
 import sys
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
+from functools import partial
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkblot.functions.arrays import empty, let, offsets
-from inkblot.functions.routing import format_of
+from inkblot.functions.routing import format_of, kind_of
+from inkblot.operators.context import suspicious_literals
 from inkblot.operators.detect import findings_of
 from inkblot.operators.resolve import resolve, scrub_kept, scrub_leaves
 from inkblot.rules import ScanConfig
+from inkblot.session import stored
 
 # The helpers below run in Python workers, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,42 +37,61 @@ STRUCTURED = ("json", "csv", "xml")
 LEAVES = T.StructType([T.StructField("leaves", T.ArrayType(T.StringType())), T.StructField("fallback", T.BooleanType())])
 
 
-def _map_json(value, fn: Callable[[str], str]):
-    if isinstance(value, dict):
-        return {k: _map_json(v, fn) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_map_json(v, fn) for v in value]
-    return fn(value) if isinstance(value, str) else value
-
-
-def _map_csv(text: str, fn: Callable[[str], str]) -> str:
-    out = io.StringIO()
-    writer = csv.writer(out)
-    for row in csv.reader(io.StringIO(text)):
-        writer.writerow([fn(cell) for cell in row])
-    return out.getvalue()
-
-
-def _map_xml(element: ET.Element, fn: Callable[[str], str]) -> None:
-    if element.text:
-        element.text = fn(element.text)
-    if element.tail:
-        element.tail = fn(element.tail)
-    for name, value in element.attrib.items():
-        element.attrib[name] = fn(value)
-    for child in element:
-        _map_xml(child, fn)
+class Opened:
+    """A structured text that was read, its strings with a way to set each, and how to write it again.
 
+    ``strings`` are in the order in which placeholders are numbered. What was read before an error
+    counts, so they are gathered as the text is read.
+    """
 
-def map_strings(fmt: str, text: str, fn: Callable[[str], str]) -> str:
-    """A structured text with ``fn`` applied to each of its strings, in numbering order."""
-    if fmt == "json":
-        return json.dumps(_map_json(json.loads(text), fn), indent=2)
-    if fmt == "csv":
-        return _map_csv(text, fn)
-    root = ET.fromstring(text)
-    _map_xml(root, fn)
-    return ET.tostring(root, encoding="unicode")
+    def __init__(self, fmt: str, text: str):
+        self.strings: list[tuple[str, Callable[[str], None]]] = []
+        self.written: Callable[[], str] = getattr(self, f"_open_{fmt}")(text)
+
+    def _slot(self, value: str, put: Callable, *key) -> None:
+        self.strings.append((value, partial(put, *key)))
+
+    def _open_json(self, text: str) -> Callable[[], str]:
+        holder = [json.loads(text)]
+        todo = [(holder, 0)]  # places still to look at, the next one last
+        while todo:
+            owner, key = todo.pop()
+            value = owner[key]
+            if isinstance(value, str):
+                self._slot(value, owner.__setitem__, key)
+            elif isinstance(value, (dict, list)):
+                keys = list(value) if isinstance(value, dict) else range(len(value))
+                todo.extend((value, k) for k in reversed(keys))
+        return lambda: json.dumps(holder[0], indent=2)
+
+    def _open_csv(self, text: str) -> Callable[[], str]:
+        lines = []
+        for cells in csv.reader(io.StringIO(text)):
+            lines.append(cells)
+            for i, cell in enumerate(cells):
+                self._slot(cell, cells.__setitem__, i)
+
+        def write() -> str:
+            out = io.StringIO()
+            csv.writer(out).writerows(lines)
+            return out.getvalue()
+
+        return write
+
+    def _open_xml(self, text: str) -> Callable[[], str]:
+        root = ET.fromstring(text)
+        for node in root.iter():  # each element before what it holds
+            for part in ("text", "tail"):
+                if value := getattr(node, part):
+                    self._slot(value, setattr, node, part)
+            for name, value in node.items():
+                self._slot(value, node.set, name)
+        return lambda: ET.tostring(root, encoding="unicode")
+
+    def with_strings(self, new: Iterable[str]) -> str:
+        for (_, put), value in zip(self.strings, new, strict=True):
+            put(value)
+        return self.written()
 
 
 def _storable(value: str) -> str:
@@ -78,25 +100,18 @@ def _storable(value: str) -> str:
 
 
 def take_apart(fmt: str, text: str) -> dict:
-    leaves: list[str] = []
-
-    def gather(value: str) -> str:
-        leaves.append(_storable(value))
-        return value
-
+    opened = Opened.__new__(Opened)
     try:
-        map_strings(fmt, text, gather)
-        return {"leaves": leaves, "fallback": False}
+        opened.__init__(fmt, text)
+        opened.written()
+        return {"leaves": [_storable(v) for v, _ in opened.strings], "fallback": False}
     except Exception:  # not what it claims to be: the whole text is scanned as it stands
-        return {"leaves": [*leaves, text], "fallback": True}
-
+        return {"leaves": [*(_storable(v) for v, _ in opened.strings), text], "fallback": True}
 
-def put_together(fmt: str, text: str, leaves: Iterator[str]) -> str:
-    def swap(value: str) -> str:
-        new = next(leaves)
-        return value if new == _storable(value) else new
 
-    return map_strings(fmt, text, swap)
+def put_together(fmt: str, text: str, leaves: Iterable[str]) -> str:
+    opened = Opened(fmt, text)
+    return opened.with_strings(old if new == _storable(old) else new for (old, _), new in zip(opened.strings, leaves, strict=True))
 
 
 @F.pandas_udf(LEAVES)
@@ -108,7 +123,7 @@ def _take_apart(fmt: pd.Series, text: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.StringType())
 def _put_together(fmt: pd.Series, text: pd.Series, leaves: pd.Series) -> pd.Series:
     return pd.Series(
-        [put_together(f, t, iter(new)) if t is not None else None for f, t, new in zip(fmt, text, leaves)], dtype=object
+        [put_together(f, t, new) if t is not None else None for f, t, new in zip(fmt, text, leaves)], dtype=object
     )
 
 
@@ -128,70 +143,143 @@ def with_leaves(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def scan_leaves(docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text") -> DataFrame:
+def scan_leaves(
+    docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text", code: bool = False,
+) -> DataFrame:
     """The findings in each leaf of each document, with numbers and placeholders of the kept ones.
 
-    Adds ``leaves`` (rewritten), ``placed`` and ``findings`` (an array for each leaf).
+    Adds ``kind``, ``engine``, ``leaves`` (rewritten), ``placed``, and ``findings`` with the leaf of each in
+    ``finding_leaves``. With ``code``, rows whose ``kind`` (or path) says so go to the engine for sources.
     """
     config = config or ScanConfig()
     # a second name for the leaves of the input keeps them in reach of the rewritten ones
     taken = with_leaves(docs, text_col).withColumnRenamed("leaves", "_leaves")
-    result = scrub_leaves(F.col("_leaves"), lambda leaf: findings_of(leaf, "DOC", config))
-    done = taken.withColumn("_result", result)
-    return (
-        done.withColumn("leaves", F.col("_result.leaves")).withColumn("placed", F.col("_result.placed"))
-        .withColumn("findings", F.flatten("_result.findings")).drop("_result", "_leaves")
-    )
+    if code:
+        known = "kind" in docs.columns
+        taken = taken.withColumn("kind", F.col("kind") if known else kind_of(F.col("path")) if "path" in docs.columns else F.lit("DOC"))
+        taken = taken.withColumn("_literals", suspicious_literals(F.col(text_col), F.col("kind") == "CODE", config.suspicious, apart=True))
+    else:
+        taken = taken.withColumn("kind", F.lit("DOC"))
 
+    def found(leaf: Column) -> Column:
+        doc = findings_of(leaf, "DOC", config)
+        return F.when(F.col("kind") == "CODE", findings_of(leaf, "CODE", config, F.col("_literals"))).otherwise(doc) if code else doc
 
-def scrub_structured(docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text") -> DataFrame:
+    done = taken.withColumn("_result", scrub_leaves(F.col("_leaves"), found))
+    which = F.flatten(F.transform("_result.findings", lambda fs, leaf: F.transform(fs, lambda _: leaf)))
+    done = done.withColumn("leaves", F.col("_result.leaves")).withColumn("placed", F.col("_result.placed"))
+    done = done.withColumn("findings", F.flatten("_result.findings")).withColumn("finding_leaves", which).withColumn("engine", F.col("kind"))
+    return done.drop("_result", "_leaves", "_literals")
+
+
+def scrub_structured(
+    docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text", code: bool = False,
+) -> DataFrame:
     """Documents of any format scrubbed in that format; what fails to parse, as plain text."""
-    done = scan_leaves(docs, config, text_col)
+    done = scan_leaves(docs, config, text_col, code)
     whole = F.col("fmt").isin(*STRUCTURED) & ~F.col("fallback")
     rebuilt = _put_together(F.col("fmt"), F.when(whole, F.col(text_col)), F.col("leaves"))
     text = F.when(whole, rebuilt).otherwise(F.element_at(F.concat("leaves", F.array(F.lit(None).cast("string"))), F.greatest(F.size("leaves"), F.lit(1))))
     return done.withColumn("_text", text).withColumn(text_col, F.col("_text")).drop("_text")
 
 
+def scrub_any(docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text") -> DataFrame:
+    """A mixed table: sources by the engine for sources, JSON, CSV and XML string by string, the rest as text.
+
+    ``docs`` has ``path``, or ``kind`` and ``fmt``. The result serves the sinks, findings and risk alike.
+    """
+    return scrub_structured(docs, config, text_col, code=True)
+
+
 # --- structured columns -----------------------------------------------------------------------
 
 
+def _fixed(dtype: T.DataType) -> int | None:
+    """How many leaves every value of a type has, null or not; None if that depends on the value."""
+    if isinstance(dtype, T.StringType):
+        return 1
+    if isinstance(dtype, T.StructType):
+        sizes = [_fixed(f.dataType) for f in dtype.fields]
+        return None if None in sizes else sum(sizes)
+    return None if isinstance(dtype, (T.ArrayType, T.MapType)) else 0
+
+
 def leaves_of(value: Column, dtype: T.DataType) -> Column:
-    """The strings in a column of any nested type, in field order; keys of maps are left out."""
+    """The strings in a column of any nested type, in field order; keys of maps are left out.
+
+    A string is a leaf even if it is null, so that the places of most leaves are known beforehand.
+    """
     none = empty("string")
     if isinstance(dtype, T.StringType):
-        found = F.array(value)
-    elif isinstance(dtype, T.StructType) and dtype.fields:
-        found = F.concat(*[leaves_of(value[f.name], f.dataType) for f in dtype.fields])
-    elif isinstance(dtype, T.ArrayType):
-        found = F.flatten(F.transform(value, lambda v: leaves_of(v, dtype.elementType)))
-    elif isinstance(dtype, T.MapType):
-        found = F.flatten(F.transform(F.map_values(value), lambda v: leaves_of(v, dtype.valueType)))
-    else:
-        return none
-    return F.when(value.isNotNull(), F.coalesce(found, none)).otherwise(none)
+        return F.array(value)
+    if isinstance(dtype, T.StructType) and dtype.fields:
+        return joined_leaves([(value[f.name], f.dataType) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda v: leaves_of(v, dtype.elementType))), none)
+    if isinstance(dtype, T.MapType):
+        return F.coalesce(F.flatten(F.transform(F.map_values(value), lambda v: leaves_of(v, dtype.valueType))), none)
+    return none
+
+
+def joined_leaves(parts: list[tuple[Column, T.DataType]]) -> Column:
+    """The leaves of several values in order; neighbouring strings share one array."""
+    out: list[Column] = []
+    strings: list[Column] = []
+    for value, dtype in parts:
+        if isinstance(dtype, T.StringType):
+            strings.append(value)
+        elif _fixed(dtype) != 0:
+            out += ([F.array(*strings)] if strings else []) + [leaves_of(value, dtype)]
+            strings = []
+    out += [F.array(*strings)] if strings else []
+    return F.concat(*out) if len(out) > 1 else out[0] if out else empty("string")
+
+
+def _in_turn(parts: list[tuple[Column, T.DataType]], at: Column, body: Callable[[list[Column]], Column]) -> Column:
+    """``body`` with the index at which the leaves of each part begin.
+
+    After fixed numbers of leaves the index is a constant more; the sizes of other parts are added up
+    once, in one array.
+    """
+    loose = [F.size(leaves_of(v, t)) for v, t in parts if _fixed(t) is None]
+
+    def places(first: Column | None) -> list[Column]:
+        out, known, passed = [], 0, 0
+        for _, dtype in parts:
+            begin = at + F.lit(known)
+            out.append(begin + F.get(first, F.lit(passed)) if first is not None and passed else begin)
+            width = _fixed(dtype)
+            known, passed = (known + width, passed) if width is not None else (known, passed + 1)
+        return out
+
+    if not loose:
+        return body(places(None))
+    # one size more than there are parts to pass, so that the running sum reaches the parts after the last
+    return let(offsets(F.array(*loose, F.lit(0))), lambda first: body(places(first)))
 
 
 def with_leaves_replaced(value: Column, dtype: T.DataType, leaves: Column, at: Column) -> Column:
     """The same value with its strings taken from ``leaves``, beginning at index ``at``."""
     if isinstance(dtype, T.StringType):
-        new = F.get(leaves, at)
-    elif isinstance(dtype, T.StructType) and dtype.fields:
-        fields = []
-        for f in dtype.fields:
-            fields.append(with_leaves_replaced(value[f.name], f.dataType, leaves, at).alias(f.name))
-            at = at + F.size(leaves_of(value[f.name], f.dataType))
-        new = F.struct(*fields)
+        return F.get(leaves, at)
+    if _fixed(dtype) == 0:
+        return value
+    if isinstance(dtype, T.StructType):
+        parts = [(value[f.name], f.dataType) for f in dtype.fields]
+        new = _in_turn(parts, at, lambda begins: F.struct(*(
+            with_leaves_replaced(v, t, leaves, b).alias(f.name) for (v, t), b, f in zip(parts, begins, dtype.fields)
+        )))
     elif isinstance(dtype, T.ArrayType):
         new = _elements_replaced(value, dtype.elementType, leaves, at)
-    elif isinstance(dtype, T.MapType):
-        new = F.map_from_arrays(F.map_keys(value), _elements_replaced(F.map_values(value), dtype.valueType, leaves, at))
     else:
-        return value
+        new = F.map_from_arrays(F.map_keys(value), _elements_replaced(F.map_values(value), dtype.valueType, leaves, at))
     return F.when(value.isNotNull(), new)
 
 
 def _elements_replaced(values: Column, dtype: T.DataType, leaves: Column, at: Column) -> Column:
+    width = _fixed(dtype)
+    if width is not None:
+        return F.transform(values, lambda v, i: with_leaves_replaced(v, dtype, leaves, at + i * width))
     sizes = F.transform(values, lambda v: F.size(leaves_of(v, dtype)))
     return let(
         offsets(sizes),
@@ -202,18 +290,24 @@ def _elements_replaced(values: Column, dtype: T.DataType, leaves: Column, at: Co
 def scrub_columns(df: DataFrame, columns: list[str], config: ScanConfig | None = None) -> DataFrame:
     """Each row is a document; the strings at any depth of ``columns`` are scrubbed in place."""
     config = config or ScanConfig()
-    types = {c: df.schema[c].dataType for c in columns}
-    leaves = F.concat(*[leaves_of(F.col(c), types[c]) for c in columns])
-    found = df.withColumn("_leaves", leaves)
+    parts = [(F.col(c), df.schema[c].dataType) for c in columns]
+    found = df.withColumn("_leaves", joined_leaves(parts))
     result = scrub_leaves(F.col("_leaves"), lambda leaf: findings_of(leaf, "DOC", config))
     done = found.withColumn("_result", result)
-    at, replaced = F.lit(0), {}
-    for c in columns:
-        replaced[c] = with_leaves_replaced(F.col(c), types[c], F.col("_result.leaves"), at)
-        at = at + F.size(leaves_of(F.col(c), types[c]))
-    done = done.withColumn("placed", F.col("_result.placed"))
-    done = done.withColumn("findings", F.flatten("_result.findings"))
-    return done.withColumns(replaced).drop("_leaves", "_result")
+    done = done.withColumn("placed", F.col("_result.placed")).withColumn("findings", F.flatten("_result.findings"))
+    leaves = F.col("_result.leaves")
+    # where each column begins, as one array that is worked out once
+    begins = _in_turn(parts, F.lit(0), lambda places: F.array(*places))
+    if all(_fixed(t) is not None for _, t in parts):
+        at, place = 0, {}
+        for c, (_, dtype) in zip(columns, parts):
+            place[c] = F.lit(at)
+            at += _fixed(dtype)
+    else:
+        done = done.withColumn("_begins", begins)
+        place = {c: F.get(F.col("_begins"), F.lit(i)) for i, c in enumerate(columns)}
+    replaced = {c: with_leaves_replaced(v, t, leaves, place[c]) for c, (v, t) in zip(columns, parts)}
+    return done.withColumns(replaced).drop("_leaves", "_result", "_begins")
 
 
 # --- a whole table as one document ------------------------------------------------------------
@@ -230,7 +324,8 @@ def scrub_table(
 
     ``order_by`` gives the order of rows and ``block_by`` a coarser value that never decreases with
     it. Counts run within blocks, which spread over the cluster, and then over one small row for
-    each block; no task ever holds a whole table or a whole file.
+    each block; no task ever holds a whole table or a whole file. Findings are stored in scratch
+    meanwhile, originals included.
     """
     config = config or ScanConfig()
     labels = list(dict.fromkeys(r.label for r in config.rules("DOC")))
@@ -247,7 +342,8 @@ def scrub_table(
             lambda label: F.struct(label, F.size(F.filter(kept_labels, lambda x: x == label)).cast("bigint")),
         )
     )
-    rows = rows.withColumn("_counts", counts)
+    # detected once: what follows reads the stored rows, for the counts of blocks and for the rows
+    rows = stored(rows.withColumn("_counts", counts), "scrub-table")
 
     per_block = [F.sum(F.element_at("_counts", F.lit(label))).alias(f"_n{i}") for i, label in enumerate(labels)]
     blocks = rows.select("_scope", "_block", "_counts").groupBy("_scope", "_block").agg(*per_block)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +13,19 @@ from inkblot.functions.routing import format_of, kind_of
 from inkblot.functions.spans import regex_spans
 from inkblot.operators.context import assign_sites
 from inkblot.operators.detect import looks_like_person
-from inkblot.operators.findings import allow_large, drop_allowed, findings_json, findings_table
-from inkblot.operators.names import add_names, name_spans
+from inkblot.operators.findings import drop_allowed, findings_json, findings_table
+from inkblot.operators.names import name_spans
 from inkblot.operators.restore import has_placeholder_text, restore, restore_text
 from inkblot.operators.risk import report, risk, risk_of_table
-from inkblot.operators.structured import scan_leaves, scrub_columns, scrub_structured, scrub_table
+from inkblot.operators.structured import scan_leaves, scrub_any, scrub_columns, scrub_structured, scrub_table
 from inkblot.plans import texts
 from inkblot.plans.oracles import FIRST_LOG_ID
 from inkblot.plans.scrub import placed_table, scan, scrub, vault_table
 from inkblot.rules import CustomRule, ScanConfig
 from inkblot.session import scratch_dir, spread, without_call_sites
 from inkblot.sources.files import assemble_pages
-from inkblot.streaming.streams import risk_by_window, scrub_stream
+from inkblot.sources.sinks import write_scrubbed
+from inkblot.streaming.streams import read_risk, risk_by_window, scrub_stream, write_risk
 
 Query = Callable[[SparkSession, str], DataFrame]
 DEFAULT = ScanConfig()
@@ -65,7 +67,7 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf: str, text: str, fmt: str) -> DataFrame:
-    events = spread(table(spark, sf, "events", "event_id", "user_id"), "event_id")
+    events = spread(table(spark, sf, "events", "event_id", "user_id", "props"), "event_id")
     return events.select(F.col("event_id").alias("doc_id"), F.lit(fmt).alias("fmt"), F.expr(text).alias("text"))
 
 
@@ -95,7 +97,7 @@ def query_assemble_pages(spark, sf):
 
 
 def query_route_kind(spark, sf):
-    paths = table(spark, sf, "pages", "page_id").withColumn("path", F.expr(texts.PATH))
+    paths = table(spark, sf, "pages", "page_id", "url").withColumn("path", F.expr(texts.PAGE_PATH))
     ext = format_of(F.col("path"))
     return paths.select("page_id", kind_of(F.col("path")).alias("kind"), ext.alias("fmt"))
 
@@ -135,13 +137,13 @@ def _people(spark, sf):
 
 
 def query_find_person(spark, sf):
-    return _listed(name_spans(logs(spark, sf), _people(spark, sf), 1), "start_at", "end_at", "snippet")
+    return _listed(name_spans(logs(spark, sf), _people(spark, sf)), "start_at", "end_at", "snippet")
 
 
 def query_find_person_join(spark, sf):
-    """The form for name lists beyond the broadcast limit, within a scan."""
-    scanned = scan(logs(spark, sf), ScanConfig(entities=False), "DOC")
-    found = findings_table(add_names(scanned, _people(spark, sf), 1, "DOC", limit=0))
+    """The form for name lists that do not travel in the plan, within a scan."""
+    config = ScanConfig(entities=False, names_table=_people(spark, sf))
+    found = findings_table(scan(logs(spark, sf), config, "DOC"))
     return _listed(found.where(F.col("label") == "PERSON"), "start_at", "end_at", "snippet")
 
 
@@ -164,7 +166,7 @@ def query_person_filter(spark, sf):
     customers = table(spark, sf, "customer", "c_name", "c_mktsegment")
     values = customers.select(F.explode(F.array("c_name", "c_mktsegment")).alias("value")).distinct()
     docs = _from_customers(spark, sf, texts.PEOPLE_TEXT)
-    found = name_spans(docs, values.withColumn("label", F.lit("PERSON")), 1)
+    found = name_spans(docs, values.withColumn("label", F.lit("PERSON")))
     return found.select("doc_id", F.col("start").alias("start_at"), "snippet", looks_like_person(F.col("snippet")).alias("kept"))
 
 
@@ -188,8 +190,8 @@ def query_allow_list(spark, sf):
 
 
 def query_allow_list_join(spark, sf):
-    """The form for allow-lists beyond the broadcast limit, within a scan."""
-    kept = allow_large(scan(mixed(spark, sf), DEFAULT, "DOC"), _allowed(spark, sf))
+    """The form for allow-lists that do not travel in the plan, within a scan."""
+    kept = scan(mixed(spark, sf), ScanConfig(ignore_table=_allowed(spark, sf)), "DOC")
     return _listed(findings_table(kept), "label", "start_at", "snippet")
 
 
@@ -240,10 +242,16 @@ def query_scrub_one_way(spark, sf):
 
 def query_restore(spark, sf):
     # texts and vault are stored when they are made, and read when they are needed
-    stored = scratch_dir(spark, "restore")
-    scrub(mixed(spark, sf), DEFAULT, "DOC").select("doc_id", "text", "placed").write.parquet(stored)
-    done = spark.read.parquet(stored)
-    return restore(done.select("doc_id", "text"), vault_table(done))
+    texts_at, vault_at = scratch_dir(spark, "restore-texts"), scratch_dir(spark, "restore-vault")
+    write_scrubbed(scrub(mixed(spark, sf), DEFAULT, "DOC"), texts_at, vault_at)
+    return restore(spark.read.parquet(texts_at).select("doc_id", "text"), spark.read.parquet(vault_at))
+
+
+def query_restore_dup(spark, sf):
+    """From a vault that holds every row twice, as one written by a job that was run again may."""
+    done = scrub(logs(spark, sf), DEFAULT, "DOC")
+    vault = vault_table(done)
+    return restore(done.select("doc_id", "text"), vault.unionByName(vault))
 
 
 def query_restore_map(spark, sf):
@@ -274,8 +282,8 @@ def query_leaf_scan(spark, sf):
 def query_scrub_json(spark, sf):
     done = scrub_structured(records(spark, sf, texts.JSON_RECORD, "json"))
     value = F.from_json("text", "struct<src:string,note:string,tags:array<string>>")
-    rows = done.select("doc_id", value.alias("v"), F.get_json_object("text", "$.tags[1].at").alias("seen_at"))
-    return rows.select("doc_id", "v.src", "v.note", F.get("v.tags", F.lit(0)).alias("who"), "seen_at")
+    rows = done.select("doc_id", "text", value.alias("v"), F.get_json_object("text", "$.tags[1].at").alias("seen_at"))
+    return rows.select("doc_id", "text", "v.src", "v.note", F.get("v.tags", F.lit(0)).alias("who"), "seen_at")
 
 
 def query_scrub_csv(spark, sf):
@@ -310,7 +318,7 @@ def query_scrub_columns(spark, sf):
 def query_scrub_table(spark, sf):
     customers = spread(table(spark, sf, "customer", "c_custkey"), "c_custkey")
     rows = customers.select("c_custkey", F.expr(texts.TABLE_NOTE).alias("note"), F.expr(texts.TABLE_ADDR).alias("addr"))
-    done = scrub_table(rows, ["note", "addr"], "c_custkey", F.floor(F.col("c_custkey") / 65_536))
+    done = scrub_table(rows, ["note", "addr"], "c_custkey", F.floor(F.col("c_custkey") / 64))
     return done.select("c_custkey", "note", "addr")
 
 
@@ -359,13 +367,74 @@ def query_stream_scrub(spark, sf):
 def query_stream_risk(spark, sf):
     out = scratch_dir(spark, "stream-risk")
     records = _stream(spark, sf, "events").select("ts", F.expr(texts.RECORD_TEXT).alias("text"))
-    stream = (
-        risk_by_window(records, "ts").writeStream.outputMode("append").format("parquet")
-        .option("checkpointLocation", scratch_dir(spark, "stream-risk-state")).trigger(availableNow=True).start(out)
-    )
-    stream.awaitTermination()
-    rows = spark.read.schema("window_start timestamp, n_records bigint, n_findings bigint, score bigint").parquet(out)
-    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    write_risk(risk_by_window(records, "ts"), out).awaitTermination()
+    return read_risk(spark, out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def query_find_email_long(spark, sf):
+    """Local parts of any length, behind letters and marks that are no part of them."""
+    (rule,) = [r for r in DEFAULT.rules("DOC") if r.label == "EMAIL_ADDRESS"]
+    return _spans(_from_customers(spark, sf, texts.LONG_MAIL), regex_spans(F.col("text"), rule.java, rule.guard))
+
+
+def query_find_location_long(spark, sf):
+    """Names of up to five words from a table: sizes are those of the list."""
+    nations, regions = table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey"), table(spark, sf, "region", "r_regionkey", "r_name")
+    places = nations.join(regions, nations.n_regionkey == regions.r_regionkey)
+    names = places.select(F.explode(F.array(F.concat_ws(" ", "n_name", "r_name", "n_name"), F.concat_ws(" ", F.lit("lives in"), "n_name", "r_name"))).alias("value"))
+    customers = spread(table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey"), "c_custkey")
+    docs = customers.join(places, customers.c_nationkey == places.n_nationkey).select(F.col("c_custkey").alias("doc_id"), F.expr(texts.PLACE_TEXT).alias("text"))
+    return _listed(name_spans(docs, names.withColumn("label", F.lit("LOCATION"))), "start_at", "end_at", "snippet")
+
+
+def query_allow_list_scan(spark, sf):
+    """An allow-list of more entries than travel in the plan, given to the scan itself."""
+    ids = spark.range(20_000).select(F.concat(F.lit("u"), F.col("id")).alias("value"))
+    config = ScanConfig.from_tables(ignore=ids.union(_allowed(spark, sf)))
+    return _listed(findings_table(scan(logs(spark, sf), config, "DOC")), "label", "start_at", "snippet")
+
+
+def query_find_edges(spark, sf):
+    """Literals that are not spelled as they read, in sources that parse only when dedented: found by their two ends."""
+    docs = _from_customers(spark, sf, texts.EDGED)
+    found = findings_table(scan(docs, DEFAULT, "CODE")).where(F.col("label") == "SECRET_VAR_ASSIGNMENT")
+    return _listed(found, "start_at", "end_at", "snippet")
+
+
+def query_csv_ragged(spark, sf):
+    """Rows of different length and empty lines keep all they have."""
+    docs = _from_customers(spark, sf, texts.RAGGED).select("doc_id", F.lit("csv").alias("fmt"), "text")
+    return scrub_structured(docs).select("doc_id", "text")
+
+
+def _mixed_formats(spark, sf):
+    """One table of sources, logs, JSON, CSV and XML, told apart by path."""
+    parts = [sources(spark, sf).withColumn("path", F.lit("/src/a.py")), _after(logs(spark, sf)).withColumn("path", F.lit("/log/a.log"))]
+    for i, (text, fmt) in enumerate(((texts.JSON_RECORD, "json"), (texts.CSV_RECORD, "csv"), (texts.XML_RECORD, "xml")), 2):
+        rows = records(spark, sf, text, fmt).select((F.col("doc_id") + i * FIRST_LOG_ID).alias("doc_id"), "text")
+        parts.append(rows.withColumn("path", F.lit(f"/data/a.{fmt}")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def query_scrub_any(spark, sf):
+    return scrub_any(_mixed_formats(spark, sf)).select("doc_id", "text", "engine")
+
+
+def query_scan_any(spark, sf):
+    found = findings_table(scrub_any(_mixed_formats(spark, sf)))
+    return _listed(found, "leaf", "label", "start_at", "end_at", "snippet")
+
+
+def query_scrub_wide(spark, sf):
+    """A row of forty strings, half of them in a struct, and an array in between."""
+    events = spread(table(spark, sf, "events", "event_id", "user_id", "props"), "event_id")
+    leaves = [F.expr(leaf) for leaf in texts.LEAVES]
+    flat = [leaves[i % 4].alias(f"c{i}") for i in range(18)]
+    inner = F.struct(*(leaves[i % 4].alias(f"f{i}") for i in range(20)))
+    rows = events.select(F.col("event_id").alias("doc_id"), *flat, F.array(leaves[2], leaves[0]).alias("list"), inner.alias("inner"))
+    done = scrub_columns(rows, [f"c{i}" for i in range(18)] + ["list", "inner"])
+    last = [F.col("inner")[f"f{i}"] for i in range(20)]
+    return done.select("doc_id", F.concat_ws("|", *(f"c{i}" for i in range(18)), "list", *last).alias("text"))
 
 
 FIND: dict[str, tuple] = {

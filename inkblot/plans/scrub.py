@@ -6,6 +6,7 @@ stream. ``docs`` has an id and a text, and may have ``kind`` (``CODE`` or ``DOC`
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from inkblot.functions.arrays import empty, let
 from inkblot.functions.routing import kind_of
 from inkblot.operators.context import suspicious_literals
 from inkblot.operators.detect import FINDING, findings_of
+from inkblot.operators.findings import allow_large
+from inkblot.operators.names import add_names
 from inkblot.operators.resolve import PLACED, number, resolve, rewrite
 from inkblot.rules import ScanConfig
 
@@ -34,14 +37,29 @@ def with_kind(docs: DataFrame, kind: str | None = None) -> DataFrame:
     return docs.withColumn("kind", kind_of(F.col("path")) if "path" in docs.columns else F.lit("DOC"))
 
 
-def scan(docs: DataFrame, config: ScanConfig | None = None, kind: str | None = None, text_col: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, config: ScanConfig | None = None, kind: str | None = None, text_col: str = "text", id_col: str = "doc_id",
+) -> DataFrame:
     """``docs`` with ``kind`` and ``findings``: every finding, in resolving order.
 
-    Give ``kind`` when all documents are of one, and only its rules enter the plan.
+    Give ``kind`` when all documents are of one, and only its rules enter the plan. Lists that are too
+    long for the plan are joined, by ``id_col``; all else is worked out inside the row.
     """
-    config = config or ScanConfig()
+    config = (config or ScanConfig()).tables(docs.sparkSession)
     one_kind = kind or ("DOC" if not {"kind", "path"} & set(docs.columns) else None)
     routed = with_kind(docs, one_kind)
+    if one_kind is None and config.names_table is not None:
+        parts = [scan(routed.where(F.col("kind") == k), config, k, text_col, id_col) for k in ("CODE", "DOC")]
+        return parts[0].unionByName(parts[1])
+    found = _in_row(routed, replace(config, ignore_table=None, names_table=None), one_kind, text_col)
+    if config.names_table is not None:
+        found = add_names(found, config.names_table, one_kind, config, id_col, text_col)
+    if config.ignore_table is not None:
+        found = allow_large(found, config.ignore_table, id_col)
+    return found
+
+
+def _in_row(routed: DataFrame, config: ScanConfig, one_kind: str | None, text_col: str) -> DataFrame:
     if one_kind == "DOC":
         found = _findings("DOC", config, text_col, None)
         return routed.withColumn("findings", F.when(F.col(text_col).isNotNull(), found).otherwise(empty(FINDING)))
@@ -75,14 +93,14 @@ def scrub_scanned(scanned: DataFrame, text_col: str = "text") -> DataFrame:
 
 def scrub(
     docs: DataFrame, config: ScanConfig | None = None, kind: str | None = None,
-    text_col: str = "text", keep_vault: bool = True,
+    text_col: str = "text", keep_vault: bool = True, id_col: str = "doc_id",
 ) -> DataFrame:
     """Documents with placeholders for what was found; one-way unless the vault is kept.
 
     With the vault, ``findings`` and ``placed`` stay on the row: write the texts and
     :func:`vault_table` to separate places.
     """
-    done = scrub_scanned(scan(docs, config, kind, text_col), text_col)
+    done = scrub_scanned(scan(docs, config, kind, text_col, id_col), text_col)
     return done if keep_vault else done.drop("findings", "placed", "kind")
 
 

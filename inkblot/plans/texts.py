@@ -42,13 +42,19 @@ LEAVES = (
     f"concat('10.3.3.', {_O})",
 )
 JSON_RECORD = f"""concat('{{"id": ', {_O}, ', "src": "', {LEAVES[0]}, '", "note": "', {LEAVES[1]},
- '", "tags": ["', {LEAVES[2]}, '", {{"at": "', {LEAVES[3]}, '"}}], "10.9.9.9": true}}')"""
+ '", "tags": ["', {LEAVES[2]}, '", {{"at": "', {LEAVES[3]}, '"}}], "props": ', props, ', "10.9.9.9": true}}')"""
 CSV_RECORD = f"""concat('10.0.0.1,note', chr(13), chr(10), {LEAVES[0]}, ',"', {LEAVES[1]}, ', ', {LEAVES[2]}, '"', chr(13), chr(10))"""
 XML_RECORD = f"""concat('<r a="', {LEAVES[0]}, '"><!-- x --><b>', {LEAVES[1]}, '</b>tail ', {LEAVES[3]}, '</r>')"""
 TABLE_NOTE = "concat('zip ', lpad(cast(c_custkey % 100000 as varchar(20)), 5, '0'), ' seen at 10.0.', cast(c_custkey % 256 as varchar(20)), '.1 and 10.0.', cast(c_custkey % 256 as varchar(20)), '.2')"
 TABLE_ADDR = "concat('10.7.', cast(c_custkey % 256 as varchar(20)), '.3')"
 RECORD_TEXT = "concat('from 10.0.', cast(event_id % 256 as varchar(20)), '.1 by user=u', cast(user_id as varchar(20)))"
 PLACE_TEXT = """concat(c_name, ' lives in ', n_name, ' ', r_name, ', not in ', r_name, '.')"""
-PATH = """concat('/data/p', cast(page_id as varchar(20)), case page_id % 7 when 0 then '.py' when 1 then '.PY' when 2 then '.js'
- when 3 then '.yml' when 4 then '.json' when 5 then '' else '/.py' end)"""
+# The second half of a page's address decides its path; a page without one is plain text.
+PAGE_PATH = """concat(regexp_replace(split_part(url, '?', 1), '#.*$', ''), case page_id % 5 when 0 then '/a.PY' when 1 then '/b.json' when 2 then '/c.js' else '' end)"""
+# Addresses with long local parts, behind letters and marks that do not belong to them.
+LONG_MAIL = f"""concat('write to ', repeat('ab.', cast(c_custkey % 60 as int)), repeat('x', cast(30 + c_custkey % 90 as int)), '@mail.example.org, not to (', '--.a', {_K}, '@x.example.com or to ', 'é', repeat('y', cast(c_custkey % 70 as int)), '.z@y.example.net')"""
+# Rows of different length, some without a cell.
+RAGGED = f"""concat('10.0.', {_mod(256)}, '.1,b', repeat(',10.1.', 1), {_mod(256)}, '.2', chr(10), chr(10), 'x,y', chr(10), 'user=u', {_K}, ',"10.2.', {_mod(256)}, '.3, z",,10.3.', {_mod(256)}, '.4', chr(10))"""
+# Sources whose indented text parses only when dedented, and whose literals are not spelled as they read.
+EDGED = f"""concat('  password = "', substr({_M}, 1, 24), chr(92), 'n', substr({_M}, 5, 24), '"', chr(10), '  x = 1', chr(10))"""
 PEOPLE_TEXT = "concat(c_name, ' of ', c_mktsegment, ' wrote')"

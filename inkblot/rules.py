@@ -14,9 +14,9 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 
-from inkblot.functions.dialect import RuleError, java_pattern
+from inkblot.functions.dialect import WORD, RuleError, java_pattern
 from inkblot.functions.entropy import ENTROPY_THRESHOLD
 
 # ---------------------------------------------------------------------------------------------
@@ -69,10 +69,9 @@ DOC_ENTITIES = ("PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN", "IP_ADDRESS
 # End of fixed values.
 # ---------------------------------------------------------------------------------------------
 
-# Entities that have a written form. Bounded repeats keep each of them linear in the text, and the
-# leading look-aheads turn most positions down by one character.
+# Entities that have a written form. The leading look-aheads turn most positions down by one character.
 ENTITY_PATTERNS = {
-    "EMAIL_ADDRESS": r"\b[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
+    "EMAIL_ADDRESS": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
     "PHONE_NUMBER": (
         r"(?=[+(\d])(?:\+\d{1,3}[ .\-]?|\b1[ .\-])?(?:\(\d{3}\) ?|\b\d{3}[ .\-])\d{3}[ .\-]\d{4}\b"
     ),
@@ -86,6 +85,17 @@ ENTITY_PATTERNS = {
     ),
 }
 
+# A local part of any length is tried from the first word boundary of its run of characters only: where
+# that fails, every later one does. So the cost stays linear without a bound on what is found. A start is
+# turned down if a boundary of the same run lies shortly before it; the end of the last match may be one.
+_LOCAL, _MARKS = r"[A-Za-z0-9._%+\-]", r"[.%+\-]"
+LINEAR_FORMS = {
+    "EMAIL_ADDRESS": (
+        rf"(?:\G|(?<!{_LOCAL})|(?<={_MARKS})(?=[A-Za-z0-9_])(?<![{WORD}]{_MARKS}{{1,16}})"
+        rf"|(?<=[A-Za-z0-9_])(?={_MARKS})(?<!(?:^|[^{WORD}])[A-Za-z0-9_]{{1,32}}))"
+    ),
+}
+
 # Literals of which every match of the built-in pattern holds, or directly follows, at least one.
 GUARDS = {
     "IPV6": (":",),
@@ -133,13 +143,19 @@ class CustomRule:
 
 
 def _bounded(rows: DataFrame, what: str) -> list[Row]:
-    """The rows of a small table; refuses, after reading no more than the limit, a large one."""
-    got = rows.limit(INLINE_LIMIT + 1).collect()
-    if len(got) > INLINE_LIMIT:
-        raise ValueError(f"{what} has more than {INLINE_LIMIT} rows; use the join form instead")
+    """The rows of a table of rules, each of which becomes a part of the plan."""
+    got = _few(rows)
+    if got is None:
+        raise ValueError(f"{what} has more than {INLINE_LIMIT} rows; every one of them would be a detector of its own")
     return got
 
 
+def _few(rows: DataFrame) -> list[Row] | None:
+    """The rows of a table that can travel in the plan; None, after reading one row more, for a larger one."""
+    got = rows.limit(INLINE_LIMIT + 1).collect()
+    return got if len(got) <= INLINE_LIMIT else None
+
+
 @dataclass(frozen=True)
 class ScanConfig:
     """What a scan looks for. Build one from a mapping, a file or tables, or use the defaults."""
@@ -150,6 +166,9 @@ class ScanConfig:
     names: tuple[tuple[str, str], ...] = ()  # (value, PERSON or LOCATION)
     entropy_threshold: float = ENTROPY_THRESHOLD
     entities: bool = field(default=True)
+    # Lists too long for the plan, as tables that a scan joins: ``value``, and ``value, label``.
+    ignore_table: DataFrame | None = field(default=None, compare=False)
+    names_table: DataFrame | None = field(default=None, compare=False)
 
     @classmethod
     def from_mapping(cls, config: Mapping) -> ScanConfig:
@@ -186,19 +205,42 @@ class ScanConfig:
         names: DataFrame | None = None,
     ) -> ScanConfig:
         """From tables ``rules(name, regex, score)``, ``ignore(value)``, ``suspicious(name)`` and
-        ``names(value, label)``, each checked to be small."""
+        ``names(value, label)``.
+
+        Rules and suspicious names become detectors. Allow-lists and lists of names may have any
+        length: short ones travel in the plan, others are joined by the scan, with the same result.
+        """
+        ignored = ignore.select("value") if ignore is not None else None
+        listed = names.select("value", "label") if names is not None else None
+        few_ignored = _few(ignored) if ignored is not None else []
+        few_names = _few(listed) if listed is not None else []
         return cls(
             custom_rules=tuple(
                 CustomRule(r["name"], r["regex"], r.asDict().get("score")) for r in _bounded(rules, "rules")
             ) if rules is not None else (),
-            ignore=frozenset(r["value"] for r in _bounded(ignore.select("value"), "ignore")) if ignore is not None else frozenset(),
+            ignore=frozenset(r["value"] for r in few_ignored or () if r["value"] is not None),
             extra_suspicious=tuple(r["name"] for r in _bounded(suspicious.select("name"), "suspicious")) if suspicious is not None else (),
-            names=tuple((r["value"], r["label"]) for r in _bounded(names.select("value", "label"), "names")) if names is not None else (),
+            names=tuple((r["value"], r["label"]) for r in few_names or () if r["value"] is not None),
+            ignore_table=ignored if few_ignored is None else None,
+            names_table=listed if few_names is None else None,
         )
 
     def with_names(self, names: Sequence[tuple[str, str]]) -> ScanConfig:
         return replace(self, names=tuple(names))
 
+    def tables(self, spark: SparkSession) -> ScanConfig:
+        """This configuration with lists that are too long for the plan as tables."""
+        out = self
+        if len(self.ignore) > INLINE_LIMIT:
+            rows = spark.createDataFrame([(v,) for v in sorted(self.ignore)], "value string")
+            rows = rows if self.ignore_table is None else rows.union(self.ignore_table)
+            out = replace(out, ignore=frozenset(), ignore_table=rows)
+        if len(self.names) > INLINE_LIMIT:
+            rows = spark.createDataFrame(list(self.names), "value string, label string")
+            rows = rows if self.names_table is None else rows.union(self.names_table)
+            out = replace(out, names=(), names_table=rows)
+        return out
+
     @cached_property
     def suspicious(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(SUSPICIOUS_NAMES + self.extra_suspicious))
@@ -249,7 +291,7 @@ class ScanConfig:
                 # only the code engine ranks findings that start together; documents go by rule order
                 self.priority(label) if kind == "CODE" else 0,
                 self.weight(label),
-                java_pattern(regex) if regex else "",
+                _java(label, detector, regex) if regex else "",
                 guard,
             )
             for ordinal, (label, detector, regex, guard) in enumerate(parts)
@@ -259,6 +301,13 @@ class ScanConfig:
         return sorted({" ".join(value.lower().split()) for value, of in self.names if of == label and value.strip()})
 
 
+def _java(label: str, detector: str, regex: str) -> str:
+    if detector != "entity" or label not in LINEAR_FORMS:
+        return java_pattern(regex)
+    flags, body = java_pattern(regex).split(")", 1)
+    return f"{flags}){LINEAR_FORMS[label]}{body.replace('+@', '++@', 1)}"
+
+
 def _parse_config(text: str):
     try:
         return json.loads(text)

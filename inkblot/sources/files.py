@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import sys
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +17,9 @@ from pyspark.sql import types as T
 from inkblot.functions.routing import format_of, kind_of
 from inkblot.operators.structured import BLOCK_ROWS
 
+# The helpers below run in Python workers, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Pages of one document joined in the first of two steps.
 PAGES_PER_CHUNK = 256
 
@@ -40,7 +50,8 @@ def read_documents(spark: SparkSession, path: str, strict: bool = False, **optio
     valid = F.call_function("is_valid_utf8", F.col("content").cast("string"))
     bad = ~valid if strict else F.lit(False)
     return files.select(
-        F.xxhash64("path").alias("doc_id"),
+        # 128 bits: an id that two files share would give one the originals of the other
+        F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 32).alias("doc_id"),
         "path",
         kind_of(F.col("path")).alias("kind"),
         format_of(F.col("path")).alias("fmt"),
@@ -66,19 +77,37 @@ def assemble_pages(
     return chunked.groupBy(id_col, "_chunk").agg(joined(page_col)).groupBy(id_col).agg(joined("_chunk"))
 
 
+def _cells(texts: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Lines, or whole files, taken apart: each row's cells with its number in the line or file."""
+    for batch in texts:
+        taken, numbers, cells = [], [], []
+        for i, text in enumerate(batch.column("value").to_pylist()):
+            rows = csv.reader(io.StringIO(text, newline="")) if whole else [next(csv.reader([text]), [])]
+            for number, row in enumerate(rows):
+                taken.append(i)
+                numbers.append(number)
+                cells.append(row)
+        rest = batch.select(["_path", "_begin", "_line"]).take(pa.array(taken, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["_path", "_begin", "_line", "_number", "cells"])
+
+
 def read_csv_rows(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """CSV files as tables of strings, header row included, for :func:`scrub_table`.
 
-    Adds ``_path`` (the scope), ``_order`` and ``_part`` (its blocks). Files without line feeds in
+    Rows keep all their cells, however many the first one has, and empty lines are rows without cells:
+    there are as many columns ``_c0, _c1, ..`` as the longest row has cells, with nulls where a row ends
+    before. Adds ``_path`` (the scope), ``_order`` and ``_part`` (its blocks). Files without line feeds in
     quoted cells can be read with ``multiline=False``, which lets large ones be split.
     """
-    rows = spark.read.csv(path, header=False, multiLine=multiline, escape='"', emptyValue="")
-    order = F.monotonically_increasing_id()
+    texts = spark.read.text(path, wholetext=multiline).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_begin"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    taken = texts.mapInArrow(lambda rows: _cells(rows, multiline), "_path string, _begin long, _line long, _number long, cells array<string>")
+    width = taken.agg(F.max(F.size("cells"))).first()[0] or 0
     # rows of a split are consecutive, and splits of a file are in order of their first byte
-    begin = F.col("_metadata.file_block_start")
-    return rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.struct(begin.alias("begin"), order.alias("row")).alias("_order"),
-        F.struct(begin.alias("begin"), F.floor(order / BLOCK_ROWS).alias("block")).alias("_part"),
+    row = F.struct(F.col("_begin").alias("begin"), F.col("_line").alias("line"), F.col("_number").alias("row"))
+    block = F.struct(
+        F.col("_begin").alias("begin"), F.floor(F.col("_line") / BLOCK_ROWS).alias("block"), F.floor(F.col("_number") / BLOCK_ROWS).alias("rows"),
     )
+    return taken.select(*(F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(width)), "_path", row.alias("_order"), block.alias("_part"))

@@ -1,4 +1,4 @@
-"""Writing results: texts and vault always apart."""
+"""Writing results of any of the scrubs: texts and vault always apart."""
 
 from __future__ import annotations
 

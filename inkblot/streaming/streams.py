@@ -6,43 +6,71 @@ its own document. Only totals over time keep state, bounded by a watermark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkblot.operators.risk import count_of, score_of
 from inkblot.plans.scrub import scan, scrub, vault_table
 from inkblot.rules import ScanConfig
-from inkblot.session import scratch_dir, spread
+from inkblot.session import scratch_dir
 
 
 def scrub_stream(
     docs: DataFrame, text_path: str, vault_path: str | None = None, config: ScanConfig | None = None,
-    kind: str | None = None, checkpoint: str | None = None, id_col: str = "doc_id",
+    kind: str | None = None, checkpoint: str | None = None, id_col: str = "doc_id", trigger: dict | None = None,
 ) -> StreamingQuery:
     """Scrub a stream into ``text_path`` and, if given, its vault into ``vault_path``.
 
     Each micro-batch writes both under its batch number, so that one that is run again after a
-    failure replaces what it wrote before.
+    failure replaces what it wrote before. ``trigger`` is that of ``DataStreamWriter.trigger``; by
+    default what is there is worked off, and the query ends.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        done = scrub(spread(batch, id_col), config, kind)
+        done = scrub(batch, config, kind, id_col=id_col)
         if vault_path is not None:
             done = done.persist()
-        if vault_path is not None:
-            vault_table(done, id_col).write.mode("overwrite").parquet(f"{vault_path}/batch={number}")
-        done.select(id_col, "text", "engine").write.mode("overwrite").parquet(f"{text_path}/batch={number}")
-        done.unpersist()
+        try:
+            if vault_path is not None:
+                vault_table(done, id_col).write.mode("overwrite").parquet(f"{vault_path}/batch={number}")
+            done.select(id_col, "text", "engine").write.mode("overwrite").parquet(f"{text_path}/batch={number}")
+        finally:
+            done.unpersist()
 
     return (
         docs.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint or scratch_dir(docs.sparkSession, "scrub-stream"))
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def write_risk(windows: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the windows of :func:`risk_by_window` in ``path``: every one that has a record, the last ones too.
+
+    Windows are written each time they change, under the number of the batch; :func:`read_risk` takes the
+    newest. A sink that waits for the watermark would hold back the last windows of a stream that ends.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        windows.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint or scratch_dir(windows.sparkSession, "risk-stream"))
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_risk(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of every window that :func:`write_risk` kept."""
+    kept = spark.read.schema("window_start timestamp, n_records bigint, n_findings bigint, score bigint, batch bigint").parquet(path)
+    newest = F.max_by(F.struct("n_records", "n_findings", "score"), "batch").alias("w")
+    return kept.groupBy("window_start").agg(newest).select("window_start", "w.*")
+
+
 def risk_by_window(
     records: DataFrame, ts_col: str, config: ScanConfig | None = None, late: str = "10 minutes",
     every: str = "1 hour", kind: str = "DOC", text_col: str = "text",

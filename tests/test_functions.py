@@ -4,12 +4,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from inkblot import CustomRule, ScanConfig, scan
 from inkblot import rules as R
 from inkblot.functions.arrays import BLOCK, collect_pass, offsets
 from inkblot.functions.dialect import RuleError, java_pattern
 from inkblot.functions.entropy import high_entropy_spans, least_length, shannon_entropy, token_spans
 from inkblot.functions.routing import extension, format_of, kind_of
-from inkblot.functions.spans import literal_hit, ngram_key, ngram_spans, place, regex_spans
+from inkblot.functions.spans import literal_hit, ngram_hits, ngram_key, place, regex_spans
+from inkblot.operators.findings import findings_table
 from tests import brute
 
 ODD = ["", "a", "\x00", "10.0.0.1", "😀", "é", "\u0301", "²", "_", "-", "٣", "２３４５６", "\x1c", "\x85", "\u00a0", "\u2028", "\n", "\r\n", " ",
@@ -30,7 +32,8 @@ def spans(rows, column="s"):
 def test_rules_match_as_in_python(spark, texts, label):
     pattern = {**R.ENTITY_PATTERNS, **R.CODE_PATTERNS, **R.DOC_PATTERNS}[label]
     values = odd_texts(300)
-    got = spans(texts(values).select("doc_id", regex_spans(F.col("text"), java_pattern(pattern), R.GUARDS.get(label, ())).alias("s")).collect())
+    java = R._java(label, "entity" if label in R.ENTITY_PATTERNS else "pattern", pattern)
+    got = spans(texts(values).select("doc_id", regex_spans(F.col("text"), java, R.GUARDS.get(label, ())).alias("s")).collect())
     for i, text in enumerate(values):
         assert got[i] == [(m.start(), m.end(), m.group()) for m in re.finditer(pattern, text)], repr(text)
 
@@ -46,7 +49,7 @@ def test_dialect(spark, texts, pattern):
         assert got[i] == [(m.start(), m.end(), m.group()) for m in re.finditer(pattern, text)], repr(text)
 
 
-@pytest.mark.parametrize("pattern", ["(", "a*", r"\b", "(?=a)", "(a)?(?(1)b|c)", r"(?a)\w", r"\N{BULLET}", "x(?#note)"])
+@pytest.mark.parametrize("pattern", ["(", "a*", r"\b", "(?=a)", "(a)?(?(1)b|c)", r"(?a)\w", r"\N{BULLET}", r"(?:[a-z]|\d)+Z", r"(ab|c)*x", r"(?:(?:a|b)+c){2}"])
 def test_rules_that_cannot_run_are_refused(pattern):
     with pytest.raises(RuleError):
         java_pattern(pattern)
@@ -102,7 +105,7 @@ def test_token_spans(spark, texts):
 
 
 def test_ngrams(spark, texts):
-    got = spans(texts(["New  York is\nnew, York"]).select("doc_id", ngram_spans(F.col("text"), 2).alias("s")).collect())[0]
+    got = spans(texts(["New  York is\nnew, York"]).select("doc_id", place(F.get(ngram_hits(F.col("text"), {2: None}), F.lit(0))).alias("s")).collect())[0]
     assert got == [(0, 9, "New  York"), (5, 12, "York is"), (10, 16, "is\nnew")]
     assert spark.range(1).select(ngram_key(F.lit("New  York"))).first()[0] == "new york"
 
@@ -115,3 +118,20 @@ def test_routing(spark):
         (".py", "CODE", "py"), (".py", "CODE", "py"), ("", "DOC", ""), ("", "DOC", ""), (".json", "DOC", "json"), (".js", "DOC", "txt"),
         (".yml", "DOC", "txt"), ("", "DOC", ""), ("", "DOC", ""), ("", "DOC", ""), (".", "DOC", ""),
     ]
+
+
+@pytest.mark.parametrize("pattern,value", [
+    (r"\101\102", "xABy"), (r"[\101-\103]+", "xABCy"), (r"a\0b", "a\0b"), (r"(.)x\1", "axa bxb"), (r"\60[\7]", "0\7"), (r"a(?#note)b[(?#]", "ab("), (r"(?:[a-z]|\d)++Z", "ab1Z " * 3),
+])
+def test_respelled_rules_find_the_same(spark, texts, pattern, value):
+    if pattern.startswith(r"\60"):
+        pattern = r"\060[\7]"
+    got = spans(texts([value]).select("doc_id", regex_spans(F.col("text"), java_pattern(pattern)).alias("s")).collect()).get(0, [])
+    assert [x[2] for x in got] == [m.group() for m in re.finditer(pattern, value)]
+
+
+def test_a_long_token_does_not_end_the_job(spark, texts):
+    value = "ab1" * 40_000 + "Z"
+    rule = CustomRule("POSSESSIVE", r"(?:[a-y]|\d)++Z")
+    found = findings_table(scan(texts([value]), ScanConfig(custom_rules=(rule,)))).where("label = 'POSSESSIVE'").collect()
+    assert [len(r.snippet) for r in found] == [len(value)]

@@ -1,9 +1,13 @@
 """What the plans must and must not contain, and that the registry is whole."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as spark_entry
 from inkblot import scan, scrub, vault_table
 from inkblot.operators.findings import findings_table
 from inkblot.operators.risk import risk
+from inkblot.operators.structured import scrub_table
+from inkblot.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +27,9 @@ def test_findings_are_detected_once(spark, texts):
     for df in (findings_table(scan(texts(["x"]))), vault_table(scrub(texts(["x"]))), scrub(texts(["x"])), risk(scan(texts(["x"])))):
         optimized = df._jdf.queryExecution().optimizedPlan().toString()
         assert optimized.count("sk_live_[0-9a-zA-Z]+") == 4
+    # a table is detected before its plan is returned, and read from there for counts and rows
+    table = scrub_table(texts(["x"]), ["text"], "doc_id", F.lit(0))
+    assert "sk_live_" not in table._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_only_needed_columns_are_read(spark):
@@ -33,4 +40,5 @@ def test_only_needed_columns_are_read(spark):
 def test_entry_and_registry(spark):
     rows = spark_entry.entry(spark).collect()
     assert len(rows) == 200
-    assert set(spark_entry.oracle_sql()) == set(spark_entry.queries())
+    assert set(oracles.oracle_sql()) == set(queries.queries())
+    assert set(queries.queries()) <= set(spark_entry.queries()) and set(spark_entry.oracle_sql()) <= set(spark_entry.queries())

@@ -8,7 +8,7 @@ from inkblot.functions.dialect import RuleError
 from inkblot.operators.context import assign_sites, python_sites
 from inkblot.operators.findings import allow_large, drop_allowed, findings_json, findings_table, with_copies
 from inkblot.operators.names import add_names
-from inkblot.operators.restore import has_placeholder_text, restore, restore_text
+from inkblot.operators.restore import has_placeholder_text, restore, restore_text, vault_conflicts
 from inkblot.operators.risk import band, report, risk, risk_of_table
 from tests import brute
 from tests.test_functions import odd_texts
@@ -129,7 +129,7 @@ def test_kinds_are_routed(spark, texts):
     assert {r.doc_id: r.engine for r in scrub(docs).collect()} == {0: "CODE", 9: "DOC"}
 
 
-def test_configuration(spark, tmp_path):
+def test_configuration(spark, texts, tmp_path):
     (tmp_path / "bad.yaml").write_text("{not: [closed")
     (tmp_path / "good.json").write_text('{"ignore": ["a"], "suspicious_vars": ["pin"], "custom_rules": [{"name": "T", "regex": "t+", "score": 7}]}')
     with pytest.warns(UserWarning):
@@ -139,8 +139,15 @@ def test_configuration(spark, tmp_path):
     for rule in ({"name": "", "regex": "a"}, {"name": "x"}, {"name": "a<b", "regex": "a"}, {"name": "x", "regex": "a?"}):
         with pytest.raises(RuleError):
             ScanConfig.from_mapping({"custom_rules": [rule]})
-    with pytest.raises(ValueError, match="join form"):
-        ScanConfig.from_tables(ignore=spark.range(20_000).selectExpr("cast(id as string) as value"))
+    large = spark.range(20_000).selectExpr("concat('10.0.0.', id) as value")
+    config = ScanConfig.from_tables(ignore=large)
+    assert config.ignore_table is not None and not config.ignore
+    found = findings_table(scan(texts(["10.0.0.7 10.1.0.7", "x"]), config))
+    assert {r.snippet for r in found.collect()} == {"10.1.0.7"}
+    listed = ScanConfig().with_names([(f"Name{i} of House {i}", "PERSON") for i in range(12_000)])
+    found = findings_table(scan(texts(["here is Name11999 of House 11999."]), listed, "DOC"))
+    assert [r.snippet for r in found.where("label = 'PERSON'").collect()] == ["Name11999 of House 11999"]
+    assert ScanConfig.from_mapping({"ignore": [f"10.0.0.{i}" for i in range(12_000)]}).tables(spark).ignore_table is not None
 
 
 def test_allow_list_forms_agree(spark, texts):
@@ -148,7 +155,7 @@ def test_allow_list_forms_agree(spark, texts):
     allow = spark.createDataFrame([("10.0.0.1",), ("A",), (None,)], "value string")
     scanned = scan(docs)
     inline = findings_table(scan(docs, ScanConfig(ignore=frozenset(["10.0.0.1", "A"]))))
-    small, large = (drop_allowed(findings_table(scanned), allow, limit=n) for n in (10, 0))
+    small, large = (drop_allowed(findings_table(scanned), a) for a in (allow, allow.hint("shuffle_merge")))
     within = findings_table(allow_large(scanned, allow))
     columns = ["doc_id", "start", "label", "snippet"]
     want = sorted(map(tuple, inline.select(columns).collect()))
@@ -162,8 +169,8 @@ def test_name_list_forms_agree(spark, texts):
     for kind in ("DOC", "CODE"):
         inline = findings_table(scan(docs, ScanConfig().with_names(names), kind))
         table = spark.createDataFrame(names, "value string, label string")
-        for limit in (0, 100):
-            joined = findings_table(add_names(scan(docs, ScanConfig(), kind), table, 2, kind, limit=limit))
+        for joined in (add_names(scan(docs, ScanConfig(), kind), table, kind), scan(docs, ScanConfig(names_table=table), kind)):
+            joined = findings_table(joined)
             columns = ["doc_id", "ord", "start", "end", "label", "snippet", "priority", "weight"]
             assert sorted(map(tuple, joined.select(columns).collect())) == sorted(map(tuple, inline.select(columns).collect()))
         got = {(r.doc_id, r.snippet) for r in inline.collect() if r.detector == "names"}
@@ -210,8 +217,36 @@ def test_restore_of_an_edited_text(spark, texts):
     assert got == {0: "eleven one, one again, <B_1>", 1: "other<A_2>", 2: "nothing"}
 
 
+def test_restore_from_a_vault_with_repeated_rows(spark, texts):
+    rows = [(0, "<A_1>", "one"), (0, "<A_1>", "one"), (0, "<A_2>", "two"), (1, "<A_1>", "b"), (1, "<A_1>", "a")]
+    vault = spark.createDataFrame(rows, "doc_id bigint, placeholder string, original string")
+    got = {r.doc_id: r.text for r in restore(texts(["x <A_1> y <A_2> z <A_1>", "<A_1>"]), vault).collect()}
+    assert got == {0: "x one y two z one", 1: "a"}
+    assert [(r.doc_id, r.placeholder, r.n) for r in vault_conflicts(vault).collect()] == [(1, "<A_1>", 2)]
+
+
+def test_restore_by_map_of_very_many(spark, texts):
+    value = "10.0.0.1, 12345; " * 8000
+    done = scrub(texts([value]))
+    entries = F.map_from_entries(F.transform("placed", lambda p: F.struct(p["placeholder"], p["original"])))
+    assert done.select(restore_text(F.col("text"), entries).alias("t")).first().t == value
+
+
+def test_long_local_parts(spark, texts):
+    values = ["a" * 70 + "@example.org", "x" + ".y" * 5000 + "@example.org", "." * 40 + "b@x.org-c@d.org", "éabc.def@x.org", "a.b.c" * 20_000, "é" + "k" * 90 + ".z@y.org _-%a@b.co"]
+    done = scan(texts(values), ScanConfig())
+    got = {}
+    for r in findings_table(done).where("label = 'EMAIL_ADDRESS'").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.snippet))
+    for i, value in enumerate(values):
+        want = [(f[0], f[3]) for f in brute.pattern_findings(value, [("E", brute.R.ENTITY_PATTERNS["EMAIL_ADDRESS"])])] if i != 4 else []
+        assert sorted(got.get(i, [])) == want, value[:50]
+
+
 def test_restore_by_map_goes_longest_first(spark, texts):
     docs = texts(["<A_11> <A_1>"])
+    plain = F.create_map(F.lit("<A_1>"), F.lit("x"), F.lit("<B_1>"), F.lit("y"))
+    assert docs.select(restore_text(F.col("text"), plain)).first()[0] == "<A_11> x"
     entries = F.create_map(F.lit("<A_1>"), F.lit("x"), F.lit("<A_11>"), F.lit("<A_1>!"))
     assert docs.select(restore_text(F.col("text"), entries)).first()[0] == "x! x"
 

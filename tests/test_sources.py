@@ -5,7 +5,7 @@ from inkblot import scan, scrub, vault_table
 from inkblot.operators.structured import scrub_table
 from inkblot.sources.files import assemble_pages, read_csv_rows, read_documents
 from inkblot.sources.sinks import write_findings, write_scrubbed
-from inkblot.streaming.streams import scrub_stream
+from inkblot.streaming.streams import read_risk, risk_by_window, scrub_stream, write_risk
 from tests.test_functions import odd_texts
 
 
@@ -41,6 +41,30 @@ def test_csv_files_are_documents_of_their_own(spark, tmp_path, multiline):
     assert [(r._c0, r._c1) for r in done if r._path.endswith("b.csv")] == [("<IPV4_1>", 'q "x", user=<USERNAME_1>')]
 
 
+@pytest.mark.parametrize("multiline", [True, False])
+def test_csv_rows_keep_all_they_have(spark, tmp_path, multiline):
+    (tmp_path / "a.csv").write_text('h1,h2\n10.0.0.1,b,10.0.0.2\n\n,"",z\nx\n')
+    rows = read_csv_rows(spark, str(tmp_path / "a.csv"), multiline)
+    done = scrub_table(rows, ["_c0", "_c1", "_c2"], "_order", F.col("_part"), "_path").orderBy("_order").collect()
+    assert [(r._c0, r._c1, r._c2) for r in done] == [("h1", "h2", None), ("<IPV4_1>", "b", "<IPV4_2>"), (None, None, None), ("", "", "z"), ("x", None, None)]
+
+
+def test_files_have_ids_of_their_own(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.txt").write_text("same")
+    ids = [r.doc_id for r in read_documents(spark, str(tmp_path)).collect()]
+    assert len(set(ids)) == 5 and all(len(i) == 32 for i in ids)
+
+
+def test_risk_of_every_window(spark, texts, tmp_path):
+    rows = [(i, f"2024-01-01 {i // 4:02d}:{i % 4 * 15:02d}:00", "10.0.0.1") for i in range(96)]
+    spark.createDataFrame(rows, "doc_id int, ts string, text string").selectExpr("doc_id", "cast(ts as timestamp) ts", "text").repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id int, ts timestamp, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    write_risk(risk_by_window(stream, "ts", late="2 days"), str(tmp_path / "out")).awaitTermination()
+    got = read_risk(spark, str(tmp_path / "out")).orderBy("window_start").collect()
+    assert [(r.window_start.hour, r.n_records) for r in got] == [(h, 4) for h in range(24)]
+
+
 def test_sinks(spark, texts, tmp_path):
     done = scrub(texts(["10.0.0.1", "plain"]))
     with pytest.raises(ValueError):

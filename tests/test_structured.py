@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkblot import ScanConfig
-from inkblot.operators.structured import map_strings, scrub_columns, scrub_structured, scrub_table
+from inkblot.operators.findings import findings_table
+from inkblot.operators.risk import risk
+from inkblot.operators.structured import scrub_any, scrub_columns, scrub_structured, scrub_table
+from inkblot.sources.sinks import write_scrubbed
 from tests import brute
 
 CASES = [
@@ -23,7 +26,7 @@ def by_hand(fmt, text):
         return brute.scrub(value, brute.doc_scan(value), counters, vault)
 
     try:
-        return (map_strings(fmt, text, one) if fmt in ("json", "csv", "xml") else one(text)), vault
+        return brute.scrub_format(fmt, text, one), vault
     except Exception:
         return one(text), vault
 
@@ -75,3 +78,42 @@ def test_scopes_number_apart(spark):
     big = [r.a for r in done if r.file == "big"]
     assert big == [f"<IPV4_{k}>" for k in range(1, len(big) + 1)]
     assert all(r.a == "<IPV4_1>" for r in done if r.file != "big")
+
+
+def test_one_dispatch_for_all_formats(spark, tmp_path):
+    rows = [
+        (0, "/x/a.py", "password = 'hunter2 x'\nprint('hunter2 x')"), (1, "/x/a.json", '{"10.0.0.1": "10.0.0.2"}'), (2, "/x/b.csv", "10.0.0.1,x\n"),
+        (3, "/x/c.xml", "<a b='10.0.0.1'/>"), (4, "/x/d.txt", "10.0.0.1"), (5, "/x/e.json", "{10.0.0.1"), (6, "/x/f.txt", None),
+    ]
+    done = scrub_any(spark.createDataFrame(rows, "doc_id int, path string, text string"))
+    got = {r.doc_id: (r.text, r.engine) for r in done.collect()}
+    assert got == {
+        0: ("password = '<SECRET_VAR_ASSIGNMENT_2>'\nprint('<SECRET_VAR_ASSIGNMENT_1>')", "CODE"), 1: ('{\n  "10.0.0.1": "<IPV4_1>"\n}', "DOC"),
+        2: ("<IPV4_1>,x\r\n", "DOC"), 3: ('<a b="<IPV4_1>" />'.replace("<IPV4_1>", "&lt;IPV4_1&gt;"), "DOC"), 4: ("<IPV4_1>", "DOC"),
+        5: ("{<IPV4_1>", "DOC"), 6: (None, "DOC"),
+    }
+    found = [(r.doc_id, r.leaf, r.start, r.label) for r in findings_table(done).orderBy("doc_id", "ord").collect()]
+    assert found[:2] == [(0, 0, 30, "SECRET_VAR_ASSIGNMENT"), (0, 0, 12, "SECRET_VAR_ASSIGNMENT")]
+    assert (1, 0, 0, "IPV4") in found and (2, 0, 0, "IPV4") in found
+    assert {r.doc_id: r.n_findings for r in risk(done).collect()}[0] == 2
+    write_scrubbed(done, str(tmp_path / "t"), str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 7
+    assert {r.original for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {"hunter2 x", "10.0.0.1", "10.0.0.2"}
+
+
+def test_leaves_are_told_apart(spark):
+    docs = spark.createDataFrame([(0, "csv", "a,10.0.0.1\n10.0.0.2,b\n")], "doc_id int, fmt string, text string")
+    found = findings_table(scrub_structured(docs)).where("label = 'IPV4'").orderBy("ord").collect()
+    assert [(r.leaf, r.start, r.snippet) for r in found] == [(1, 0, "10.0.0.1"), (2, 0, "10.0.0.2")]
+
+
+def test_wide_rows(spark):
+    """Two hundred fields and as many columns: the work grows with their number, not faster."""
+    inner = F.struct(*(F.concat(F.lit(f"10.0.{i}."), F.col("id").cast("string")).alias(f"f{i}") for i in range(100)))
+    df = spark.range(50).select("id", inner.alias("s"), *(F.lit(f"user=u{i}").alias(f"c{i}") for i in range(100)))
+    done = scrub_columns(df, ["s"] + [f"c{i}" for i in range(100)])
+    optimized = done._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("sk_live_[0-9a-zA-Z]+") == 4
+    row = done.where("id = 7").first()
+    assert [row.s[i] for i in range(100)] == [f"<IPV4_{i + 1}>" for i in range(100)]
+    assert [row[f"c{i}"] for i in range(100)] == [f"user=<USERNAME_{i + 1}>" for i in range(100)]
