@@ -14,6 +14,8 @@ same document further left); strings overlap, and are judged on the input.
 * The merged order comes with its common prefixes, which show where groups of equal anchors begin and
   end. In a group, the strings of 100 bytes that hold the anchor are matched at each of the 61 offsets;
   the first, by document and place, stays. What was found goes back to the documents' blocks.
+* An anchor that thousands of blocks have could gather more suffixes than a task should hold. Its strings of
+  100 bytes are dealt out one by one instead, each by its own hash, once for each block that has it.
 
 Null texts count as empty. Rows of one doc_id are documents of their own, in the order of the table;
 rows without doc_id come first. An empty table gives an empty result. Other columns are not read.
@@ -38,6 +40,7 @@ SPAN = LENGTH - ANCHOR + 1  # places of an anchor in a string
 LEFT = SPAN - 1  # bytes before an anchor that matter
 WIDTH = LEFT + LENGTH
 BLOCK, PIECE = 16 << 20, 1 << 20
+HOT = 2_000  # an anchor counts once or twice for each block that has it
 BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -175,20 +178,29 @@ def _runs(buckets: int):
             return RUN.empty_table()
         block = key[0].as_py()
         ids, rows, texts = _block_texts(docs.column("blob"))
-        wanted = np.sort(again.column("h").to_numpy().view(np.uint64))
+        wanted = again.column("h").to_numpy().view(np.uint64)
+        by_hash = np.argsort(wanted)
+        wanted, often = wanted[by_hash], again.column("hot").to_numpy(zero_copy_only=False)[by_hash]
         parts = []
         for number, place, h in anchors(texts):
-            hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-            parts.append((number[hit], place[hit], h[hit]))
-        number, place, h = (np.concatenate(p) for p in zip(*parts))
+            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+            hit = wanted[at] == h
+            parts.append((number[hit], place[hit], h[hit], often[at[hit]]))
+        number, place, h, hot = (np.concatenate(p) for p in zip(*parts))
         doc = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
         row = np.array(rows, np.int64)
         out_buckets, blobs = [], []
         order = np.lexsort((place, row[number], doc[number]))  # by document and place: the first of equals comes first
-        number, place, h = number[order], place[order], h[order]
+        number, place, h, hot = number[order], place[order], h[order], hot[order]
         new = np.ones(len(number), bool)
         new[1:] = (number[1:] != number[:-1]) | (place[1:] != place[:-1])
-        number, place, h = number[new], place[new], h[new]
+        number, place, h, hot = number[new], place[new], h[new], hot[new]
+        if hot.any():
+            strings = _strings_of(texts, number[hot], place[hot])
+            for to, table in _dealt_strings(strings, doc, row, block, buckets):
+                out_buckets.append(to)
+                blobs.append(_blob(table))
+        number, place, h = number[~hot], place[~hot], h[~hot]
         bucket = (h >> np.uint64(20)) % np.uint64(buckets)
         spans: list[np.ndarray] = []
         turn = np.argsort(bucket, kind="stable")
@@ -232,6 +244,49 @@ def _runs(buckets: int):
     return run
 
 
+STRINGS = pa.schema([("string", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("begin", pa.int64()), ("block", pa.int32())])
+
+
+def _strings_of(texts: list[bytes], number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and begin of every string of 100 bytes that holds one of the anchors, each string once."""
+    around, left, right = surroundings_of(texts, number, place)
+    hasher = Hasher(WIDTH + 1)
+    sums = np.zeros((len(number), WIDTH + 1), np.uint64)
+    np.cumsum(_BYTES[around] * hasher.up[:WIDTH], axis=1, out=sums[:, 1:])
+    out = []
+    for o in range(SPAN):
+        fits = np.flatnonzero((o <= left) & (LENGTH - o <= right))
+        at = LEFT - o
+        out.append((mixed64((sums[fits, at + LENGTH] - sums[fits, at]) * hasher.down[at]), number[fits], place[fits] - o))
+    h, number, begin = (np.concatenate(c) for c in zip(*out))
+    order = np.lexsort((begin, number))
+    h, number, begin = h[order], number[order], begin[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (number[1:] != number[:-1]) | (begin[1:] != begin[:-1])
+    return h[new], number[new], begin[new]
+
+
+def _dealt_strings(strings: tuple[np.ndarray, ...], doc: np.ndarray, row: np.ndarray, block: int, buckets: int) -> Iterator[tuple[int, pa.Table]]:
+    """The first of each string in a block goes to the bucket of its hash; the others are removed already."""
+    h, number, begin = strings
+    order = np.lexsort((begin, row[number], doc[number]))
+    h, number, begin = h[order], number[order], begin[order]
+    once = np.zeros(len(h), bool)
+    once[np.unique(h, return_index=True)[1]] = True
+    if not once.all():
+        b = begin[~once]
+        table = pa.table([row[number[~once]], b, b + LENGTH], schema=SPANS)
+        yield block % buckets, table.append_column("block", pa.array(np.full(len(b), block, np.int32)))
+    h, number, begin = h[once], number[once], begin[once]
+    to = (h >> np.uint64(20)) % np.uint64(buckets)
+    turn = np.argsort(to, kind="stable")
+    for some in np.split(turn, np.flatnonzero(np.diff(to[turn])) + 1):
+        if len(some):
+            n = number[some]
+            columns = [h[some].view(np.int64), doc[n], row[n], begin[some], np.full(len(some), block, np.int32)]
+            yield int(to[some[0]]), pa.table([pa.array(c) for c in columns], schema=STRINGS)
+
+
 def _words(tail: np.ndarray) -> list[np.ndarray]:
     """Sort keys of rows of bytes, the last first: eight bytes at a time as numbers."""
     padded = np.zeros((len(tail), -(-tail.shape[1] // 8) * 8), np.uint8)
@@ -310,11 +365,17 @@ def merge(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int,
 
 def _merged(key: tuple, group: pa.Table) -> pa.Table:
     """Merge the runs of a bucket and find the spans that occur earlier; a row of spans for each block."""
-    spans, tables = [], []
+    spans, tables, strings = [], [], []
     for blob in group.column("blob"):
         table = _unblob(blob.as_buffer())
-        (tables if "shared" in table.column_names else spans).append(table)
+        (tables if "shared" in table.column_names else strings if "string" in table.column_names else spans).append(table)
     found = [(t.column("block").to_numpy(), t.column("row").to_numpy(), t.column("begin").to_numpy(), t.column("end").to_numpy()) for t in spans]
+    if strings:
+        h, doc, row, begin, block = (c.to_numpy() for c in pa.concat_tables(strings).columns)
+        order = np.lexsort((begin, row, doc, h))
+        again = np.flatnonzero(h[order][1:] == h[order][:-1]) + 1
+        which = order[again]
+        found.append((block[which].astype(np.int64), row[which], begin[which], begin[which] + LENGTH))
     if tables:
         runs = [(t.column("shared").to_pylist(), t.column("rest").to_pylist()) for t in tables]
         begins = np.cumsum([0, *(len(t) for t in tables)])
@@ -426,7 +487,7 @@ def _cut(schema: pa.Schema):
     return run
 
 
-def repeats(docs: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeats(docs: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """doc_id, row, n_bytes, the begins and ends of what is removed, and what is kept, of every document.
 
     ``kept`` holds the bytes that stay; ``kept_text``, null where nothing is removed, those and the
@@ -439,7 +500,7 @@ def repeats(docs: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = ()) ->
     blocks = packed(rows, F.xxhash64("doc_id", "row"), n).repartition(n, "block")
     found = blocks.groupBy("block").applyInArrow(_anchor_rows, "h long, tag int")
     times = F.sum((F.col("tag") % 2) + 1).over(Window.partitionBy("h"))
-    again = found.withColumn("times", times).where("times > 1").select("h", F.shiftright("tag", 1).alias("block"))
+    again = found.withColumn("times", times).where("times > 1").select("h", F.shiftright("tag", 1).alias("block"), (F.col("times") > hot).alias("hot"))
     runs = blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_runs(n), "bucket int, blob binary")
     spans = runs.groupBy("bucket").applyInArrow(_merged, "block int, blob binary")
     out = StructType(rows.select("doc_id", "row").schema.fields).add("n_bytes", "long").add("begins", ArrayType(LongType())).add("ends", ArrayType(LongType()))

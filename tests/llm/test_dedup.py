@@ -101,6 +101,10 @@ def test_removed_bytes_over_many_blocks(make_docs):
     got = {r.doc_id: [list(x) for x in zip(r.begins, r.ends)] for r in suffixes.repeats(make_docs(rows), block=700).collect()}
     whole = {r.doc_id: [list(x) for x in zip(r.begins, r.ends)] for r in suffixes.repeats(make_docs(rows)).collect()}
     assert got == whole and any(got.values())
+    # as if every repeated anchor, or some of them, were common in thousands of blocks
+    for hot in (0, 3):
+        dealt = {r.doc_id: [list(x) for x in zip(r.begins, r.ends)] for r in suffixes.repeats(make_docs(rows), block=700, hot=hot).collect()}
+        assert dealt == whole
 
 
 def test_repeated_and_missing_ids(make_docs):
