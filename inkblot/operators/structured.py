@@ -14,7 +14,7 @@ import json
 import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable
-from functools import partial
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -143,6 +143,22 @@ def with_leaves(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+@lru_cache(maxsize=32)
+def _scrubbed(config: ScanConfig, code: bool) -> Column:
+    """What becomes of ``_leaves``: a long expression, built once for a rule set."""
+
+    def found(leaf: Column) -> Column:
+        doc = findings_of(leaf, "DOC", config)
+        return F.when(F.col("kind") == "CODE", findings_of(leaf, "CODE", config, F.col("_literals"))).otherwise(doc) if code else doc
+
+    return scrub_leaves(F.col("_leaves"), found)
+
+
+@lru_cache(maxsize=32)
+def _found(config: ScanConfig) -> Column:
+    return F.transform("_leaves", lambda leaf: findings_of(leaf, "DOC", config))
+
+
 def scan_leaves(
     docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text", code: bool = False,
 ) -> DataFrame:
@@ -161,11 +177,7 @@ def scan_leaves(
     else:
         taken = taken.withColumn("kind", F.lit("DOC"))
 
-    def found(leaf: Column) -> Column:
-        doc = findings_of(leaf, "DOC", config)
-        return F.when(F.col("kind") == "CODE", findings_of(leaf, "CODE", config, F.col("_literals"))).otherwise(doc) if code else doc
-
-    done = taken.withColumn("_result", scrub_leaves(F.col("_leaves"), found))
+    done = taken.withColumn("_result", _scrubbed(config, code))
     which = F.flatten(F.transform("_result.findings", lambda fs, leaf: F.transform(fs, lambda _: leaf)))
     done = done.withColumn("leaves", F.col("_result.leaves")).withColumn("placed", F.col("_result.placed"))
     done = done.withColumn("findings", F.flatten("_result.findings")).withColumn("finding_leaves", which).withColumn("engine", F.col("kind"))
@@ -292,8 +304,7 @@ def scrub_columns(df: DataFrame, columns: list[str], config: ScanConfig | None =
     config = config or ScanConfig()
     parts = [(F.col(c), df.schema[c].dataType) for c in columns]
     found = df.withColumn("_leaves", joined_leaves(parts))
-    result = scrub_leaves(F.col("_leaves"), lambda leaf: findings_of(leaf, "DOC", config))
-    done = found.withColumn("_result", result)
+    done = found.withColumn("_result", _scrubbed(config, False))
     done = done.withColumn("placed", F.col("_result.placed")).withColumn("findings", F.flatten("_result.findings"))
     leaves = F.col("_result.leaves")
     # where each column begins, as one array that is worked out once
@@ -332,7 +343,7 @@ def scrub_table(
     scope = F.col(scope_by) if scope_by else F.lit(0)
     leaves = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
     rows = df.withColumn("_scope", scope).withColumn("_block", block_by).withColumn("_leaves", leaves)
-    rows = rows.withColumn("_findings", F.transform("_leaves", lambda leaf: findings_of(leaf, "DOC", config)))
+    rows = rows.withColumn("_findings", _found(config))
     rows = rows.withColumn("_kept", F.transform("_findings", resolve))
     kept_labels = F.transform(F.flatten("_kept"), lambda f: f["label"])
     # counted once per row, for the labels it has

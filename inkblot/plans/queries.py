@@ -142,7 +142,7 @@ def query_find_person(spark, sf):
 
 def query_find_person_join(spark, sf):
     """The form for name lists that do not travel in the plan, within a scan."""
-    config = ScanConfig(entities=False, names_table=_people(spark, sf))
+    config = ScanConfig(names_table=_people(spark, sf))
     found = findings_table(scan(logs(spark, sf), config, "DOC"))
     return _listed(found.where(F.col("label") == "PERSON"), "start_at", "end_at", "snippet")
 
