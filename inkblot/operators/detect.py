@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkblot.functions.arrays import empty
+from inkblot.functions.dialect import DIGIT
 from inkblot.functions.entropy import high_entropy_hit
-from inkblot.functions.spans import ngram_hits, place, regex_hit
+from inkblot.functions.spans import HIT, ngram_hits, place, regex_hit
 from inkblot.operators.context import assigned_hits
 from inkblot.rules import Rule, ScanConfig
 
@@ -24,6 +26,9 @@ FINDING = (
 )
 
 
+ENTRY = f"struct<rule:int,sub:int,copies:int,hit:{HIT}>"
+
+
 def _names(text: Column, rule: Rule, names: Sequence[str]) -> Column:
     by_words: dict[int, list[str]] = {}
     for name in names:
@@ -52,7 +57,7 @@ def looks_like_person(snippet: Column) -> Column:
 
 def _entries(text: Column, rules: Sequence[Rule], config: ScanConfig, literals: Column | None) -> Column:
     """What each rule hits, as one array."""
-    single, several = [], []
+    single, digits, several = [], [], []
     for rule in rules:
         if rule.detector == "context":
             several.append(_assigned(text, rule, literals))
@@ -61,7 +66,9 @@ def _entries(text: Column, rules: Sequence[Rule], config: ScanConfig, literals:
         elif rule.detector == "entropy":
             single.append(_entry(rule, high_entropy_hit(text, config.entropy_threshold)))
         else:
-            single.append(_entry(rule, regex_hit(text, rule.java, rule.guard)))
+            (digits if rule.with_digit else single).append(_entry(rule, regex_hit(text, rule.java, rule.guard)))
+    if digits:
+        several.append(F.when(text.rlike(f"[{DIGIT}]"), F.array(*digits)).otherwise(empty(ENTRY)))
     return F.concat(*([F.array(*single)] if single else []), *several)
 
 
