@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,62 @@ def small_batches(spark: SparkSession, size: str = "16m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers live on from stage to stage, each with a peak of its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean_group(work):
+    """``work`` over a group; what it needed is given back when it is done. The next ones are alike."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = work(group)
+        give_back()
+        return out
+
+    return run
+
+
+def lean_keyed(work):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        out = work(key, group)
+        give_back()
+        return out
+
+    return run
+
+
+def lean_pair(work):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        give_back()
+        return out
+
+    return run
+
+
+def lean_keyed_pair(work):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(key, left, right)
+        give_back()
+        return out
+
+    return run
+
+
+def lean_batches(work):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that no column of ``df`` has, whatever columns its user added."""
     taken = {c.lower() for c in df.columns}
@@ -132,7 +189,7 @@ def packed(docs: DataFrame, key: Column, blocks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_blocks, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
     dealt = docs.select(*(docs[c] for c in names), F.pmod(key, F.lit(blocks)).cast("int").alias(fresh(docs, "_block")))
-    return dealt.mapInArrow(pack, "block int, blob binary")
+    return dealt.mapInArrow(lean_batches(pack), "block int, blob binary")
 
 
 def unpacked(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from inkblot.llm.common import crc_mod, small_batches
+from inkblot.llm.common import crc_mod, lean_batches, small_batches
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 PER_LANG, PIECE, MAX_PIECES = 1500, 240, 6
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model | None, name: str = "_lang") -> DataFr
             extra = pa.StructArray.from_arrays([pa.array(pred), pa.array(best), pa.array(good)], fields=list(fields))
             yield pa.RecordBatch.from_arrays([*b.columns, extra], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean_batches(score), schema)
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:

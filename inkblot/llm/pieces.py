@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from inkblot.llm.common import small_batches
+from inkblot.llm.common import lean_batches, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\udc81"  # stands for a mark in the text itself; no valid text has a lone surrogate
 WORDS = re.compile(r" *[^ \n]+| +|\n")
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 
 @dataclass
@@ -134,6 +134,19 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
+def parts(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
+    """A batch in parts of about ``size`` characters: words are many times larger as objects."""
+    some, total = [], 0
+    for text in texts:
+        some.append(text)
+        total += len(text)
+        if total >= size:
+            yield some
+            some, total = [], 0
+    if some:
+        yield some
+
+
 def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
     data = b"".join([v.spelled[i] for i in ids])
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
@@ -150,14 +163,14 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
         encoder = Encoder(v)
         for b in batches:
             texts = b.column(at).to_pylist()
-            coded = encoder([t or "" for t in texts])
+            coded = [c for some in parts([t or "" for t in texts]) for c in encoder(some)]
             offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
             flat = np.frombuffer(b"".join(coded), np.int32)
             same = [decode_ids(np.frombuffer(c, np.int32).tolist(), v) == (t or "") for c, t in zip(coded, texts)]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(same)], names=[*b.schema.names, ids, exact])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean_batches(run), schema)
 
 
 def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -171,4 +184,4 @@ def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "d
             out = [None if x is None else decode_ids((i for i in x if i is not None and 0 <= i < len(v.spelled)), v) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, text])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(text, "string"))
+    return docs.mapInArrow(lean_batches(run), StructType(list(docs.schema.fields)).add(text, "string"))
