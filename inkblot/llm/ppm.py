@@ -8,10 +8,11 @@ context is tried without the symbols that were just ruled out (exclusion). Below
 byte occurs in UTF-8, so the score is the log10 probability of the whole text.
 
 How it runs: documents lie in blocks of bounded size. Each block counts its distinct (order+1)-grams and
-words once; these counts, not texts, are summed over the corpus. The trie is grouped by the last two
-bytes of the context, below which every level of a branch lies in one group (its size is bounded by the
-alphabet, not by the corpus); levels 1 and 0 have at most 65,792 entries and travel with the code. Each
-distinct gram gets its log probability there, which goes back to the blocks that asked for it.
+words once; these counts, not texts, are summed over the corpus, in one shuffle. The trie is grouped by
+the last two bytes of the context, below which every level of a branch lies in one group (its size is
+bounded by the alphabet, not by the corpus); levels 1 and 0 have at most 65,792 entries and travel with
+the code. Each distinct gram gets its log probability there. Values go back to the blocks that asked for
+them without grams and words: a block finds them by their place in its own sorted lists.
 
 Null texts count as empty and have the end only. Repeated rows are scored, and learned from, one by one;
 a null doc_id counts as empty text for the fold. Without training texts all symbols are equal. An empty
@@ -25,16 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from inkblot.llm.common import blocks_for, crc_mod, packed, text_bytes, unpacked, written
+from inkblot.llm.common import blocks_for, lean_batches, lean_group, lean_keyed, lean_pair, packed, small_batches, text_bytes, unpacked, written
 
-ORDER, BLOCK, CHUNK = 5, 32 << 20, 4 << 20
+ORDER, BLOCK, CHUNK = 5, 24 << 20, 1 << 20
 START, END = 0xFE, 0xFF
-END_WORD = -1  # stands in the column of grams for the end token of the word model
-COUNTS = pa.schema([("block", pa.int32()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+TOKENS = -1  # stands in the column of pairs for the number of words
+COUNTS = pa.schema([("block", pa.int32()), ("place", pa.int32()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+VALUES = pa.schema([("is_word", pa.bool_()), ("place", pa.int32()), ("value", pa.float64())])
+FLUSH = 1 << 20  # rows of values that a task gathers before it packs them
 
 
 def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,31 +91,78 @@ def _texts(blobs: pa.ChunkedArray) -> Iterator[tuple[list, list[bytes], list[boo
         yield table.column("doc_id"), [t.lower() for t in table.column("text").to_pylist()], table.column("train").to_pylist()
 
 
+def _pairs(order: int):
+    """Of training texts, how often each symbol follows each byte, and how many words there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, words = np.zeros(1 << 16, np.int64), 0
+        for b in batches:
+            texts = [t.lower() for t in b.column(0).to_pylist()]
+            words += sum(len(t.split()) for t in texts)
+            for some in chunks(texts):
+                counts += np.bincount(grams_of(some, order)[0] & 0xFFFF, minlength=1 << 16)
+        pair = np.append(np.flatnonzero(counts), TOKENS)
+        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(np.append(counts[pair[:-1]], words))], names=["pair", "n"])
+
+    return run
+
+
 def _count_block(order: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         train, held = [], []
         for _, texts, flags in _texts(group.column("blob")):
             for t, f in zip(texts, flags):
                 (train if f else held).append(t)
-        keys, counts = distinct(train, order)
-        asked = np.setdiff1d(distinct(held, order)[0], keys, assume_unique=True)
         words: Counter = Counter()
         for t in train:
             words.update(t.split())
         for t in held:
-            for w in t.split():
-                if w not in words:
-                    words[w] = 0
-        n_grams, n_words = len(keys) + len(asked), len(words)
-        total = n_grams + n_words + 1
-        gram = pa.chunked_array([pa.array(keys), pa.array(asked), pa.nulls(n_words, pa.int64()), pa.array([END_WORD])]).combine_chunks()
-        word = pa.chunked_array([pa.nulls(n_grams, pa.binary()), pa.array(list(words), pa.binary()), pa.nulls(1, pa.binary())]).combine_chunks()
-        n = np.concatenate((counts, np.zeros(len(asked), np.int64), np.fromiter(words.values(), np.int64, n_words), [len(train)]))
-        return pa.table([pa.array(np.full(total, key[0].as_py(), np.int32)), gram, word, pa.array(n)], schema=COUNTS)
+            words.update(dict.fromkeys(t.split(), 0))
+        names = sorted(words)
+        often = np.fromiter((words[w] for w in names), np.int64, len(names))
+        del words
+        keys, counts = distinct(train, order)
+        asked = distinct(held, order)[0]
+        keys, counts = summed(np.concatenate((keys, asked)), np.concatenate((counts, np.zeros(len(asked), np.int64))))
+        place = np.concatenate((np.arange(len(keys), dtype=np.int32), np.arange(len(names), dtype=np.int32)))
+        gram = pa.chunked_array([pa.array(keys), pa.nulls(len(names), pa.int64())]).combine_chunks()
+        word = pa.chunked_array([pa.nulls(len(keys), pa.binary()), pa.array(names, pa.binary())]).combine_chunks()
+        block = np.full(len(place), key[0].as_py(), np.int32)
+        return pa.table([pa.array(block), pa.array(place), gram, word, pa.array(np.concatenate((counts, often)))], schema=COUNTS)
 
     return run
 
 
+def _pack_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values for each block as compressed Arrow, of many rows at a time."""
+    how = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def packed_rows(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        block = table.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        table, ends = table.select(VALUES.names).take(pa.array(order)), np.flatnonzero(np.diff(block[order], append=-1)) + 1
+        out_blocks, blobs, at = [], [], 0
+        for end in ends.tolist():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, VALUES, options=how) as stream:
+                stream.write_table(table.slice(at, end - at).cast(VALUES))
+            out_blocks.append(int(block[order[at]]))
+            blobs.append(sink.getvalue().to_pybytes())
+            at = end
+        return pa.RecordBatch.from_arrays([pa.array(out_blocks, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "blob"])
+
+    rows, size = [], 0
+    for b in batches:
+        rows.append(b)
+        size += len(b)
+        if size >= FLUSH:
+            yield packed_rows(rows)
+            rows, size = [], 0
+    if size:
+        yield packed_rows(rows)
+
+
 class Level:
     """One level of the trie: counts of (context, symbol), and what each context has in total."""
 
@@ -179,70 +229,98 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, order: int, low: tu
 
 def _resolve(order: int, low: tuple[Level, Level]):
     def run(group: pa.Table) -> pa.Table:
-        grams, counts = group.column("gram").to_numpy(), group.column("n").to_numpy()
-        return pa.table([pa.array(grams), pa.array(log_probabilities(grams, counts, order, low))], names=["gram", "value"])
+        grams, counts = group.column("k").to_numpy(), group.column("total").to_numpy()
+        return pa.table([pa.array(grams), pa.array(log_probabilities(grams, counts, order, low))], names=["k", "value"])
 
     return run
 
 
-def _score_block(order: int, id_type: pa.DataType, tokens: int, kinds: int, ends: int):
-    scale = tokens + 0.5 * (kinds + 1)
-    schema = pa.schema([("doc_id", id_type), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
-        gram, value = values.column("gram").to_numpy(zero_copy_only=False), values.column("value").to_numpy()
-        is_word = values.column("word").is_valid().to_numpy(zero_copy_only=False)
-        base = np.log10((value[is_word] + 0.5) / scale)
-        words = dict(zip(values.column("word").drop_null().to_pylist(), base.tolist()))
-        keys = gram[~is_word].astype(np.int64)
-        turn = np.argsort(keys)
-        keys, logs = keys[turn], value[~is_word][turn]
-        unknown, end = float(np.log10(0.5 / scale)), float(np.log10((ends + 0.5) / scale))
+def _score_block(order: int, id_type: pa.DataType, ends: int):
+    schema = pa.schema([
+        ("doc_id", id_type), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known", pa.float64()), ("score", pa.float64()), ("new", pa.int64()),
+    ])
+
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        read = [(ids, texts, flags) for ids, texts, flags in _texts(docs.column("blob"))]
+        every = [t for _, texts, _ in read for t in texts]
+        names = sorted({w for t in every for w in t.split()})
+        keys = distinct(every, order)[0]
+        logs, often = np.empty(len(keys)), np.empty(len(names))
+        for values in unpacked(back.column("blob")):
+            is_word = values.column("is_word").to_numpy(zero_copy_only=False)
+            place, value = values.column("place").to_numpy(), values.column("value").to_numpy()
+            often[place[is_word]] = value[is_word]
+            logs[place[~is_word]] = value[~is_word]
+        # what the block saw first anywhere is marked by a half, and counted here
+        new = int((often % 1 == 0.5).sum())
+        often = np.floor(often)
+        words = dict(zip(names, np.log10(often + 0.5).tolist()))
+        unknown, end = float(np.log10(0.5)), float(np.log10(ends + 0.5))
         out = []
-        for ids, texts, flags in _texts(docs.column("blob")):
-            n_tokens, n_known, bases, scores = [], [], [], []
+        for ids, texts, flags in read:
+            n_tokens, n_known, known, scores = [], [], [], []
             for t in texts:
                 found = [words[w] for w in t.split()]
                 n_tokens.append(len(found) + 1)
                 n_known.append(len(found) - found.count(unknown) + (ends > 0))
-                bases.append(sum(found) + end)
+                known.append(sum(found) + end)
             for some in chunks(texts):
                 key, begins = grams_of(some, order)
                 scores.append(np.add.reduceat(logs[np.searchsorted(keys, key)], begins))
-            out.append(pa.table([ids, pa.array(flags), pa.array(n_tokens), pa.array(n_known), pa.array(bases), pa.array(np.concatenate(scores) if scores else [])], schema=schema))
+            marks = np.zeros(len(texts), np.int64)
+            if len(marks):
+                marks[0], new = new, 0
+            out.append(pa.table([
+                ids, pa.array(flags, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(known, pa.float64()),
+                pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(marks),
+            ], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
 def score(docs: DataFrame, train: Column, order: int = ORDER, block: int = BLOCK) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every document.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     ``train`` says which rows to learn from; those rows are scored by the same model.
     """
     if not 2 <= order <= 6:
         raise ValueError("the order must lie between 2 and 6")
     rows = docs.select("doc_id", text_bytes(docs).alias("text"), train.alias("train"))
-    blocks = packed(rows, F.xxhash64("doc_id", "text"), blocks_for(rows, F.octet_length("text") + 1, block))
-    counts = written(blocks.groupBy("block").applyInArrow(_count_block(order), "block int, gram long, word binary, n long"), "ppm-counts")
-    is_gram = (F.col("gram") >= 0) & F.col("word").isNull()
-
-    pairs = counts.where(is_gram & (F.col("n") > 0)).groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows at most
+    small_batches(docs.sparkSession)
+    learned = rows.where("train").select("text")
+    pairs = learned.mapInArrow(lean_batches(_pairs(order)), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # 65,537 rows at most
+    words = int(pairs["n"][pairs["pair"] == TOKENS].sum())
+    pairs = pairs[pairs["pair"] != TOKENS]
     low = low_levels(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
-    words = counts.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").cast("double").alias("value"))
-    facts = words.where("value > 0").agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long"), F.count("*")).first()
-    ends = counts.where(F.col("gram") == END_WORD).agg(F.sum("n")).first()[0] or 0
-    tokens, kinds = facts[0] + ends, facts[1] + (ends > 0)
-
-    sums = counts.where(is_gram).groupBy("gram").agg(F.sum("n").alias("n"))
-    branch = F.shiftright("gram", 8).bitwiseAND(0xFFFF).alias("branch")
-    resolved = sums.groupBy(branch).applyInArrow(_resolve(order, low), "gram long, value double")
-    # rows go back only with what the other side has for them; both sides were summed to distinct keys
-    grams_back = counts.where(is_gram).select("block", "gram").join(resolved, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
-    words_back = counts.where(F.col("word").isNotNull()).select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", "value")
-    back = grams_back.union(words_back)
+    ends = int(pairs["n"][pairs["pair"] % 256 == END].sum())  # every training text ends once
+    tokens = words + ends
+
+    n = blocks_for(rows, F.octet_length("text") + 1, block)
+    blocks = packed(rows, F.xxhash64("doc_id", "text"), n).repartition(n, "block")
+    counted = blocks.groupBy("block").applyInArrow(lean_keyed(_count_block(order)), "block int, place int, gram long, word binary, n long")
+    # grams are keys themselves; words have negative ones, and are told apart by what they are
+    key = F.coalesce("gram", F.xxhash64("word").bitwiseOR(F.lit(-(1 << 63))))
+    keyed = counted.select("block", "place", key.alias("k"), "word", "n").repartition("k")
+    same = Window.partitionBy("k", "word")
+    summed_up = (
+        keyed.withColumn("total", F.sum("n").over(same)).withColumn("first", F.min(F.struct("block", "place")).over(same) == F.struct("block", "place"))
+        .withColumn("is_gram", F.max(F.col("k")).over(same) >= 0)
+    )
+    branch = F.shiftright("k", 8).bitwiseAND(0xFFFF).alias("branch")
+    resolved = summed_up.where("first and is_gram").select("k", "total").groupBy(branch).applyInArrow(lean_group(_resolve(order, low)), "k long, value double")
+    # a half on top marks the first of a trained word's rows
+    of_word = F.col("total") + F.when(F.col("first") & (F.col("total") > 0), 0.5).otherwise(0.0)
+    values = summed_up.join(resolved, "k", "left").select("block", (~F.col("is_gram")).alias("is_word"), "place", F.when(F.col("is_gram"), F.col("value")).otherwise(of_word).alias("value"))
+    back = values.mapInArrow(lean_batches(_pack_values), "block int, blob binary")
 
     id_kind = docs.schema["doc_id"].dataType
-    out = f"doc_id {id_kind.simpleString()}, train boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score_block(order, to_arrow_type(id_kind), tokens, kinds, ends), out)
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = f"doc_id {id_kind.simpleString()}, train boolean, n_tokens long, n_known long, known double, score double, new long"
+    scored = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lean_pair(_score_block(order, to_arrow_type(id_kind), ends)), out)
+    scored = written(scored, "ppm-scores")  # a few numbers for each document
+    kinds = (scored.agg(F.sum("new")).first()[0] or 0) + (ends > 0)
+    scale = F.log10(F.lit(tokens + 0.5 * (kinds + 1)))
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("known") - F.col("n_tokens") * scale).alias("base_score"), "score",
+    )
