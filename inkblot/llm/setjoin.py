@@ -7,9 +7,11 @@ Jaccard similarity is at least 0.8. The join answers with components of linked d
 * Elements are ordered by how many documents have them, by a sketch of fixed size that all documents
   count into, then by hash. Two linked sets share an element among the first ``n - ceil(0.8 n) + 1`` of
   each, so an inverted index of these prefixes has every candidate. Lists of one entry are dropped.
-* First, every entry of a list is checked against the list's head only. What links is then known to be
-  connected, and a set takes over the answers of the set it was found to be similar to: of entries whose
-  components are the same already, no pair is ever made.
+* First, every entry of a list is checked against the list's head only, the smallest doc_id. What links is
+  then known to be connected, and a set takes over the answers of the set it was found to be similar to: of
+  entries whose components are the same already, no pair is ever made. In lists that still have many
+  entries outside their largest component, those are checked against another head, drawn from it by a
+  hash; this goes on as long as it finds links.
 * Entries of different components are then joined by block: a list falls into blocks of sets of similar
   size, and a set visits the blocks of its own and the two adjacent sizes only; the largest component of
   a list is never joined with itself. Within a block, pairs whose positions leave too few elements
@@ -34,10 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkblot.llm.common import components, small_batches, text_bytes, written
+from inkblot.llm.common import components, lean_batches, small_batches, text_bytes, written
 
 WORDS, PERCENT = 5, 80
 SKETCH, BITS = 1 << 18, 1 << 23
+DENSE, ROUNDS = 20, 8
 
 
 def shingles(data: bytes, words: int = WORDS) -> np.ndarray:
@@ -127,7 +130,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([shingles(t) for t in some], pa.list_(pa.int64()))], names=["id", "s"])
 
     rows = docs.select("doc_id", text_bytes(docs).alias("text"), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(BITS)).alias("bit")).where("doc_id is not null")
-    made = written(rows.mapInArrow(sets, "id long, s array<long>").join(ids, "id", "left_semi"), "join-sets")
+    made = written(rows.mapInArrow(lean_batches(sets), "id long, s array<long>").join(ids, "id", "left_semi"), "join-sets")
     left, right = made.toDF("a", "x"), made.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
@@ -139,17 +142,17 @@ def join(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = rows.select("doc_id", text_bytes(rows).alias("text"))
-    first = written(texts.mapInArrow(_first_pass, "doc_id long, n long, p1 long, p2 long, bucket int, often long"), "join-prints")
+    first = written(texts.mapInArrow(lean_batches(_first_pass), "doc_id long, n long, p1 long, p2 long, bucket int, often long"), "join-prints")
     counts = first.where("bucket is not null").groupBy("bucket").agg(F.sum("often").alias("often")).toPandas()  # SKETCH rows at most
     sketch = np.zeros(SKETCH, np.int64)
     sketch[counts["bucket"].to_numpy(np.int64)] = counts["often"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(sketch)
 
-    prefixes = texts.where("doc_id is not null").mapInArrow(_prefixes(shared), "doc_id long, n long, p1 long, p2 long, prefix array<long>")
+    prefixes = texts.where("doc_id is not null").mapInArrow(lean_batches(_prefixes(shared)), "doc_id long, n long, p1 long, p2 long, prefix array<long>")
     classes = prefixes.where("n > 0").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
     entries = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     of_list = Window.partitionBy("token")
-    lists = entries.withColumn("many", F.count("*").over(of_list)).withColumn("head", F.min(F.struct("n", "id", "pos")).over(of_list))
+    lists = entries.withColumn("many", F.count("*").over(of_list)).withColumn("head", F.min(F.struct("id", "n", "pos")).over(of_list))
     index = written(lists.where("many > 1").select("token", "id", "n", "pos", "head"), "join-index")
 
     with_head = index.where((F.col("id") != F.col("head.id")) & _compatible(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos")))
@@ -157,7 +160,23 @@ def join(docs: DataFrame) -> DataFrame:
     links = written(_verified(docs, tried), "join-links")
     known = written(components(links), "join-known")
 
-    more = written(_other_pairs(index, known).join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti"), "join-pairs")
+    entries = written(_mixed(index, known), "join-mixed")
+    crowded, seen = _crowded(entries), False
+    for seed in range(ROUNDS):
+        crowded = written(crowded, "join-crowded")
+        if crowded.isEmpty():
+            break
+        pairs = written(_without(_to_heads(crowded, seed), tried), "join-heads")
+        new = written(_verified(docs, pairs), "join-links")
+        tried = tried.union(pairs)
+        if new.isEmpty():
+            break
+        links, seen = links.union(new), True
+        known = written(components(links), "join-known")
+        crowded = _crowded(_mixed(crowded, known))
+    if seen:  # lists only lose components, so those that had one need no second look
+        entries = written(_mixed(entries, known), "join-mixed")
+    more = written(_without(_other_pairs(entries), tried), "join-pairs")
     late = written(_verified(docs, more), "join-late")
     several = _several_classes(first)
     found = components(links.union(late).union(several))
@@ -178,14 +197,37 @@ def _several_classes(first: DataFrame) -> DataFrame:
     return of.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).where("a <> b")
 
 
-def _other_pairs(index: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidate pairs of different components, by blocks of the index."""
-    labelled = index.drop("head").join(known, F.col("id") == F.col("node"), "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+def _without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    both = tried.select("a", "b").union(tried.select("b", "a"))
+    return pairs.join(both, ["a", "b"], "left_anti")
+
+
+def _mixed(index: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries of lists that hold several components, the largest marked ``main``, with their size's band."""
+    labelled = index.select("token", "id", "n", "pos").join(known, F.col("id") == F.col("node"), "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     of_list, of_part = Window.partitionBy("token"), Window.partitionBy("token", "c")
     mixed = labelled.withColumn("low", F.min("c").over(of_list)).withColumn("high", F.max("c").over(of_list)).where("low <> high")
     sized = mixed.withColumn("here", F.count("*").over(of_part)).withColumn("top", F.max(F.struct("here", "c")).over(of_list)["c"])
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT))).cast("int")
-    entries = written(sized.select("token", "id", "n", "pos", "c", (F.col("c") == F.col("top")).alias("main"), band.alias("band")), "join-mixed")
+    return sized.select("token", "id", "n", "pos", "c", (F.col("c") == F.col("top")).alias("main"), band.alias("band"))
+
+
+def _crowded(entries: DataFrame) -> DataFrame:
+    """The lists with so many entries outside their largest component that their pairs would be very many."""
+    rest = F.count_if(~F.col("main")).over(Window.partitionBy("token"))
+    return entries.withColumn("rest", rest).where(F.col("rest") > DENSE).drop("rest")
+
+
+def _to_heads(entries: DataFrame, seed: int) -> DataFrame:
+    """Each entry outside the largest component of its list, with one entry of that component."""
+    drawn = F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "pos"))
+    heads = entries.where("main").groupBy("token").agg(drawn.alias("head"))
+    pairs = entries.where("not main").join(heads, "token").where(_compatible(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos")))
+    return pairs.select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
+
+
+def _other_pairs(entries: DataFrame) -> DataFrame:
+    """Candidate pairs of different components, by blocks of the index."""
     asks = entries.where("not main").select("token", *(F.col(k).alias(f"x_{k}") for k in ("id", "n", "pos", "c")), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     differ = (F.col("x_c") != F.col("c")) & (F.col("main") | (F.col("x_id") < F.col("id")))
     pairs = asks.join(entries, ["token", "band"]).where(differ & _compatible(F.col("x_n"), F.col("n"), F.col("x_pos"), F.col("pos")))
