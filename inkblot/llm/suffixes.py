@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from inkblot.llm.common import blocks_for, concat_bytes, mixed64, packed, text_bytes, unpacked
+from inkblot.llm.common import blocks_for, concat_bytes, lean_keyed, lean_keyed_pair, lean_pair, mixed64, packed, text_bytes, unpacked
 
 LENGTH, ANCHOR = 100, 40
 SPAN = LENGTH - ANCHOR + 1  # places of an anchor in a string
@@ -498,14 +498,15 @@ def repeats(docs: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = (), ho
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_bytes(docs).alias("text"), extra.alias("extra"))
     n = blocks_for(rows, F.octet_length("text") + 1, block)
     blocks = packed(rows, F.xxhash64("doc_id", "row"), n).repartition(n, "block")
-    found = blocks.groupBy("block").applyInArrow(_anchor_rows, "h long, tag int")
+    found = blocks.groupBy("block").applyInArrow(lean_keyed(_anchor_rows), "h long, tag int")
     times = F.sum((F.col("tag") % 2) + 1).over(Window.partitionBy("h"))
     again = found.withColumn("times", times).where("times > 1").select("h", F.shiftright("tag", 1).alias("block"), (F.col("times") > hot).alias("hot"))
-    runs = blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_runs(n), "bucket int, blob binary")
-    spans = runs.groupBy("bucket").applyInArrow(_merged, "block int, blob binary")
+    # more buckets than blocks, so that what a task merges at a time is a part of a block's size
+    runs = blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(lean_keyed_pair(_runs(4 * n)), "bucket int, blob binary")
+    spans = runs.groupBy("bucket").applyInArrow(lean_keyed(_merged), "block int, blob binary")
     out = StructType(rows.select("doc_id", "row").schema.fields).add("n_bytes", "long").add("begins", ArrayType(LongType())).add("ends", ArrayType(LongType()))
     out = out.add("kept", "binary").add("kept_text", "string").add("extra", rows.schema["extra"].dataType)
-    return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(to_arrow_schema(out)), out)
+    return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(lean_pair(_cut(to_arrow_schema(out))), out)
 
 
 def report(docs: DataFrame) -> DataFrame:
