@@ -77,15 +77,31 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def _first_of_each(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key of a sorted array begins."""
+    return np.flatnonzero(np.diff(keys, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
+
+
 def distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
     for some in chunks(texts):
-        k, n = np.unique(grams_of(some, order)[0], return_counts=True)
-        keys.append(k)
-        counts.append(n)
+        found = np.sort(grams_of(some, order)[0])
+        first = _first_of_each(found)
+        keys.append(found[first])
+        counts.append(np.diff(first, append=len(found)))
     return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key; sorted first, so that the search goes through ``keys`` in order."""
+    order = np.argsort(wanted)
+    found = wanted[order]
+    first = _first_of_each(found)
+    out = np.empty(len(wanted))
+    out[order] = np.repeat(values[np.searchsorted(keys, found[first])], np.diff(first, append=len(found)))
+    return out
+
+
 def _texts(blobs: pa.ChunkedArray) -> Iterator[tuple[list, list[bytes], list[bool]]]:
     for table in unpacked(blobs):
         yield table.column("doc_id"), [t.lower() for t in table.column("text").to_pylist()], table.column("train").to_pylist()
@@ -266,7 +282,7 @@ def _score_block(order: int, id_type: pa.DataType, ends: int):
                 known.append(sum(found) + end)
             for some in chunks(texts):
                 key, begins = grams_of(some, order)
-                scores.append(np.add.reduceat(logs[np.searchsorted(keys, key)], begins))
+                scores.append(np.add.reduceat(looked_up(keys, logs, key), begins))
             marks = np.zeros(len(texts), np.int64)
             if len(marks):
                 marks[0], new = new, 0
