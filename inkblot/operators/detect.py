@@ -62,7 +62,8 @@ def _entries(text: Column, rules: Sequence[Rule], config: ScanConfig, literals:
         if rule.detector == "context":
             several.append(_assigned(text, rule, literals))
         elif rule.detector == "names":
-            several.append(_names(text, rule, config.names_for(rule.label)))
+            listed = config.names_for(rule.label)  # none if they are joined in later
+            several += [_names(text, rule, listed)] if listed else []
         elif rule.detector == "entropy":
             single.append(_entry(rule, high_entropy_hit(text, config.entropy_threshold)))
         else:

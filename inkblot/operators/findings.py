@@ -73,16 +73,35 @@ def drop_allowed(findings: DataFrame, allow: DataFrame) -> DataFrame:
     return findings.join(values, F.col("snippet") == F.col("_value"), "left_anti")
 
 
-def allow_large(scanned: DataFrame, allow: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A scan without the findings of an allow-list too large to travel in the plan.
+def content_key(texts: Column) -> Column:
+    """A hash of an array of texts, null or not: rows with the same texts have the same findings, whatever their ids."""
+    hashes = F.transform(texts, lambda t: F.coalesce(F.sha2(t.cast("binary"), 256), F.lit("-")))
+    return F.sha2(F.array_join(hashes, ",").cast("binary"), 256)
+
+
+def with_allowed(keyed: DataFrame, allow: DataFrame, findings: Column) -> DataFrame:
+    """Rows with ``_key`` and, in ``_allowed``, the snippets of their findings that are on a long allow-list.
 
-    Only the snippets that are allowed go back to their documents, as a set for each.
+    Only the snippets that are allowed go back to their rows, as a set for each ``_key``.
     """
-    pairs = scanned.select(
-        id_col, F.explode_outer(F.array_distinct(F.transform("findings", lambda f: f["snippet"]))).alias("snippet")
+    pairs = keyed.select(
+        "_key", F.explode_outer(F.array_distinct(F.transform(findings, lambda f: f["snippet"]))).alias("snippet")
     ).where("snippet is not null")
     values = allow.select(F.col("value").alias("snippet")).where("snippet is not null").distinct()
     hits = pairs.join(values, "snippet", "left_semi")
-    per_doc = hits.groupBy(id_col).agg(F.collect_set("snippet").alias("_allowed"))
-    kept = F.filter("findings", lambda f: ~F.coalesce(F.array_contains("_allowed", f["snippet"]), F.lit(False)))
-    return scanned.join(per_doc, id_col, "left").withColumn("findings", kept).drop("_allowed")
+    per_key = hits.groupBy("_key").agg(F.collect_set("snippet").alias("_allowed"))
+    return keyed.join(per_key, "_key", "left")
+
+
+def without_allowed(findings: Column) -> Column:
+    return F.filter(findings, lambda f: ~F.coalesce(F.array_contains("_allowed", f["snippet"]), F.lit(False)))
+
+
+def allow_large(scanned: DataFrame, allow: DataFrame, text_col: str = "text") -> DataFrame:
+    """A scan without the findings of an allow-list too large to travel in the plan.
+
+    The hash of the text is what allowed snippets come back by: ids may be null or repeated.
+    """
+    keyed = scanned.withColumn("_key", content_key(F.array(text_col)))
+    allowed = with_allowed(keyed, allow, F.col("findings"))
+    return allowed.withColumn("findings", without_allowed(F.col("findings"))).drop("_allowed", "_key")

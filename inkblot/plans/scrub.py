@@ -17,7 +17,7 @@ from inkblot.functions.routing import kind_of
 from inkblot.operators.context import suspicious_literals
 from inkblot.operators.detect import FINDING, findings_of
 from inkblot.operators.findings import allow_large
-from inkblot.operators.names import add_names
+from inkblot.operators.names import add_names, name_labels
 from inkblot.operators.resolve import PLACED, number, resolve, rewrite
 from inkblot.rules import ScanConfig
 
@@ -43,9 +43,12 @@ def scan(
     """``docs`` with ``kind`` and ``findings``: every finding, in resolving order.
 
     Give ``kind`` when all documents are of one, and only its rules enter the plan. Lists that are too
-    long for the plan are joined, by ``id_col``; all else is worked out inside the row.
+    long for the plan are joined, by what rows hold and not by ``id_col``, which may be null or repeated;
+    all else is worked out inside the row.
     """
     config = (config or ScanConfig()).tables(docs.sparkSession)
+    if config.names_table is not None and not config.joined_labels:
+        config = replace(config, joined_labels=name_labels(config.names_table))
     one_kind = kind or ("DOC" if not {"kind", "path"} & set(docs.columns) else None)
     routed = with_kind(docs, one_kind)
     if one_kind is None and config.names_table is not None:
@@ -53,9 +56,9 @@ def scan(
         return parts[0].unionByName(parts[1])
     found = _in_row(routed, replace(config, ignore_table=None, names_table=None), one_kind, text_col)
     if config.names_table is not None:
-        found = add_names(found, config.names_table, one_kind, config, id_col, text_col)
+        found = add_names(found, config.names_table, one_kind, config, text_col)
     if config.ignore_table is not None:
-        found = allow_large(found, config.ignore_table, id_col)
+        found = allow_large(found, config.ignore_table, text_col)
     return found
 
 

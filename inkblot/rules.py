@@ -173,6 +173,7 @@ class ScanConfig:
     # Lists too long for the plan, as tables that a scan joins: ``value``, and ``value, label``.
     ignore_table: DataFrame | None = field(default=None, compare=False)
     names_table: DataFrame | None = field(default=None, compare=False)
+    joined_labels: tuple[str, ...] = ()  # what names_table has, so that rules are counted as with short lists
 
     @classmethod
     def from_mapping(cls, config: Mapping) -> ScanConfig:
@@ -275,7 +276,7 @@ class ScanConfig:
     def _entities(self, labels: Sequence[str]) -> list[tuple[str, str, str, tuple[str, ...]]]:
         if not self.entities:
             return []
-        listed = {label for _, label in self.names}
+        listed = {label for _, label in self.names} | set(self.joined_labels)
         return [
             (label, "entity" if label in ENTITY_PATTERNS else "names", ENTITY_PATTERNS.get(label, ""), GUARDS.get(label, ()))
             for label in labels

@@ -178,6 +178,27 @@ def test_name_list_forms_agree(spark, texts):
         assert got == people | ({(0, "New York"), (1, "New   York")} if kind == "DOC" else set())
 
 
+def test_long_lists_with_null_and_repeated_ids(spark):
+    """Entries beyond what travels in the plan change nothing, whatever the ids."""
+    rows = [(None, "Robin Doe at 10.0.0.1", "DOC"), (None, "at 10.0.0.1 Kim, a@b.example.com", "DOC"), (7, "see Kim in New York", "DOC"), (7, "10.0.0.1 10.0.0.2 by Robin Doe", "DOC"),
+            (7, "x = 'Robin Doe'", "CODE"), (7, "see Kim in New York", "DOC"), (8, None, "DOC"), (None, None, "CODE"), (9, "nothing", "DOC")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, kind string")
+    names = [("Robin Doe", "PERSON"), ("Kim", "PERSON")]
+    more = [(f"Nobody{i} Here", "PERSON") for i in range(10_000)]
+    allow = ["10.0.0.1"]
+    columns = ["doc_id", "ord", "start", "end", "label", "snippet", "ordinal", "priority", "weight"]
+
+    def of(config):
+        found = sorted(map(repr, findings_table(scan(docs, config)).select(columns).collect()))
+        return found, sorted(map(repr, scrub(docs, config).select("doc_id", "text", "placed").collect()))
+
+    few = ScanConfig(ignore=frozenset(allow), names=tuple(names))
+    many = ScanConfig(ignore=frozenset([*allow, *(f"v{i}" for i in range(10_000))]), names=tuple(names + more))
+    assert many.tables(spark).names_table is not None and many.tables(spark).ignore_table is not None
+    want = of(few)
+    assert of(many) == want and "10.0.0.1 <" in str(want[1])
+
+
 def test_bands(spark):
     scores = [0, 5, 19, 20, 49, 50, 99, 100]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "i int, s bigint")
