@@ -14,7 +14,8 @@ import json
 import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable
-from functools import lru_cache, partial
+from dataclasses import replace
+from functools import lru_cache, partial, reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from inkblot.functions.arrays import empty, let, offsets
 from inkblot.functions.routing import format_of, kind_of
 from inkblot.operators.context import suspicious_literals
-from inkblot.operators.detect import findings_of
+from inkblot.operators.detect import FINDING, findings_of
+from inkblot.operators.findings import content_key, with_allowed, without_allowed
+from inkblot.operators.names import name_findings, name_labels
 from inkblot.operators.resolve import resolve, scrub_kept, scrub_leaves
 from inkblot.rules import ScanConfig
 from inkblot.session import stored
@@ -143,20 +146,83 @@ def with_leaves(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _found_in(leaf: Column, config: ScanConfig, code: bool) -> Column:
+    doc = findings_of(leaf, "DOC", config)
+    return F.when(F.col("kind") == "CODE", findings_of(leaf, "CODE", config, F.col("_literals"))).otherwise(doc) if code else doc
+
+
 @lru_cache(maxsize=32)
 def _scrubbed(config: ScanConfig, code: bool) -> Column:
     """What becomes of ``_leaves``: a long expression, built once for a rule set."""
+    return scrub_leaves(F.col("_leaves"), lambda leaf: _found_in(leaf, config, code))
 
-    def found(leaf: Column) -> Column:
-        doc = findings_of(leaf, "DOC", config)
-        return F.when(F.col("kind") == "CODE", findings_of(leaf, "CODE", config, F.col("_literals"))).otherwise(doc) if code else doc
 
-    return scrub_leaves(F.col("_leaves"), found)
+@lru_cache(maxsize=32)
+def _found(config: ScanConfig, code: bool = False) -> Column:
+    return F.transform("_leaves", lambda leaf: _found_in(leaf, config, code))
 
 
-@lru_cache(maxsize=32)
-def _found(config: ScanConfig) -> Column:
-    return F.transform("_leaves", lambda leaf: findings_of(leaf, "DOC", config))
+def _planned(config: ScanConfig | None, df: DataFrame) -> ScanConfig:
+    """The configuration with lists that are too long for the plan as tables."""
+    config = (config or ScanConfig()).tables(df.sparkSession)
+    return config if config.names_table is None else replace(config, joined_labels=name_labels(config.names_table))
+
+
+def _with_found(rows: DataFrame, config: ScanConfig, code: bool = False) -> DataFrame:
+    """Rows with ``_leaves`` and the findings in each of them, ``_found``; long lists are joined.
+
+    They come back by a hash of the leaves and the engine, which is all that findings depend on. Rows are
+    stored in scratch for that, originals included.
+    """
+    in_row = replace(config, ignore_table=None, names_table=None)
+    if config.names_table is None and config.ignore_table is None:
+        return rows.withColumn("_found", _found(in_row, code))
+    kind = F.col("kind") if code else F.lit("DOC")
+    rows = rows.withColumn("_key", F.concat(F.when(kind == "CODE", "C").otherwise("D"), content_key(F.col("_leaves"))))
+    # taken apart and detected once: the joins read the stored rows
+    found = rows = stored(rows.withColumn("_found", _found(in_row, code)), "leaves")
+    if config.names_table is not None:
+        leaves = rows.select("_key", F.posexplode_outer("_leaves").alias("_leaf", "text")).where("text is not null")
+        kinds = ("CODE", "DOC") if code else ("DOC",)
+        hits = [name_findings(leaves.where(F.col("_key").startswith(k[0])), config.names_table, k, config, ["_key", "_leaf"]) for k in kinds]
+        # bounded by the words of the one leaf; rows of the same leaves bring the same findings
+        per_leaf = reduce(DataFrame.union, hits).groupBy("_key", "_leaf").agg(F.collect_set("f").alias("fs"))
+        names = F.struct(F.col("_leaf").alias("leaf"), F.lit(1).alias("side"), "fs")
+        found = found.join(per_leaf.groupBy("_key").agg(F.collect_list(names).alias("_names")), "_key", "left")
+        found = found.withColumn("_found", _merged(F.col("_found"), F.col("_names"))).drop("_names")
+    if config.ignore_table is not None:
+        found = with_allowed(found, config.ignore_table, F.flatten("_found"))
+        found = found.withColumn("_found", F.transform("_found", without_allowed)).drop("_allowed")
+    return found.drop("_key")
+
+
+def _merged(found: Column, names: Column) -> Column:
+    """The findings of each leaf with those of names, which only some leaves have."""
+    item = f"array<struct<leaf:int,side:int,fs:array<{FINDING}>>>"
+    own = F.transform(found, lambda fs, leaf: F.struct(leaf.alias("leaf"), F.lit(0).alias("side"), fs.alias("fs"))).cast(item)
+
+    def of_leaf(entries: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            # what a leaf has of names stands right behind its own findings
+            after = F.get(entries, i + 1)
+            more = F.when(after["side"] == 1, after["fs"]).otherwise(empty(FINDING))
+            return F.when(e["side"] == 0, F.sort_array(F.concat(e["fs"], more)))
+
+        return F.filter(F.transform(entries, one), lambda fs: fs.isNotNull())
+
+    merged = let(F.sort_array(F.concat(own, names.cast(item))), of_leaf)
+    return F.when(names.isNull(), found).otherwise(merged)
+
+
+def _with_result(rows: DataFrame, config: ScanConfig, code: bool = False) -> DataFrame:
+    """Rows with ``_leaves`` and, in ``_result``, what becomes of them."""
+    if not config.names and config.names_table is None and config.ignore_table is None:
+        return rows.withColumn("_result", _scrubbed(config, code))
+    # step by step: with names, one expression of all this is too deep for the analyzer
+    found = _with_found(rows, config, code).withColumn("_kept", F.transform("_found", resolve))
+    done = found.withColumn("_done", scrub_kept(F.col("_leaves"), F.col("_kept")))
+    result = F.struct(F.col("_found").alias("findings"), F.col("_done.leaves").alias("leaves"), F.col("_done.placed").alias("placed"))
+    return done.withColumn("_result", result).drop("_found", "_kept", "_done")
 
 
 def scan_leaves(
@@ -167,7 +233,7 @@ def scan_leaves(
     Adds ``kind``, ``engine``, ``leaves`` (rewritten), ``placed``, and ``findings`` with the leaf of each in
     ``finding_leaves``. With ``code``, rows whose ``kind`` (or path) says so go to the engine for sources.
     """
-    config = config or ScanConfig()
+    config = _planned(config, docs)
     # a second name for the leaves of the input keeps them in reach of the rewritten ones
     taken = with_leaves(docs, text_col).withColumnRenamed("leaves", "_leaves")
     if code:
@@ -177,7 +243,7 @@ def scan_leaves(
     else:
         taken = taken.withColumn("kind", F.lit("DOC"))
 
-    done = taken.withColumn("_result", _scrubbed(config, code))
+    done = _with_result(taken, config, code)
     which = F.flatten(F.transform("_result.findings", lambda fs, leaf: F.transform(fs, lambda _: leaf)))
     done = done.withColumn("leaves", F.col("_result.leaves")).withColumn("placed", F.col("_result.placed"))
     done = done.withColumn("findings", F.flatten("_result.findings")).withColumn("finding_leaves", which).withColumn("engine", F.col("kind"))
@@ -301,10 +367,10 @@ def _elements_replaced(values: Column, dtype: T.DataType, leaves: Column, at: Co
 
 def scrub_columns(df: DataFrame, columns: list[str], config: ScanConfig | None = None) -> DataFrame:
     """Each row is a document; the strings at any depth of ``columns`` are scrubbed in place."""
-    config = config or ScanConfig()
+    config = _planned(config, df)
     parts = [(F.col(c), df.schema[c].dataType) for c in columns]
     found = df.withColumn("_leaves", joined_leaves(parts))
-    done = found.withColumn("_result", _scrubbed(config, False))
+    done = _with_result(found, config)
     done = done.withColumn("placed", F.col("_result.placed")).withColumn("findings", F.flatten("_result.findings"))
     leaves = F.col("_result.leaves")
     # where each column begins, as one array that is worked out once
@@ -338,12 +404,12 @@ def scrub_table(
     each block; no task ever holds a whole table or a whole file. Findings are stored in scratch
     meanwhile, originals included.
     """
-    config = config or ScanConfig()
+    config = _planned(config, df)
     labels = list(dict.fromkeys(r.label for r in config.rules("DOC")))
     scope = F.col(scope_by) if scope_by else F.lit(0)
     leaves = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
     rows = df.withColumn("_scope", scope).withColumn("_block", block_by).withColumn("_leaves", leaves)
-    rows = rows.withColumn("_findings", _found(config))
+    rows = _with_found(rows, config).withColumnRenamed("_found", "_findings")
     rows = rows.withColumn("_kept", F.transform("_findings", resolve))
     kept_labels = F.transform(F.flatten("_kept"), lambda f: f["label"])
     # counted once per row, for the labels it has

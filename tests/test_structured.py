@@ -117,3 +117,26 @@ def test_wide_rows(spark):
     row = done.where("id = 7").first()
     assert [row.s[i] for i in range(100)] == [f"<IPV4_{i + 1}>" for i in range(100)]
     assert [row[f"c{i}"] for i in range(100)] == [f"user=<USERNAME_{i + 1}>" for i in range(100)]
+
+
+def test_long_lists_reach_every_leaf(spark, tmp_path):
+    """With lists of more than 10,000 entries, leaves, columns and tables are scrubbed as with short ones."""
+    names, allow = [("Robin Doe", "PERSON"), ("Kim", "PERSON"), ("New York", "LOCATION")], ["10.0.0.1"]
+    few = ScanConfig(ignore=frozenset(allow), names=tuple(names))
+    many = ScanConfig(ignore=frozenset([*allow, *(f"v{i}" for i in range(10_000))]), names=(*names, *((f"Nobody{i}", "PERSON") for i in range(10_000))))
+    rows = [
+        (1, "/x/a.json", '{"a": ["Robin Doe", null, "10.0.0.1"], "b": {"c": "by Kim at 10.0.0.2 in New York"}}'), (1, "/x/b.csv", "Kim,x\n10.0.0.1,Robin Doe and Kim\n"),
+        (None, "/x/c.xml", "<a b='Kim'>New York</a>"), (None, "/x/d.txt", "Robin Doe 10.0.0.1 Kim"), (2, "/x/e.py", "x = 'Robin Doe'\npassword = 'hunter2 x'"),
+        (2, "/x/f.json", "{Kim"), (3, "/x/g.txt", None), (3, "/x/h.json", "[]"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id int, path string, text string")
+    columns = ["path", "text", "engine", "findings", "finding_leaves", "placed"]
+    want, got = (sorted(map(repr, scrub_any(docs, c).select(columns).collect())) for c in (few, many))
+    assert got == want
+    assert not any(n in str([r.text for r in scrub_any(docs, many).collect()]) for n in ("Robin", "Kim", "York"))
+    nested = spark.createDataFrame([(1, "Kim", (["Robin Doe", None, "10.0.0.1"], "x")), (1, None, (None, "New York"))], "id int, kind string, n struct<a:array<string>,b:string>")
+    want, got = (sorted(map(repr, scrub_columns(nested, ["kind", "n"], c).collect())) for c in (few, many))
+    assert got == want and "Kim" not in [r.kind for r in scrub_columns(nested, ["kind", "n"], many).collect()]
+    lines = spark.createDataFrame([(i, "Kim" if i % 2 else "10.0.0.1", f"Robin Doe {i}") for i in range(20)], "i int, a string, b string")
+    want, got = (sorted(map(repr, scrub_table(lines, ["a", "b"], "i", F.floor(F.col("i") / 7), None, c).collect())) for c in (few, many))
+    assert got == want and "<PERSON_30>" in str(got)
