@@ -35,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\udc81"  # stands for a mark in the text itself; no valid text has a lone surrogate
 WORDS = re.compile(r" *[^ \n]+| +|\n")
-KNOWN_WORDS = 150_000
+KNOWN_WORDS, KNOWN_CHARS = 150_000, 4 << 20  # together about as much as words of text need
 
 
 @dataclass
@@ -75,14 +75,15 @@ def load(model: str = MODEL) -> Vocabulary:
 def encode_words(words: Iterable[str], v: Vocabulary) -> Iterator[tuple[str, bytes]]:
     """Each distinct marked word with its ids (the bytes of 32-bit numbers), in sorted order."""
     best: list[float] = [0.0]  # forward score before each character of the word at hand
-    path: list[bytes] = [b""]  # ids of the best segmentation up to there
+    back: list[int] = [0]  # where the last piece of the best segmentation up to there begins
+    last: list[bytes] = [b""]  # the ids of that piece
     before = ""
     get, packed = v.scores.get, v.packed
     for word in sorted(words):
         kept, n = 0, min(len(before), len(word))
         while kept < n and before[kept] == word[kept]:
             kept += 1
-        del best[kept + 1 :], path[kept + 1 :]
+        del best[kept + 1 :], back[kept + 1 :], last[kept + 1 :]
         for end in range(kept + 1, len(word) + 1):
             char = word[end - 1]
             top, begin = -1e300, -1
@@ -97,17 +98,27 @@ def encode_words(words: Iterable[str], v: Vocabulary) -> Iterator[tuple[str, byt
                     top, begin = best[at] + score, at
             best.append(top)
             if begin < 0:
-                path.append(path[end - 1] + np.array([v.byte_ids[x] for x in spelled], np.int32).tobytes())
+                back.append(end - 1)
+                last.append(_byte_pieces(spelled, v))
             else:
-                path.append(path[begin] + packed[word[begin:end]])
+                back.append(begin)
+                last.append(packed[word[begin:end]])
         before = word
-        yield word, path[len(word)]
+        ids, end = [], len(word)
+        while end:
+            ids.append(last[end])
+            end = back[end]
+        yield word, b"".join(reversed(ids))
 
 
 def _spelling(char: str) -> bytes:
     return MARK.encode() if char == LITERAL else char.encode("utf-8", "surrogatepass")
 
 
+def _byte_pieces(spelled: bytes, v: Vocabulary) -> bytes:
+    return np.array([v.byte_ids[x] for x in spelled], np.int32).tobytes()
+
+
 def marked_words(text: str) -> list[str]:
     return WORDS.findall(" " + text) if text else []
 
@@ -120,17 +131,18 @@ class Encoder:
     """Encodes texts; remembers words, and forgets all when it knows too many."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
+        self.v, self.known, self.chars = v, {}, 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of 32-bit numbers."""
         split = [marked_words(t) for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
+        if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
+            self.known, self.chars = {}, 0
         new = {w for words in split for w in words}.difference(self.known)
         spelled = {marked(w): w for w in new}
         for word, ids in encode_words(spelled, self.v):
             self.known[spelled[word]] = ids
+            self.chars += len(word)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

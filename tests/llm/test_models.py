@@ -180,3 +180,18 @@ def test_pieces_round_trip(make_docs):
     assert all(r.decoded == (want[r.doc_id] or "") for r in got)
     assert {len(r.ids) for r in got if r.doc_id in (4, 100)} == {0}
     assert pieces.encode(make_docs(rows).where("false")).collect() == []
+
+
+def test_one_long_word_needs_memory_in_proportion():
+    """Texts without blanks are one marked word: back pointers, and not a string of ids for each character."""
+    import tracemalloc
+
+    v = pieces.load()
+    texts = ["".join(chr(0x4E00 + i * i % 20_000) for i in range(20_000)), "ab" * 20_000, " " * 20_000, "\U0001f600" * 10_000]
+    tracemalloc.start()
+    coded = pieces.Encoder(v)(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    for text, ids in zip(texts, coded):
+        assert pieces.decode_ids(np.frombuffer(ids, np.int32).tolist(), v) == text
