@@ -81,12 +81,17 @@ def _cells(texts: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBa
     """Lines, or whole files, taken apart: each row's cells with its number in the line or file."""
     for batch in texts:
         taken, numbers, cells = [], [], []
-        for i, text in enumerate(batch.column("value").to_pylist()):
-            rows = csv.reader(io.StringIO(text, newline="")) if whole else [next(csv.reader([text]), [])]
-            for number, row in enumerate(rows):
-                taken.append(i)
-                numbers.append(number)
-                cells.append(row)
+        # cells may have any length here; the limit is the worker's, which others read too
+        limit = csv.field_size_limit(sys.maxsize)
+        try:
+            for i, text in enumerate(batch.column("value").to_pylist()):
+                rows = csv.reader(io.StringIO(text, newline="")) if whole else [next(csv.reader([text]), [])]
+                for number, row in enumerate(rows):
+                    taken.append(i)
+                    numbers.append(number)
+                    cells.append(row)
+        finally:
+            csv.field_size_limit(limit)
         rest = batch.select(["_path", "_begin", "_line"]).take(pa.array(taken, pa.int64()))
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(numbers, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["_path", "_begin", "_line", "_number", "cells"])
 

@@ -49,6 +49,15 @@ def test_csv_rows_keep_all_they_have(spark, tmp_path, multiline):
     assert [(r._c0, r._c1, r._c2) for r in done] == [("h1", "h2", None), ("<IPV4_1>", "b", "<IPV4_2>"), (None, None, None), ("", "", "z"), ("x", None, None)]
 
 
+@pytest.mark.parametrize("multiline", [True, False])
+def test_csv_cells_of_any_length(spark, tmp_path, multiline):
+    long = "x" * 1_000_000
+    (tmp_path / "a.csv").write_text(f'h,{long}\n10.0.0.1,"{long}, y"\nb,"open {long}\n')
+    rows = read_csv_rows(spark, str(tmp_path / "a.csv"), multiline).orderBy("_order").collect()
+    end = "\n" if multiline else ""
+    assert [(r._c0, r._c1) for r in rows] == [("h", long), ("10.0.0.1", f"{long}, y"), ("b", f"open {long}{end}")]
+
+
 def test_files_have_ids_of_their_own(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"{i}.txt").write_text("same")
