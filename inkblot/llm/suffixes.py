@@ -40,6 +40,7 @@ SPAN = LENGTH - ANCHOR + 1  # places of an anchor in a string
 LEFT = SPAN - 1  # bytes before an anchor that matter
 WIDTH = LEFT + LENGTH
 BLOCK, PIECE = 16 << 20, 1 << 20
+SLICE = 1 << 14  # anchors whose surroundings are held at a time
 HOT = 2_000  # an anchor counts once or twice for each block that has it
 BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,17 +162,63 @@ def _unblob(blob) -> pa.Table:
 
 def surroundings(texts: list[bytes], number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each anchor the bytes around it (zero where the text has none), and how many there are left and right."""
-    data, ends = concat_bytes(texts)
-    sizes = np.diff(ends)[number]
+    data, ends = concat_bytes([bytes(LEFT), *texts, bytes(LENGTH)])
+    sizes = np.diff(ends)[number + 1]
     left, right = np.minimum(place, LEFT), np.minimum(sizes - place, LENGTH)
-    at = (ends[number] + place)[:, None] + np.arange(-LEFT, LENGTH)
-    column = np.arange(-LEFT, LENGTH)
-    inside = (column >= -left[:, None]) & (column < right[:, None])
-    out = data[np.clip(at, 0, max(0, len(data) - 1))] if len(data) else np.zeros(at.shape, np.uint8)
+    out = np.lib.stride_tricks.sliding_window_view(data, WIDTH)[ends[number + 1] + place - LEFT]
+    column = np.arange(-LEFT, LENGTH, dtype=np.int16)
+    inside = (column >= -left[:, None].astype(np.int16)) & (column < right[:, None].astype(np.int16))
     out[~inside] = 0
     return out, left, right
 
 
+def _first_of_rows(rows: np.ndarray) -> np.ndarray:
+    """Which rows of bytes are the first of their kind."""
+    once = np.zeros(len(rows), bool)
+    once[np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True)[1]] = True
+    return once
+
+
+def distinct_surroundings(texts: list[bytes], row: np.ndarray, number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of anchors in order, those whose surroundings come first (as indices), with these, and the spans of the others.
+
+    Anchors are worked through in slices: in long runs of a byte, or of a short period, every place is one.
+    """
+    kept, spans = [], [np.zeros((3, 0), np.int64)]
+
+    def removed(which: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        low = np.maximum(0, LENGTH - right)
+        good = low <= left
+        p = place[which]
+        spans.append(_united(np.stack((row[number[which]], p - left, p - low + LENGTH))[:, good]))
+
+    for at in range(0, len(number), SLICE):
+        some = np.arange(at, min(at + SLICE, len(number)))
+        around, left, right = surroundings_of(texts, number[some], place[some])
+        whole = np.concatenate((around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
+        once = _first_of_rows(whole)
+        removed(some[~once], left[~once], right[~once])
+        kept.append((some[once], whole[once]))
+    some, whole = (np.concatenate(c) for c in zip(*kept))
+    if len(kept) > 1:
+        once = _first_of_rows(whole)
+        removed(some[~once], whole[~once, WIDTH].astype(np.int64), whole[~once, WIDTH + 1].astype(np.int64))
+        some, whole = some[once], whole[once]
+    left, right = whole[:, WIDTH].astype(np.int64), whole[:, WIDTH + 1].astype(np.int64)
+    return some, whole[:, :WIDTH], left, right, _united(np.concatenate(spans, axis=1))
+
+
+def _united(spans: np.ndarray) -> np.ndarray:
+    """Spans (row, begin, end) of each row as maximal intervals."""
+    if not spans.shape[1]:
+        return spans
+    rows, rank = np.unique(spans[0], return_inverse=True)
+    apart = int(spans[2].max()) + 1  # more than any end, so that rows do not touch
+    begin, end = (np.array(x, np.int64) for x in union(spans[1] + rank * apart, spans[2] + rank * apart))
+    rank = begin // apart
+    return np.stack((rows[rank], begin - rank * apart, end - rank * apart))
+
+
 def _runs(buckets: int):
     def run(key: tuple, docs: pa.Table, again: pa.Table) -> pa.Table:
         if not len(docs) or not len(again):
@@ -208,18 +255,10 @@ def _runs(buckets: int):
         for some in np.split(turn, cuts):
             if not len(some):
                 continue
-            around, left, right = surroundings_of(texts, number[some], place[some])
-            whole = np.concatenate((around, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)), axis=1)
-            _, first, same = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
-            once = np.zeros(len(some), bool)
-            once[first] = True
-            later = np.flatnonzero(~once)
-            if len(later):
-                low, high = np.maximum(0, LENGTH - right[later]), left[later]
-                good = low <= high
-                p = place[some][later]
-                spans.append(np.stack((row[number[some][later]], p - high, p - low + LENGTH))[:, good])
-            some, around, left, right = some[once], around[once], left[once], right[once]
+            first, around, left, right, later = distinct_surroundings(texts, row, number[some], place[some])
+            if later.shape[1]:
+                spans.append(later)
+            some = some[first]
             tail = around[:, LEFT:]
             order = np.lexsort(tuple(_words(tail)))
             some, around, tail, left, right = some[order], around[order], tail[order], left[order], right[order]
@@ -249,6 +288,19 @@ STRINGS = pa.schema([("string", pa.int64()), ("doc", pa.int64()), ("row", pa.int
 
 def _strings_of(texts: list[bytes], number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and begin of every string of 100 bytes that holds one of the anchors, each string once."""
+    parts = [_strings_of_slice(texts, number[at : at + SLICE], place[at : at + SLICE]) for at in range(0, len(number), SLICE)]
+    return _each_once(*(np.concatenate(c) for c in zip(*parts)))
+
+
+def _each_once(h: np.ndarray, number: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((begin, number))
+    h, number, begin = h[order], number[order], begin[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (number[1:] != number[:-1]) | (begin[1:] != begin[:-1])
+    return h[new], number[new], begin[new]
+
+
+def _strings_of_slice(texts: list[bytes], number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     around, left, right = surroundings_of(texts, number, place)
     hasher = Hasher(WIDTH + 1)
     sums = np.zeros((len(number), WIDTH + 1), np.uint64)
@@ -258,12 +310,7 @@ def _strings_of(texts: list[bytes], number: np.ndarray, place: np.ndarray) -> tu
         fits = np.flatnonzero((o <= left) & (LENGTH - o <= right))
         at = LEFT - o
         out.append((mixed64((sums[fits, at + LENGTH] - sums[fits, at]) * hasher.down[at]), number[fits], place[fits] - o))
-    h, number, begin = (np.concatenate(c) for c in zip(*out))
-    order = np.lexsort((begin, number))
-    h, number, begin = h[order], number[order], begin[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (number[1:] != number[:-1]) | (begin[1:] != begin[:-1])
-    return h[new], number[new], begin[new]
+    return _each_once(*(np.concatenate(c) for c in zip(*out)))
 
 
 def _dealt_strings(strings: tuple[np.ndarray, ...], doc: np.ndarray, row: np.ndarray, block: int, buckets: int) -> Iterator[tuple[int, pa.Table]]:

@@ -154,3 +154,32 @@ def test_long_texts_are_cut_into_parts(monkeypatch, make_docs):
 def test_no_group_of_texts_is_joined_with_itself(make_docs, spark):
     plan = setjoin.join(make_docs(near_copies(3)))._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("unit", ["0", "ab"])
+def test_long_runs_of_a_byte_are_worked_through_in_slices(unit):
+    import tracemalloc
+
+    texts = [b"begin " + unit.encode() * (300_000 // len(unit)) + b" end"]
+    number, place, h = (np.concatenate(c) for c in zip(*suffixes.anchors(texts)))
+    place = np.unique(place)
+    number = np.zeros(len(place), np.int64)
+    assert len(place) > 100_000
+    tracemalloc.start()
+    some, around, left, right, spans = suffixes.distinct_surroundings(texts, np.array([5]), number, place)
+    _, _, begins = suffixes._strings_of(texts, number, place)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000
+    assert len(some) < 1_000 and spans.shape[1] == 1 and spans[0, 0] == 5
+    assert len(begins) == len(np.unique(begins))
+
+
+def test_slices_change_nothing(monkeypatch, make_docs):
+    rows = byte_texts(4) + [(70, "0" * 900), (71, "x" + "0" * 700 + "ab" * 300)]
+    want = {i: w for (i, _), w in zip(rows, plain.without_repeats([(t or "").encode() for _, t in rows]))}
+    monkeypatch.setattr(suffixes, "SLICE", 7)
+    for hot in (suffixes.HOT, 0):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        got = {r.doc_id: [list(x) for x in zip(r.begins, r.ends)] for r in suffixes.repeats(make_docs(rows), block=700, hot=hot).collect()}
+        assert {i: sum(e - b for b, e in x) for i, x in got.items()} == {i: w[1] for i, w in want.items()}
