@@ -26,75 +26,105 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkblot.llm.common import lean_batches, small_batches, text_bytes, written
+from inkblot.llm.common import lean_batches, mixed64, small_batches, text_bytes, written
 
 LONGEST, LEAST, COVER, TOP, UNIT = 4, 30, 80, 2000, 2_000_000
-BITS, CHUNK = 1 << 25, 1 << 16
+BITS, SALTS = 1 << 25, 16
 SLICE = 4 << 20
 
 # A-Z to lower case, all marks that end a piece to one
 TO_PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n")
-TOKENS = re.compile(rb"[^\x20\x09\n]+|\n[\x20\x09\n]*")
 GAPS = re.compile(rb"[\x20\x09\n]")
 
 
-def token_slices(blob: bytes, size: int = SLICE, longest: int = LONGEST) -> Iterator[tuple[list[bytes], int]]:
-    """Words and ends of pieces, slice by slice, and how many at the front were in the slice before."""
-    at, tail = 0, []
+class Words(NamedTuple):
+    """The words of a slice: the distinct ones, the number of each, its piece, and how many are old."""
+
+    distinct: pa.Array
+    ids: np.ndarray
+    piece: np.ndarray
+    old: int
+
+
+def word_slices(blob: bytes, size: int = SLICE, longest: int = LONGEST) -> Iterator[Words]:
+    """The words of a text in pieces, slice by slice; a slice begins with the last words of the one before."""
+    begin = at = 0
+    step = size
     while at < len(blob):
-        cut = GAPS.search(blob, min(at + size, len(blob)))
+        cut = GAPS.search(blob, min(at + step, len(blob)))
         end = cut.start() if cut else len(blob)
-        tokens = tail + TOKENS.findall(blob, at, end)
-        yield tokens, len(tail)
-        tail, at = tokens[max(0, len(tokens) - longest + 1) :], end
+        part = np.frombuffer(blob, np.uint8, end - begin, begin)
+        ends_piece = part == 10
+        in_word = (~(ends_piece | (part == 32) | (part == 9))).view(np.int8)
+        edges = np.flatnonzero(np.diff(in_word, prepend=0, append=0))
+        starts, n = edges[::2], len(edges) // 2
+        old = int(np.searchsorted(starts, at - begin))
+        step = size if n > old else 2 * step  # a long gap is read again with what comes before it
+        if n > old:
+            turns = pa.Array.from_buffers(pa.large_binary(), 2 * n - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(part)])
+            coded = turns.take(pa.array(np.arange(0, 2 * n - 1, 2))).dictionary_encode()
+            yield Words(coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.searchsorted(np.flatnonzero(ends_piece), starts), old)
+            begin += int(starts[max(0, n - longest + 1)])
+        at = end
+
+
+def _hash_of(words: list[bytes], lang: bytes) -> np.ndarray:
+    start = crc32(lang)
+    return np.fromiter((crc32(w, start) for w in words), np.uint64, len(words))
 
 
-def _frequent(bits: np.ndarray | None, lang: bytes, phrases: list[bytes]) -> np.ndarray:
+def _longer(hashed: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a phrase with one more word."""
+    return mixed64((hashed * np.uint64(0x9E3779B97F4A7C15)) ^ word)
+
+
+def _is_set(bits: np.ndarray | None, hashed: np.ndarray) -> np.ndarray:
     if bits is None:
-        return np.ones(len(phrases), bool)
-    mask = len(bits) * 8 - 1
-    places = np.fromiter((crc32(p, crc32(lang)) & mask for p in phrases), np.int64, len(phrases))
-    return (bits[places >> 3] >> (places & 7)) & 1 == 1
+        return np.ones(len(hashed), bool)
+    places = (hashed & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
 
 
-def slice_counts(tokens: list[bytes], old: int, length: int, known: list[np.ndarray], lang: bytes) -> tuple[list[bytes], np.ndarray]:
-    """The phrases of ``length`` words that are not all among the first ``old`` tokens, with their counts.
+def slice_counts(words: Words, length: int, known: list[np.ndarray | None], lang: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The phrases of ``length`` words that are not all among the old ones, with their counts.
 
     ``known`` has the bit maps of all shorter lengths; a phrase is counted if both of its parts are in them.
     """
-    place = dict.fromkeys(tokens)
-    for number, token in enumerate(place):
-        place[token] = number
-    ids = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-    words = list(place)
-    is_word = np.fromiter((w[:1] != b"\n" for w in words), bool, len(words))
-    # at each length: where phrases begin, their numbers, and one place for each number
-    at = np.flatnonzero(is_word[ids])
-    numbers, phrases = ids[at], words
-    for n in range(1, length):
-        good = _frequent(known[n - 1], lang, phrases)
-        there = good[numbers]
-        at, numbers = at[there], numbers[there]
-        next_to = np.flatnonzero(np.diff(at) == 1)
-        pairs = numbers[next_to] * (len(phrases) + 1) + numbers[next_to + 1]
-        at = at[next_to]
-        if n == length - 1:
-            new = at + length > old
-            at, pairs = at[new], pairs[new]
-        _, first, numbers, counts = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
-        phrases = [b" ".join(tokens[i : i + n + 1]) for i in at[first].tolist()]
+    ids, old, many = words.ids, words.old, len(words.distinct)
     if length == 1:
-        counts = np.bincount(ids[old:], minlength=len(words))
-        there = np.flatnonzero(is_word & (counts > 0))
-        return [words[i] for i in there.tolist()], counts[there]
-    return phrases, counts
+        counts = np.bincount(ids[old:], minlength=many)
+        there = np.flatnonzero(counts)
+        return words.distinct.take(pa.array(there)), counts[there]
+    by_word = _hash_of(words.distinct.to_pylist(), lang)
+    at = np.flatnonzero(_is_set(known[0], by_word)[ids])
+    hashed = by_word[ids[at]]
+    for n in range(2, length + 1):  # where phrases of n words begin whose parts are known
+        pair = np.flatnonzero((np.diff(at) == 1) & (words.piece[at[1:]] == words.piece[at[:-1]]))
+        at = at[pair]
+        if n < length:
+            hashed = _longer(hashed[pair], by_word[ids[at + n - 1]])
+            there = _is_set(known[n - 1], hashed)
+            at, hashed = at[there], hashed[there]
+    at = at[at + length > old]
+    # phrases numbered word by word, each number made of the one before and the next word's
+    number, firsts = ids[at], [np.arange(many)]
+    for n in range(1, length):
+        pairs = number * many + ids[at + n]
+        if n < length - 1:
+            seen, number = np.unique(pairs, return_inverse=True)
+        else:
+            seen, counts = np.unique(pairs, return_counts=True)
+        firsts = [*(f[seen // many] for f in firsts), seen % many]
+    return pc.binary_join_element_wise(*(words.distinct.take(pa.array(f)) for f in firsts), pa.scalar(b" ", pa.large_binary())), counts
 
 
 def _counts(docs: DataFrame, length: int, known: list) -> DataFrame:
@@ -107,9 +137,9 @@ def _counts(docs: DataFrame, length: int, known: list) -> DataFrame:
             for lang in dict.fromkeys(langs):
                 rows = pa.array([i for i, x in enumerate(langs) if x == lang])
                 blob = b"\n".join(batch.column(1).take(rows).to_pylist()).translate(TO_PIECES)
-                for tokens, old in token_slices(blob):
-                    phrases, counts = slice_counts(tokens, old, length, bits, lang.encode())
-                    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+                for words in word_slices(blob):
+                    phrases, counts = slice_counts(words, length, bits, lang.encode())
+                    columns = [pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(counts, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_bytes(docs).alias("text"))
@@ -118,16 +148,21 @@ def _counts(docs: DataFrame, length: int, known: list) -> DataFrame:
 
 def _bit_map(phrases: DataFrame, bits: int) -> np.ndarray:
     """One bit for the hash of each phrase. Its size is fixed; when it fills up, more phrases are counted."""
-    mask = bits - 1
+    mask = np.uint64(bits - 1)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = [np.zeros(0, np.int64)]
+        places = [np.zeros(0, np.uint64)]
         for b in batches:
-            places.append(np.unique(np.fromiter(
-                (crc32(p, crc32(x)) & mask for x, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), np.int64, b.num_rows)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(places)))], names=["place"])
-
-    hashed = phrases.select(F.col("lang").cast("binary"), F.col("phrase").cast("binary")).mapInArrow(mark, "place long")
+            langs, split = b.column(0).to_pylist(), b.column(1)
+            starts = np.array([crc32(x) for x in langs], np.int64)
+            hashed = None
+            for i in range(len(split[0]) if b.num_rows else 0):  # all phrases are of one length
+                word = np.fromiter((crc32(w[i], s) for w, s in zip(split.to_pylist(), starts.tolist())), np.uint64, b.num_rows)
+                hashed = word if hashed is None else _longer(hashed, word)
+            places.append(np.unique(hashed & mask) if b.num_rows else places[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(places)).astype(np.int64))], names=["place"])
+
+    hashed = phrases.select(F.col("lang").cast("binary"), F.split("phrase", " ").cast("array<binary>")).mapInArrow(mark, "place long")
     word = F.shiftright("place", 6)
     words = hashed.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("set")).toPandas()
     out = np.zeros(bits // 64, np.int64)
@@ -232,6 +267,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int
     kept = candidates(phrases).where(100 * F.col("longer") < cover * F.col("f"))
     scored = kept.select("lang", F.array_join("words", " ").alias("phrase"), F.col("f").alias("a"), weakest_cut().alias("cut"))
     scored = scored.select("lang", "phrase", "a", "cut.l", "cut.r", F.col("cut.score").cast("long").alias("score"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # the best of parts of a language first, so that the last step has few rows of each, however common it is
+    some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
+    scored = scored.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top).drop("rank")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

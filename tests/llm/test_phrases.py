@@ -73,12 +73,12 @@ def test_a_full_bit_map_and_short_lists_change_nothing(make_docs):
 @pytest.mark.parametrize("size", [1, 7, 40, 10_000])
 @pytest.mark.parametrize("length", [1, 2, 3, 4])
 def test_slices_count_each_phrase_once(size, length):
-    blob = "\n".join(t or "" for t, _ in corpus()).encode().translate(phrases.TO_PIECES)
+    blob = "\n".join([*(t or "" for t, _ in corpus()), " " * 500, "x" + "\t" * 300 + "y", " "]).encode().translate(phrases.TO_PIECES)
     found, want = Counter(), Counter()
     known = [None] * length  # every phrase counts as frequent
-    for tokens, old in phrases.token_slices(blob, size):
-        names, counts = phrases.slice_counts(tokens, old, length, known, b"en")
-        found.update(dict(zip(names, counts.tolist())))
+    for words in phrases.word_slices(blob, size):
+        names, counts = phrases.slice_counts(words, length, known, b"en")
+        found.update(dict(zip(names.to_pylist(), counts.tolist())))
     for piece in blob.split(b"\n"):
         words = re.findall(rb"[^ \t]+", piece)
         want.update(b" ".join(words[i : i + length]) for i in range(len(words) - length + 1))
