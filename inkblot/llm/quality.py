@@ -2,8 +2,8 @@
 
 Statistics of each whole text are gathered once. From those of labelled documents, rules are grown one
 after the other: conditions ``statistic >= t`` or ``< t`` are added to a conjunction while they gain
-information, the conjunction is pruned on rows that did not grow it, and it joins the list if it is
-precise enough there; the rows it covers are set aside. A rule that is not sets its first statistic
+information, any of them are pruned on rows that did not grow it, and it joins the list if it is
+precise enough there; the rows it covers are set aside. Rows that the base rule drops are not learned from. A rule that is not sets its first statistic
 aside. Length itself is no statistic: short texts fail the base rule. The list is emitted as one Spark expression:
 ``when`` the first rule that fits, drop, ``otherwise`` keep.
 
@@ -16,7 +16,7 @@ read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -118,30 +118,48 @@ def _gain(pos: np.ndarray, neg: np.ndarray, p0: int, n0: int) -> np.ndarray:
         return np.where(pos > 0, pos * (np.log2(pos / (pos + neg)) - before), -np.inf)
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, most: int) -> Rule:
+def _best_condition(x: dict[str, np.ndarray], bad: np.ndarray) -> Condition | None:
+    """The condition that gains most; among equals, the one with the widest gap around its threshold.
+
+    Thresholds lie midway between neighbouring values, so a row just beyond those seen falls on their side.
+    """
+    p0, n0 = int(bad.sum()), int((~bad).sum())
+    best, chosen = (1e-9, 0.0), None
+    for name in sorted(x):
+        values, where = np.unique(x[name], return_inverse=True)
+        if len(values) < 2:
+            continue
+        below_p = np.cumsum(np.bincount(where[bad], minlength=len(values)))[:-1]
+        below_n = np.cumsum(np.bincount(where[~bad], minlength=len(values)))[:-1]
+        gaps = np.diff(values) / (values[-1] - values[0])
+        for at_least, p, n in ((True, p0 - below_p, n0 - below_n), (False, below_p, below_n)):
+            gains = np.round(_gain(p, n, p0, n0), 9)
+            i = int(np.lexsort((-gaps, -gains))[0])
+            if (gains[i], gaps[i]) > best:
+                best, chosen = (gains[i], gaps[i]), Condition(name, at_least, float((values[i] + values[i + 1]) / 2))
+    return chosen
+
+
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
     rule: list[Condition] = []
     alive = np.ones(len(bad), bool)
     while len(rule) < most and alive.any() and not bad[alive].all():
-        y = bad[alive]
-        best, chosen = 1e-9, None
-        for name, values in x.items():
-            v = values[alive]
-            at = np.unique(np.quantile(v, np.linspace(0, 1, cuts + 2)[1:-1]))
-            at = np.unique(np.concatenate((at, np.quantile(v[y], np.linspace(0, 1, 11)))))
-            where = np.searchsorted(at, v, side="right")
-            pos = np.bincount(where[y], minlength=len(at) + 1)
-            neg = np.bincount(where[~y], minlength=len(at) + 1)
-            low_p, low_n = np.cumsum(pos)[:-1], np.cumsum(neg)[:-1]
-            for at_least, p, n in ((True, y.sum() - low_p, (~y).sum() - low_n), (False, low_p, low_n)):
-                gains = _gain(p, n, y.sum(), (~y).sum())
-                i = int(gains.argmax())
-                if gains[i] > best:
-                    best, chosen = gains[i], Condition(name, at_least, float(at[i]))
+        chosen = _best_condition({k: v[alive] for k, v in x.items()}, bad[alive])
         if chosen is None:
             break
         rule.append(chosen)
         alive &= chosen.holds(x)
-    return tuple(rule)
+    return _tightest(rule)
+
+
+def _tightest(rule: Iterable[Condition]) -> Rule:
+    """Of conditions that bound a statistic on one side, the one that says most."""
+    held: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        known = held.get((c.statistic, c.at_least))
+        if known is None or (c.threshold > known.threshold) == c.at_least:
+            held[c.statistic, c.at_least] = c
+    return tuple(held.values())
 
 
 def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, int]:
@@ -150,26 +168,39 @@ def _worth(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float
     return ((p - n) / (p + n) if p + n else -1.0), p
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, min_cover: int = 5, max_rules: int = 12,
-          cuts: int = 48, conditions: int = 4) -> list[Rule]:
-    """An ordered list of rules for ``bad``; every third row prunes, the others grow."""
+def _pruned(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+    """Conditions taken away one at a time, wherever they stand, as long as the rest is worth no less."""
+    while len(rule) > 1:
+        fewer = [rule[:i] + rule[i + 1 :] for i in range(len(rule))]
+        shorter = max(fewer, key=lambda r: _worth(r, x, bad))
+        if _worth(shorter, x, bad)[0] < _worth(rule, x, bad)[0]:
+            break
+        rule = shorter
+    return rule
+
+
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, turn: np.ndarray, precision: float = 0.95, min_cover: int = 5, max_rules: int = 12,
+          conditions: int = 4) -> list[Rule]:
+    """An ordered list of rules for ``bad``; rows whose ``turn`` is 2 prune, the others grow.
+
+    Only sets of rows count, so that their order changes nothing.
+    """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    turn = np.arange(len(bad)) % 3
     x = dict(x)
     while len(rules) < max_rules and x:
         grow, prune = left & (turn != 2), left & (turn == 2)
         if bad[grow].sum() < min_cover:
             break
-        rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow], cuts, conditions)
-        held = {k: v[prune] for k, v in x.items()}
-        shorter = [rule[:n] for n in range(len(rule), 0, -1)]
-        if not shorter:
+        rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow], conditions)
+        if not rule:
             break
-        rule = max(shorter, key=lambda r: (_worth(r, held, bad[prune])[0], -len(r)))
+        held = {k: v[prune] for k, v in x.items()}
+        first = rule[0].statistic
+        rule = _pruned(rule, held, bad[prune])
         worth, found = _worth(rule, held, bad[prune])
         if worth < 2 * precision - 1 or found < min_cover // 3:
-            del x[rule[0].statistic]  # a start that does not hold elsewhere; try without it
+            del x[first]  # a start that does not hold elsewhere; try without it
             continue
         rules.append(rule)
         left &= ~_covers(rule, x, len(bad))
@@ -181,9 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **how) ->
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")  # max_rows ids
-    rows = with_statistics(chosen).join(F.broadcast(sample), "doc_id")
-    data = rows.select("bad", F.xxhash64("doc_id").alias("h"), *(v.alias(k) for k, v in ratios().items())).orderBy("h").limit(max_rows).toPandas()
-    return learn({k: data[k].to_numpy(float) for k in ratios()}, data["bad"].to_numpy(bool), **how)
+    # what the base rule drops anyway teaches nothing
+    rows = with_statistics(chosen).where(~base_failed()).join(F.broadcast(sample), "doc_id")
+    hashed = F.xxhash64("doc_id")
+    data = rows.select("bad", F.pmod(hashed, F.lit(3)).alias("turn"), *(v.alias(k) for k, v in ratios().items())).orderBy(hashed, "doc_id").limit(max_rows).toPandas()
+    return learn({k: data[k].to_numpy(float) for k in ratios()}, data["bad"].to_numpy(bool), data["turn"].to_numpy(), **how)
 
 
 def dropped_by(rules: list[Rule]) -> Column:

@@ -102,6 +102,87 @@ def test_counts_and_learned_rules(make_docs, spark):
     assert quality.judge(df.where("false"), known).collect() == []
 
 
+def plain_learner(x, bad, turn, precision=0.95, min_cover=5, max_rules=12, most=4):
+    """Sequential covering over lists of rows, every threshold tried."""
+    n, names = len(bad), sorted(x)
+    fits = lambda rule, i: all((x[s][i] >= t) == up for s, up, t in rule)
+
+    def worth(rule, rows):
+        p = sum(bad[i] for i in rows if fits(rule, i))
+        q = sum(not bad[i] for i in rows if fits(rule, i))
+        return ((p - q) / (p + q) if p + q else -1.0), p
+
+    def grow(rows):
+        rule = []
+        while len(rule) < most and rows and not all(bad[i] for i in rows):
+            p0 = sum(bad[i] for i in rows)
+            best, chosen = (1e-9, 0.0), None
+            for s in names:
+                values = sorted({x[s][i] for i in rows})
+                for up in (True, False):
+                    options = []
+                    for low, high in zip(values, values[1:]):
+                        t = (low + high) / 2
+                        p = sum(bad[i] for i in rows if (x[s][i] >= t) == up)
+                        q = sum(not bad[i] for i in rows if (x[s][i] >= t) == up)
+                        gain = round(p * (math.log2(p / (p + q)) - math.log2(p0 / len(rows))), 9) if p else -math.inf
+                        options.append((gain, (high - low) / (values[-1] - values[0]), -t))
+                    if options and max(options)[:2] > best:
+                        gain, gap, t = max(options)
+                        best, chosen = (gain, gap), (s, up, -t)
+            if chosen is None:
+                break
+            rule.append(chosen)
+            rows = [i for i in rows if fits([chosen], i)]
+        tight = {}
+        for s, up, t in rule:
+            known = tight.get((s, up))
+            tight[s, up] = t if known is None else (max if up else min)(t, known)
+        return [(s, up, t) for (s, up), t in tight.items()]
+
+    rules, left, names = [], list(range(n)), list(names)
+    while len(rules) < max_rules and names:
+        growing, pruning = [i for i in left if turn[i] != 2], [i for i in left if turn[i] == 2]
+        if sum(bad[i] for i in growing) < min_cover:
+            break
+        rule = grow(growing)
+        if not rule:
+            break
+        first = rule[0][0]
+        while len(rule) > 1:
+            shorter = max(([*rule[:i], *rule[i + 1 :]] for i in range(len(rule))), key=lambda r: worth(r, pruning))
+            if worth(shorter, pruning)[0] < worth(rule, pruning)[0]:
+                break
+            rule = shorter
+        value, found = worth(rule, pruning)
+        if value < 2 * precision - 1 or found < min_cover // 3:
+            names.remove(first)
+            continue
+        rules.append(tuple(rule))
+        left = [i for i in left if not fits(rule, i)]
+    return rules
+
+
+def test_learner_beside_a_plain_one_in_any_order():
+    rng = np.random.default_rng(4)
+    for case in range(6):
+        n = 150
+        x = {k: np.round(rng.random(n), 2) for k in ("a", "b", "c")}
+        bad = (x["a"] > 0.6) & (x["b"] < 0.5) | (x["c"] > 0.9)
+        bad ^= rng.random(n) < (0.02 if case % 2 else 0)
+        turn = rng.integers(0, 3, n)
+        want = plain_learner({k: v.tolist() for k, v in x.items()}, bad.tolist(), turn.tolist())
+        assert [tuple(map(tuple, r)) for r in quality.learn(x, bad, turn)] == want
+        for _ in range(50 if case == 0 else 5):
+            order = rng.permutation(n)
+            got = quality.learn({k: v[order] for k, v in x.items()}, bad[order], turn[order])
+            assert [tuple(map(tuple, r)) for r in got] == want
+        if case % 2 == 0:
+            assert want
+    for rule in quality.learn(x, bad, turn):  # nothing that another condition says already
+        assert len({(c.statistic, c.at_least) for c in rule}) == len(rule)
+
+
 def test_rules_are_one_expression(spark):
     rules = [(quality.Condition("symbols_by_word", True, 0.5), quality.Condition("capitals", False, 0.9)), (quality.Condition("digits", True, 0.3),)]
     row = {c: 10 for c in quality.COUNTS} | {"n_symbols": 6, "n_capitals": 1, "n_digits": 1}
