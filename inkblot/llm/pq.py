@@ -120,15 +120,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = vectors.astype(float)
+    scaled /= np.abs(scaled).max(axis=1, keepdims=True)
     return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows with the key of their vector (null: takes no part), and one row for each distinct key."""
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding")
     takes_part = usable(v) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    plus = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))  # no zero below zero
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    plus = F.transform(v, lambda x: F.when(x == 0, F.abs(x)).otherwise(x)).cast(kind)  # no zero below zero
     key = F.sha2(F.concat_ws("/", F.col("label").cast("string"), plus.cast("string")).cast("binary"), 256)
     rows = vectors.select("vec_id", F.when(takes_part, key).alias("key"), F.when(takes_part, F.struct(F.col("label").cast("string").alias("label"), plus.alias("v"))).alias("x"))
     of_key = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("x").alias("x"))
@@ -171,6 +173,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     margin = reach / 2 if margin is None else margin
 
+    kind = classes.schema["v"].dataType.simpleString()
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lengths = b.column(4).to_numpy()
@@ -184,12 +188,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
                     home, probes, codes, lost = np.zeros(len(units), int), [np.zeros(0, int)] * len(units), np.zeros((len(units), 0), np.uint8), np.zeros(len(units))
                 columns = [
                     part.column(0), part.column(1), part.column(2), pa.array(lengths[lengths == n]), pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32())),
-                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lost), pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1) * n, pa.int32()), pa.array(units.ravel())),
+                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(lost), part.column(3),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["cid", "many", "label", "n", "home", "probes", "code", "lost", "unit"])
+                yield pa.RecordBatch.from_arrays(columns, names=["cid", "many", "label", "n", "home", "probes", "code", "lost", "v"])
 
     placed = written(classes.select("cid", "many", "label", "v", "n").mapInArrow(
-        lean_batches(place), "cid long, many long, label string, n int, home int, probes array<int>, code binary, lost double, unit array<double>"), "pq-placed")
+        lean_batches(place), f"cid long, many long, label string, n int, home int, probes array<int>, code binary, lost double, v {kind}"), "pq-placed")
     asks = placed.withColumn("list", F.explode(F.array_prepend("probes", F.col("home"))))
     # a row for each list: into how many blocks its members and those that ask it fall
     at = ["label", "n", "list"]
@@ -200,8 +204,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    asking = asks.select(*at, "cid", "many", "home", "probes", "unit").join(parts, at).withColumn("hb", every("_held")).withColumn("qb", F.pmod(spot, F.col("_asking")).cast("int"))
-    held = placed.withColumnRenamed("home", "list").select(*at, "cid", "many", "probes", "code", "lost", "unit").join(parts, at)
+    asking = asks.select(*at, "cid", "many", "home", "v").join(parts, at).withColumn("hb", every("_held")).withColumn("qb", F.pmod(spot, F.col("_asking")).cast("int"))
+    held = placed.withColumnRenamed("home", "list").select(*at, "cid", "many", "probes", "code", "lost", "v").join(parts, at)
     held = held.withColumn("qb", every("_asking")).withColumn("hb", F.pmod(spot, F.col("_held")).cast("int"))
     group = [*at, "hb", "qb"]
     asking, held = (x.drop("_held", "_asking").select(*(F.col(c).alias(c) for c in x.columns if c[0] != "_")) for x in (asking, held))
@@ -233,7 +237,7 @@ def found_in(q: Quantiser | None, here: int, left: pa.Table, right: pa.Table, th
     cids, links = np.concatenate((ids, other)), np.zeros(len(ids) + len(other), np.int64)
     root = np.arange(len(cids))
     if len(ids) and len(other):
-        asking, held = _matrix(left.column("unit")), _matrix(right.column("unit"))
+        asking, held = _units(_matrix(left.column("v"))), _units(_matrix(right.column("v")))
         probes = right.column("probes").combine_chunks()
         sizes = np.diff(probes.offsets.to_numpy())
         asked = set(zip(np.repeat(np.arange(len(other)), sizes).tolist(), probes.flatten().to_pylist()))

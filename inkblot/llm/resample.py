@@ -210,6 +210,7 @@ def scores(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words
     """doc_id, n_words, n_features, weight, score, rank of every document; ``target`` has ``text``."""
     gain = gains(bucket_counts(docs, buckets), bucket_counts(target, buckets))
     scored = weights(docs, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
+    scored = written(scored, "resample-scores")  # read twice: dealing out by range takes a sample first
     return ranked(scored, F.col("n_words") >= min_words, percent)
 
 

@@ -1,9 +1,10 @@
 """URL filters: a list of host and path rules, and association rules mined from labelled URLs.
 
 A URL becomes a set of tokens: labels of its host (``h:``), segments of its path (``p:``), keys of its
-query (``q:``). FP-growth mines token sets that go with the label ``block``; those with enough support
+query (``q:``). Tokens of at least five bad URLs take part in mining, and those that the same labelled URLs
+have are one item. FP-growth mines item sets that go with the label ``block``; those with enough support
 and confidence are kept as rules. They are matched by an inverted index: each rule stands under its
-rarest token only, and the other tokens are checked on what that token brings together. Where the
+rarest item only, and the other items are checked on what that one brings together. Where the
 list has no rule, a URL is blocked if a mined rule fits it.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: what follows
@@ -18,12 +19,12 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkblot.llm.common import ascii_lower, written
 
-BAD = "y:block"
+BAD, LEAST = "y:block", 5
 
 
 class ListRule(NamedTuple):
@@ -76,29 +77,54 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host != "", F.array_distinct(own)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
-    """Rules from ``tokens``, ``bad`` (boolean): ``tokens``, ``confidence``, ``lift``, ``support``, ``key``.
+def items_of(labelled: DataFrame, least: int) -> DataFrame:
+    """``token``, ``item``: tokens that ``least`` bad URLs have; those of exactly the same URLs are one item.
 
-    ``key`` is the rule's rarest token among the labelled, under which the index holds the rule.
+    To the labels, such tokens are the same thing, in any combination. Mined as one, a URL of many segments
+    that is there several times makes one item set, and not one for each choice of its segments.
     """
-    items = F.when(F.col("bad"), F.concat(F.col("tokens"), F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
-    baskets = labelled.where("bad is not null and size(tokens) > 0").select(items.alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    rows = labelled.select("bad", F.explode("tokens").alias("token"), F.col("_basket"))
+    places = [F.sum(F.xxhash64(F.col("_basket"), F.lit(seed)).cast("decimal(38,0)")).alias(f"at{seed}") for seed in (1, 2)]
+    found = rows.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), *places).where(F.col("n_bad") >= least)
+    return found.withColumn("item", F.min("token").over(Window.partitionBy("n", "at1", "at2"))).select("token", "item")
+
+
+def _itemized(urls: DataFrame, items: DataFrame, by: str) -> DataFrame:
+    """``by`` and ``items``: the items of each row, which has any of their tokens."""
+    found = urls.select(by, F.explode("tokens").alias("token")).join(items, "token")
+    return found.groupBy(by).agg(F.collect_set("item").alias("items"))  # bounded by the tokens of a URL
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Rules from ``tokens``, ``bad`` (boolean): ``items``, ``confidence``, ``lift``, ``support``, ``key``; and
+    which item each token is.
+
+    At least ``least`` bad URLs stand behind every rule. ``key`` is the rule's rarest item among the labelled,
+    under which the index holds the rule.
+    """
+    known = labelled.where("bad is not null and size(tokens) > 0").select("bad", "tokens", F.monotonically_increasing_id().alias("_basket"))
+    known = written(known, "url-labelled")
+    items = written(items_of(known, least), "url-items")
+    of_basket = known.select("_basket", "bad").join(_itemized(known, items, "_basket"), "_basket", "left")
+    held = F.coalesce("items", F.array().cast("array<string>"))
+    baskets = of_basket.select(F.when(F.col("bad"), F.concat(held, F.array(F.lit(BAD)))).otherwise(held).alias("items"))
+    n = known.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, least / max(n, 1))), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift))
-    counts = model.freqItemsets.where("size(items) = 1").select(F.element_at("items", 1).alias("token"), "freq")
-    ruled = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "lift", "support")
-    rarest = ruled.withColumn("token", F.explode("tokens")).join(counts, "token")
-    return rarest.groupBy("tokens").agg(
+    counts = model.freqItemsets.where("size(items) = 1").select(F.element_at("items", 1).alias("item"), "freq")
+    ruled = rules.select(F.sort_array("antecedent").alias("items"), "confidence", "lift", "support")
+    rarest = ruled.withColumn("item", F.explode("items")).join(counts, "item")
+    return rarest.groupBy("items").agg(
         F.first("confidence").alias("confidence"), F.first("lift").alias("lift"), F.first("support").alias("support"),
-        F.min(F.struct("freq", "token"))["token"].alias("key"),
-    )
+        F.min(F.struct("freq", "item"))["item"].alias("key"),
+    ), items
 
 
-def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def matches(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
     """``url`` and the most confident mined rule that fits it, for distinct ``url``, ``tokens``."""
-    seen = urls.withColumn("key", F.explode("tokens"))
-    index = rules.select("key", F.col("tokens").alias("wanted"), "confidence")
-    hits = seen.join(index, "key").where(F.size(F.array_except("wanted", "tokens")) == 0)
+    seen = _itemized(urls, items, "url").withColumn("key", F.explode("items"))
+    index = rules.select("key", F.col("items").alias("wanted"), "confidence")
+    hits = seen.join(index, "key").where(F.size(F.array_except("wanted", "items")) == 0)
     best = F.max(F.struct("confidence", (-F.size("wanted")).alias("short"), "wanted"))
     return hits.groupBy("url").agg(best.alias("best")).select("url", F.col("best.wanted").alias("mined"), F.col("best.confidence").alias("confidence"))
 
@@ -113,9 +139,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[ListRule] = RULES
     parsed = parsed.withColumn("_rule", list_rule(F.col("host"), F.col("path"), rules))
     tokens = url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")
     known = labels.select("page_id", "bad").where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    mined = written(mine(parsed.select("page_id", tokens).join(known, "page_id"), **mining), "url-rules")
+    mined, items = mine(parsed.select("page_id", tokens).join(known, "page_id"), **mining)
+    mined = written(mined, "url-rules")
     open_urls = parsed.where("_rule is null and host <> ''").select("url", tokens).distinct()
-    found = matches(open_urls, mined)
+    found = matches(open_urls, mined, items)
     verdict = F.when(F.col("_rule").isNotNull(), F.col("_rule.verdict")).when(F.col("mined").isNotNull(), "block").otherwise("allow")
     return parsed.join(found, "url", "left").select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"),

@@ -137,12 +137,42 @@ def test_urls_are_judged(spark):
 
 def test_mined_rules_are_those_of_a_plain_count(spark):
     rows = [(["h:a", "h:b", "p:x"], True)] * 30 + [(["h:a", "p:y"], False)] * 60 + [(["h:b", "p:y"], True)] * 5 + [(["h:b"], False)] * 25 + [([], True)] * 3
-    got = {tuple(r.tokens): r for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_support=0.1, min_confidence=0.6, min_lift=1.2).collect()}
+    mined, _ = urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_support=0.1, min_confidence=0.6, min_lift=1.2)
+    got = {tuple(r["items"]): r for r in mined.collect()}
     sets = {k for k in [("p:x",), ("h:a", "h:b"), ("h:a", "p:x"), ("h:b", "p:x"), ("h:a", "h:b", "p:x")]}
     assert set(got) == sets and all(r.confidence == 1.0 for r in got.values())
     assert got["h:a", "h:b"].key == "h:b" and got["h:a", "h:b", "p:x"].key == "p:x"
 
 
+def test_deep_urls_and_single_pages(spark):
+    """URLs of forty segments make one item; what a single page has makes no rule."""
+    deep = "http://deep.example/" + "/".join(f"s{i}" for i in range(40))
+    rows = [(i, deep) for i in range(8)] + [(100 + i, f"http://a.example/{i}/x") for i in range(60)] + [(200, "http://once.example/" + "/".join(f"t{i}" for i in range(40)))]
+    rows += [(300, "http://other.example/s3/q"), (301, "http://other.example/t3/q"), (302, "http://deep.example/")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, i < 100 or i == 200) for i, _ in rows if i < 300], "page_id bigint, bad boolean")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
+    assert {got[i] for i in range(8)} == {"block"} and {got[100 + i] for i in range(60)} == {"allow"}
+    # any token of an item stands for it; the page that is there once teaches nothing
+    assert (got[300], got[302], got[301], got[200]) == ("block", "block", "allow", "allow")
+
+
+def test_huge_components(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 8))
+    x[7] = 1e200
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(df, ann.every_20th()).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 500, 20))
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(500), -s))[:20]
+        assert len(found) == 20 and len({v for _, v, _ in found} & set(best.tolist())) >= 18
+
+
 def vectors(n=3000, dim=24, seed=3):
     return np.random.default_rng(seed).normal(size=(n, dim)) * np.random.default_rng(seed + 1).uniform(0.5, 2, (n, 1))
 
