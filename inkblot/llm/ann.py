@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkblot.llm.common import written
+
 DIMS, LEAF, SURE, K = 8, 32, 0.97, 20
-BLOCK, QUERIES = 8192, 512
+BLOCK, QUERIES = 8192, 8192
 OUT = "query_id long, query_row long, vec_id long, vec_row long, score double"
 SCHEMA = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("vec_row", pa.int64()), ("score", pa.float64())])
 
@@ -78,8 +80,12 @@ class Block:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, largest: float, dims: int = DIMS):
         self.ids, self.rows = ids, rows
         self.axes = projection(vectors.shape[1] + 1, dims)
-        lifted = np.sqrt(np.maximum(0, largest**2 - np.einsum("ij,ij->i", vectors, vectors)))
-        points = vectors @ self.axes[:-1] + lifted[:, None] * self.axes[-1]
+        # a power of two that makes the largest norm about 1: no square of it overflows, and products scale exactly
+        self.scale = 2.0 ** -min(1022, max(-1022, math.frexp(largest)[1]))
+        self.largest = largest * self.scale
+        scaled = vectors * self.scale
+        lifted = np.sqrt(np.maximum(0, self.largest**2 - np.einsum("ij,ij->i", scaled, scaled)))
+        points = scaled @ self.axes[:-1] + lifted[:, None] * self.axes[-1]
         order = kd_order(points)
         self.order = order.reshape(-1, LEAF)
         there = self.order >= 0
@@ -88,23 +94,24 @@ class Block:
         self.low = np.where(there[..., None], leaves, np.inf).min(axis=1)
         self.high = np.where(there[..., None], leaves, -np.inf).max(axis=1)
         self.full = there.any(axis=1)
-        self.largest = largest
 
     def search(self, query: np.ndarray, own: int, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the k best found for one query, whose own row is ``own``."""
-        at = query @ self.axes[:-1]
+        small = query * self.scale
+        at = small @ self.axes[:-1]
         gap = np.maximum(0, np.maximum(self.low - at, at - self.high))
         distance = np.where(self.full, np.einsum("ij,ij->i", gap, gap), np.inf)
         turn = np.argsort(distance, kind="stable")
-        base = float(query @ query) + self.largest**2
+        base = float(small @ small) + self.largest**2
         found, scores = np.empty(0, int), np.empty(0)
         done, step = 0, max(1, 2 * k // LEAF)
         while done < len(turn) and np.isfinite(distance[turn[done]]):
-            if len(scores) == k and distance[turn[done]] > ratio * max(0.0, base - 2 * scores.min()):
+            if len(scores) == k and distance[turn[done]] > ratio * max(0.0, base - 2 * scores.min() * self.scale * self.scale):
                 break
             some = turn[done : done + step]
             done, step = done + step, step * 2
-            values = (self.vectors[some].reshape(-1, self.vectors.shape[2]) @ query)
+            with np.errstate(over="ignore", invalid="ignore"):
+                values = np.nan_to_num(self.vectors[some].reshape(-1, self.vectors.shape[2]) @ query, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
             places = self.order[some].reshape(-1)
             good = places >= 0
             if own >= 0:
@@ -126,16 +133,22 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.where(F.size("v") == (usual["n"] if usual else 0))
 
 
+def _norm() -> Column:
+    """The norm of ``v``, of which the largest component is taken out before anything is squared."""
+    top = F.array_max(F.transform("v", F.abs))
+    return top * F.sqrt(F.aggregate(F.transform("v", lambda x: x / top), F.lit(0.0), lambda s, x: s + x * x))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K, sure: float = SURE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row among all other rows.
 
     Query blocks meet index blocks pair by pair; a task holds one of each. Only k rows for each query
     and index block go on to be merged.
     """
-    rows = usable(vectors)
-    facts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm")).first()
+    rows = written(usable(vectors), "ann-rows")  # numbered once: queries and index must agree on who is who
+    facts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(_norm()).alias("norm")).first()
     n_blocks, n_queries = max(1, -(-facts["n"] // block)), max(1, -(-facts["q"] // queries))
-    largest = float(facts["norm"] or 0) * (1 + 1e-12)
+    largest = min(float(facts["norm"] or 0) * (1 + 1e-12), 1.79e308)
     ratio = stopping_ratio(sure, DIMS)
     spot = F.xxhash64("vec_id", "_row")
     index = rows.select("vec_id", "_row", "v", F.pmod(spot, F.lit(n_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("g"))
