@@ -14,7 +14,8 @@ from inkblot.rules import CODE_ENTITIES, DOC_ENTITIES, ScanConfig
 
 def name_table(names: DataFrame) -> DataFrame:
     """``names(value, label)`` as distinct look-up keys with their number of words."""
-    key = ngram_key(F.trim("value"))
+    # trimmed of what separates words, as short lists are
+    key = F.trim(ngram_key(F.col("value")))
     keyed = names.select(key.alias("key"), F.col("label").alias("name_label")).where("key <> ''").distinct()
     return keyed.withColumn("words", F.size(F.split("key", " ")))
 

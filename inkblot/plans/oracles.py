@@ -262,6 +262,7 @@ def oracle_sql() -> dict[str, str]:
     q["person_filter"] = (
         f"select doc_id, s::int as start_at, snippet, not regexp_matches(snippet, '[_0-9]') as kept from {named(PEOPLE_TEXTS, people)}"
     )
+    q["assign_sites_native"] = q["assign_sites"]
     q["scan_code"] = f"select doc_id, label, s::int as start_at, e::int as end_at, snippet, prio::int as priority, copies::int as copies from {code_findings(CODE)}"
     q["scan_doc"] = f"select doc_id, label, s::int as start_at, e::int as end_at, snippet from {doc_findings(MIXED)}"
     allow = "(select concat('u', cast(s_suppkey as varchar(20))) as value from supplier union select concat('a', cast(s_suppkey as varchar(20))) from supplier)"
@@ -272,9 +273,11 @@ def oracle_sql() -> dict[str, str]:
     q["findings_json"] = q["order_doc"]
     q["resolve_code"] = f"{kept_cte(code_findings(CODE))} select doc_id, s::int as start_at, e::int as end_at, label from kept"
     q["resolve_doc"] = f"{kept_cte(doc_findings(MIXED))} select doc_id, s::int as start_at, e::int as end_at, label from kept"
+    q["resolve_islands"], q["scan_code_native"] = q["resolve_doc"], q["scan_code"]
     q["placeholders"] = f"{kept_cte(doc_findings(MIXED))} select doc_id, s::int as start_at, '<' || label || '_' || n || '>' as placeholder from kept"
     q["vault"] = f"{kept_cte(doc_findings(MIXED))} select doc_id, '<' || label || '_' || n || '>' as placeholder, label, n::int as n, snippet as original from kept"
     q["scrub_text"] = f"{kept_cte(doc_findings(MIXED))} select doc_id, text, 'DOC' as engine from {rewritten(MIXED)}"
+    q["scrub_islands"] = q["scrub_text"]
     q["scrub_code"] = f"{kept_cte(code_findings(CODE))} select doc_id, text, 'CODE' as engine from {rewritten(CODE)}"
     q["scrub_one_way"] = f"{kept_cte(doc_findings(MIXED))} select doc_id, text from {rewritten(MIXED)}"
     q["restore"] = f"select doc_id, text from {MIXED}"

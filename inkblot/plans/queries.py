@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,12 @@ from inkblot.functions.spans import regex_spans
 from inkblot.operators.context import assign_sites
 from inkblot.operators.detect import looks_like_person
 from inkblot.operators.findings import drop_allowed, findings_json, findings_table
+from inkblot.operators.islands import island_rows, resolve_islands, scrub_islands
 from inkblot.operators.names import name_spans
 from inkblot.operators.restore import has_placeholder_text, restore, restore_text
 from inkblot.operators.risk import report, risk, risk_of_table
 from inkblot.operators.structured import scan_leaves, scrub_any, scrub_columns, scrub_structured, scrub_table
+from inkblot.operators.sites import native_assign_sites
 from inkblot.plans import texts
 from inkblot.plans.oracles import FIRST_LOG_ID
 from inkblot.plans.scrub import placed_table, scan, scrub, vault_table
@@ -437,6 +440,28 @@ def query_scrub_wide(spark, sf):
     return done.select("doc_id", F.concat_ws("|", *(f"c{i}" for i in range(18)), "list", *last).alias("text"))
 
 
+def query_resolve_islands(spark, sf):
+    """Overlaps resolved with a row for each finding, island by island."""
+    found = island_rows(scan(mixed(spark, sf), DEFAULT, "DOC"), ["doc_id"])
+    return _listed(resolve_islands(found, ["doc_id"]), "start_at", "end_at", "label")
+
+
+def query_scrub_islands(spark, sf):
+    """Texts rewritten block by block, from findings as rows."""
+    done, _ = scrub_islands(mixed(spark, sf), DEFAULT, "DOC")
+    return done.select("doc_id", "text", "engine")
+
+
+def query_assign_sites_native(spark, sf):
+    return native_assign_sites(sources(spark, sf), DEFAULT.suspicious).select("doc_id", "form", "name", "literal")
+
+
+def query_scan_code_native(spark, sf):
+    """The engine for sources without Python: assignments are found by the native lexer."""
+    found = findings_table(scan(code(spark, sf), replace(DEFAULT, native_sites=True), "CODE"))
+    return _listed(found, "label", "start_at", "end_at", "snippet", "priority", "copies")
+
+
 FIND: dict[str, tuple] = {
     "find_ipv4": (documents, "IPV4"), "find_ipv6": (logs, "IPV6", "CODE"), "find_bearer": (logs, "AUTH_BEARER"),
     "find_aws_key": (mixed, "AWS_KEY"), "find_s3": (logs, "S3_BUCKET"), "find_stripe": (logs, "STRIPE_KEY"),

@@ -19,6 +19,7 @@ from inkblot.operators.detect import FINDING, findings_of
 from inkblot.operators.findings import allow_large
 from inkblot.operators.names import add_names, name_labels
 from inkblot.operators.resolve import PLACED, number, resolve, rewrite
+from inkblot.operators.sites import native_literals
 from inkblot.rules import ScanConfig
 
 
@@ -66,7 +67,8 @@ def _in_row(routed: DataFrame, config: ScanConfig, one_kind: str | None, text_co
     if one_kind == "DOC":
         found = _findings("DOC", config, text_col, None)
         return routed.withColumn("findings", F.when(F.col(text_col).isNotNull(), found).otherwise(empty(FINDING)))
-    literals = suspicious_literals(F.col(text_col), F.col("kind") == "CODE", config.suspicious)
+    read = native_literals if config.native_sites else suspicious_literals
+    literals = read(F.col(text_col), F.col("kind") == "CODE", config.suspicious)
     routed = routed.withColumn("_literals", literals)
     found = _findings("CODE", config, text_col, "_literals")
     if one_kind is None:
