@@ -2,8 +2,8 @@
 
 A structured document becomes an array of leaves, the strings to scan, in the order in which they
 are numbered; detection, resolving and numbering are the same native expressions as for plain
-text. Only taking a JSON, CSV or XML text apart and putting it together again, whose shape differs
-from row to row, is left to Python's own readers and writers, and only for such rows.
+text. JSON is taken apart and written again by native expressions too; for CSV and XML that is left to
+Python's own readers and writers, and only for such rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import io
 import json
 import sys
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import replace
 from functools import lru_cache, partial, reduce
 
@@ -28,8 +28,10 @@ from inkblot.functions.routing import format_of, kind_of
 from inkblot.operators.context import suspicious_literals
 from inkblot.operators.detect import FINDING, findings_of
 from inkblot.operators.findings import content_key, with_allowed, without_allowed
+from inkblot.operators.jsontext import is_json, json_leaves, tokens, written_json
 from inkblot.operators.names import name_findings, name_labels
 from inkblot.operators.resolve import resolve, scrub_kept, scrub_leaves
+from inkblot.operators.sites import native_literals
 from inkblot.rules import ScanConfig
 from inkblot.session import stored
 
@@ -130,20 +132,33 @@ def _put_together(fmt: pd.Series, text: pd.Series, leaves: pd.Series) -> pd.Seri
     )
 
 
-def with_leaves(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` (with ``fmt`` or ``path``) with ``leaves`` and ``fallback``."""
+def with_leaves(docs: DataFrame, text_col: str = "text", formats: Sequence[str] = STRUCTURED) -> DataFrame:
+    """``docs`` (with ``fmt`` or ``path``) with ``leaves`` and ``fallback``, and ``_tokens`` of JSON texts.
+
+    ``formats`` are those that rows may have. JSON is taken apart by native expressions; only where CSV or XML
+    may come does the plan have a step in Python, and only such rows go through it.
+    """
     if "fmt" not in docs.columns:
         docs = docs.withColumn("fmt", format_of(F.col("path")))
-    sent = F.when(F.col("fmt").isin(*STRUCTURED), F.col(text_col))
-    # Called non-deterministic, so that the optimizer keeps this projection below, and does not fold
-    # it into, the one that puts the texts together again.
-    apart = docs.withColumn("_apart", _take_apart.asNondeterministic()(F.col("fmt"), sent))
-    plain = F.when(F.col(text_col).isNotNull(), F.array(text_col)).otherwise(empty("string"))
-    return (
-        apart.withColumn("leaves", F.when(F.col("fmt").isin(*STRUCTURED), F.col("_apart.leaves")).otherwise(plain))
-        .withColumn("fallback", F.coalesce(F.col("_apart.fallback"), F.lit(False)))
-        .drop("_apart")
-    )
+    text, fmt = F.col(text_col), F.col("fmt")
+    plain = F.when(text.isNotNull(), F.array(text)).otherwise(empty("string"))
+    leaves, fallback = plain, F.lit(False)
+    apart = docs
+    python = [f for f in ("csv", "xml") if f in formats]
+    if python:
+        # Called non-deterministic, so that the optimizer keeps this projection below, and does not fold
+        # it into, the one that puts the texts together again.
+        apart = apart.withColumn("_apart", _take_apart.asNondeterministic()(fmt, F.when(fmt.isin(*python), text)))
+        leaves = F.when(fmt.isin(*python), F.col("_apart.leaves")).otherwise(leaves)
+        fallback = F.when(fmt.isin(*python), F.coalesce(F.col("_apart.fallback"), F.lit(False))).otherwise(fallback)
+    if "json" in formats:
+        apart = apart.withColumn("_tokens", F.when(fmt == "json", tokens(text)))
+        apart = apart.withColumn("_json", F.when(F.col("_tokens").isNotNull(), is_json(text, F.col("_tokens"))))
+        leaves = F.when(F.col("_json"), json_leaves(F.col("_tokens"))).otherwise(leaves)
+        fallback = F.coalesce(~F.col("_json"), fallback)
+    else:
+        apart = apart.withColumn("_tokens", F.lit(None).cast("array<string>"))
+    return apart.withColumn("leaves", leaves).withColumn("fallback", fallback).drop("_apart", "_json")
 
 
 def _found_in(leaf: Column, config: ScanConfig, code: bool) -> Column:
@@ -226,20 +241,26 @@ def _with_result(rows: DataFrame, config: ScanConfig, code: bool = False) -> Dat
 
 
 def scan_leaves(
-    docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text", code: bool = False,
+    docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text", code: bool = False, formats: Sequence[str] = STRUCTURED,
 ) -> DataFrame:
     """The findings in each leaf of each document, with numbers and placeholders of the kept ones.
 
     Adds ``kind``, ``engine``, ``leaves`` (rewritten), ``placed``, and ``findings`` with the leaf of each in
     ``finding_leaves``. With ``code``, rows whose ``kind`` (or path) says so go to the engine for sources.
     """
+    return _scanned(docs, config, text_col, code, formats).drop("_leaves", "_tokens")
+
+
+def _scanned(docs: DataFrame, config: ScanConfig | None, text_col: str, code: bool, formats: Sequence[str]) -> DataFrame:
     config = _planned(config, docs)
     # a second name for the leaves of the input keeps them in reach of the rewritten ones
-    taken = with_leaves(docs, text_col).withColumnRenamed("leaves", "_leaves")
+    taken = with_leaves(docs, text_col, formats).withColumnRenamed("leaves", "_leaves")
     if code:
         known = "kind" in docs.columns
         taken = taken.withColumn("kind", F.col("kind") if known else kind_of(F.col("path")) if "path" in docs.columns else F.lit("DOC"))
-        taken = taken.withColumn("_literals", suspicious_literals(F.col(text_col), F.col("kind") == "CODE", config.suspicious, apart=True))
+        is_code = F.col("kind") == "CODE"
+        literals = native_literals(F.col(text_col), is_code, config.suspicious) if config.native_sites else suspicious_literals(F.col(text_col), is_code, config.suspicious, apart=True)
+        taken = taken.withColumn("_literals", literals)
     else:
         taken = taken.withColumn("kind", F.lit("DOC"))
 
@@ -247,18 +268,29 @@ def scan_leaves(
     which = F.flatten(F.transform("_result.findings", lambda fs, leaf: F.transform(fs, lambda _: leaf)))
     done = done.withColumn("leaves", F.col("_result.leaves")).withColumn("placed", F.col("_result.placed"))
     done = done.withColumn("findings", F.flatten("_result.findings")).withColumn("finding_leaves", which).withColumn("engine", F.col("kind"))
-    return done.drop("_result", "_leaves", "_literals")
+    return done.drop("_result", "_literals")
 
 
 def scrub_structured(
-    docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text", code: bool = False,
+    docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text", code: bool = False, formats: Sequence[str] = STRUCTURED,
 ) -> DataFrame:
-    """Documents of any format scrubbed in that format; what fails to parse, as plain text."""
-    done = scan_leaves(docs, config, text_col, code)
-    whole = F.col("fmt").isin(*STRUCTURED) & ~F.col("fallback")
-    rebuilt = _put_together(F.col("fmt"), F.when(whole, F.col(text_col)), F.col("leaves"))
-    text = F.when(whole, rebuilt).otherwise(F.element_at(F.concat("leaves", F.array(F.lit(None).cast("string"))), F.greatest(F.size("leaves"), F.lit(1))))
-    return done.withColumn("_text", text).withColumn(text_col, F.col("_text")).drop("_text")
+    """Documents of any format scrubbed in that format; what fails to parse, as plain text.
+
+    Where only some formats come, naming them in ``formats`` leaves the others out of the plan; rows of a
+    format not named are scrubbed as plain text.
+    """
+    done = _scanned(docs, config, text_col, code, formats)
+    fmt = F.col("fmt")
+    last = F.element_at(F.concat("leaves", F.array(F.lit(None).cast("string"))), F.greatest(F.size("leaves"), F.lit(1)))
+    text = last
+    python = [f for f in ("csv", "xml") if f in formats]
+    if python:
+        whole = fmt.isin(*python) & ~F.col("fallback")
+        text = F.when(whole, _put_together(fmt, F.when(whole, F.col(text_col)), F.when(whole, F.col("leaves")))).otherwise(text)
+    if "json" in formats:
+        rebuilt = written_json(F.col("_tokens"), F.col("_leaves"), F.col("leaves"))
+        text = F.when(F.col("_tokens").isNotNull() & ~F.col("fallback"), rebuilt).otherwise(text)
+    return done.withColumn("_text", text).withColumn(text_col, F.col("_text")).drop("_text", "_leaves", "_tokens")
 
 
 def scrub_any(docs: DataFrame, config: ScanConfig | None = None, text_col: str = "text") -> DataFrame:

@@ -277,13 +277,13 @@ def query_roundtrip_violations(spark, sf):
 
 
 def query_leaf_scan(spark, sf):
-    rows = scan_leaves(records(spark, sf, texts.JSON_RECORD, "json"))
+    rows = scan_leaves(records(spark, sf, texts.JSON_RECORD, "json"), formats=("json",))
     rows = rows.select("doc_id", F.explode_outer("placed").alias("p")).where("p is not null")
     return rows.select("doc_id", "p.leaf", F.col("p.start").alias("start_at"), "p.label", F.col("p.original").alias("snippet"), "p.placeholder")
 
 
 def query_scrub_json(spark, sf):
-    done = scrub_structured(records(spark, sf, texts.JSON_RECORD, "json"))
+    done = scrub_structured(records(spark, sf, texts.JSON_RECORD, "json"), formats=("json",))
     value = F.from_json("text", "struct<src:string,note:string,tags:array<string>>")
     rows = done.select("doc_id", "text", value.alias("v"), F.get_json_object("text", "$.tags[1].at").alias("seen_at"))
     return rows.select("doc_id", "text", "v.src", "v.note", F.get("v.tags", F.lit(0)).alias("who"), "seen_at")
@@ -299,7 +299,7 @@ def query_scrub_xml(spark, sf):
 
 def query_json_fallback(spark, sf):
     broken = records(spark, sf, texts.JSON_RECORD, "json").withColumn("text", F.expr("left(text, length(text) - 1)"))
-    return scrub_structured(broken).select("doc_id", "fallback", "text")
+    return scrub_structured(broken, formats=("json",)).select("doc_id", "fallback", "text")
 
 
 def query_scrub_columns(spark, sf):
