@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkblot.functions.bitmap import BitMap
+from inkblot.session import stored
+
 
 def in_scan_order(findings: Column, kind: Column) -> Column:
     """As a scan lists them: sources from the end by rank, documents from the start by rule."""
@@ -82,12 +85,13 @@ def content_key(texts: Column) -> Column:
 def with_allowed(keyed: DataFrame, allow: DataFrame, findings: Column) -> DataFrame:
     """Rows with ``_key`` and, in ``_allowed``, the snippets of their findings that are on a long allow-list.
 
-    Only the snippets that are allowed go back to their rows, as a set for each ``_key``.
+    A bit map of the list turns down most others inside the row. Only the snippets that are allowed go back
+    to their rows, as a set for each ``_key``.
     """
-    pairs = keyed.select(
-        "_key", F.explode_outer(F.array_distinct(F.transform(findings, lambda f: f["snippet"]))).alias("snippet")
-    ).where("snippet is not null")
     values = allow.select(F.col("value").alias("snippet")).where("snippet is not null").distinct()
+    known = BitMap(values, "snippet")
+    snippets = F.array_distinct(F.transform(F.filter(findings, lambda f: known.may_have(f["snippet"])), lambda f: f["snippet"]))
+    pairs = keyed.select("_key", F.explode_outer(snippets).alias("snippet")).where("snippet is not null")
     hits = pairs.join(values, "snippet", "left_semi")
     per_key = hits.groupBy("_key").agg(F.collect_set("snippet").alias("_allowed"))
     return keyed.join(per_key, "_key", "left")
@@ -102,6 +106,7 @@ def allow_large(scanned: DataFrame, allow: DataFrame, text_col: str = "text") ->
 
     The hash of the text is what allowed snippets come back by: ids may be null or repeated.
     """
-    keyed = scanned.withColumn("_key", content_key(F.array(text_col)))
+    # detected once: the join reads the stored rows, originals included
+    keyed = stored(scanned.withColumn("_key", content_key(F.array(text_col))), "allow")
     allowed = with_allowed(keyed, allow, F.col("findings"))
     return allowed.withColumn("findings", without_allowed(F.col("findings"))).drop("_allowed", "_key")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkblot.functions.arrays import empty
+from inkblot.functions.bitmap import BitMap
 from inkblot.functions.spans import ngram_hits, ngram_key, place
 from inkblot.operators.detect import FINDING, looks_like_person
 from inkblot.operators.findings import content_key
@@ -32,12 +33,14 @@ def name_sizes(listed: DataFrame) -> list[int]:
 def name_spans(docs: DataFrame, names: DataFrame, id_col: str | list[str] = "doc_id", text_col: str = "text") -> DataFrame:
     """Where listed names occur: ``id, start, end, bstart, bend, snippet, name_label, words``.
 
-    Runs of words of every size that the list has are taken in one pass over the texts. Only their
-    place and key are shuffled, never the texts, and Spark broadcasts a list that is small in bytes.
+    Runs of words of every size that the list has are taken in one pass over the texts. A bit map of the
+    list's keys turns down nearly all that are not in it, inside the row. Of the others, only place and key
+    are shuffled, never the texts, and Spark broadcasts a list that is small in bytes.
     """
     listed = name_table(names)
     sizes = name_sizes(listed)
-    hits = ngram_hits(F.col(text_col), {n: None for n in sizes or [1]})
+    known = BitMap(listed.select("key").distinct(), "key")
+    hits = ngram_hits(F.col(text_col), {n: known.may_have for n in sizes or [1]})
     spans = F.flatten(F.transform(hits, lambda h, i: F.transform(place(h), lambda s: F.struct(s.alias("s"), i.alias("i")))))
     ids = [id_col] if isinstance(id_col, str) else id_col
     rows = docs.select(*ids, F.explode_outer(spans).alias("x")).where("x is not null")

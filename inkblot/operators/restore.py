@@ -70,13 +70,14 @@ def vault_conflicts(vault: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return vault.groupBy(id_col, "placeholder").agg(F.count_distinct("original").alias("n")).where("n > 1")
 
 
-def restore(scrubbed: DataFrame, vault: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def restore(scrubbed: DataFrame, vault: DataFrame, id_col: str = "doc_id", text_col: str = "text", open_col: str | None = None) -> DataFrame:
     """Scrubbed texts with the originals of ``vault(id, placeholder, original)`` put back.
 
     Only placeholders that stand in a text are looked up, by document and placeholder, so that a
     document with very many of them does not gather in one task. All are replaced in one pass over
     the text: an original that itself reads like a placeholder is left as it was. A vault may hold a row
     more than once; of several originals for one placeholder (:func:`vault_conflicts`) the least is taken.
+    ``open_col`` names a column that says whether a placeholder of the text is not in the vault.
     """
     text = F.col(text_col)
     marked = scrubbed.withColumn("_found", F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)))
@@ -92,4 +93,9 @@ def restore(scrubbed: DataFrame, vault: DataFrame, id_col: str = "doc_id", text_
     own = F.filter("_answers", lambda a: F.get(F.col("_found"), a["pos"]) == a["placeholder"])
     values = F.transform(own, lambda a: F.struct(a["pos"].alias("pos"), F.coalesce(a["original"], a["placeholder"]).alias("value")))
     restored = F.when(F.size("_found") > 0, let(values, lambda v: _filled(F.split(text, PLACEHOLDER, -1), v))).otherwise(text)
-    return marked.join(answers, id_col, "left").withColumn(text_col, restored).drop("_found", "_answers")
+    joined = marked.join(answers, id_col, "left")
+    if open_col:
+        # an id that is null has no answers
+        known_all = F.when(F.col("_answers").isNotNull(), ~F.exists(own, lambda a: a["original"].isNull())).otherwise(F.size("_found") <= 0)
+        joined = joined.withColumn(open_col, ~known_all & F.col(text_col).isNotNull())
+    return joined.withColumn(text_col, restored).drop("_found", "_answers")

@@ -257,6 +257,7 @@ def oracle_sql() -> dict[str, str]:
     q["find_assign"] = f"select doc_id, s::int as start_at, e::int as end_at, snippet, copies::int as copies from {assigned(SOURCES)}"
     q["find_person"] = _spans(named(LOGS, "(select distinct lower(c_name) as key from customer)"))
     q["find_person_join"] = q["find_person"]
+    q["find_model_entity"] = q["find_person"]
     q["find_location"] = _spans(named(PLACE_TEXTS, PLACES))
     people = "(select lower(c_name) as key from customer union select lower(c_mktsegment) from customer)"
     q["person_filter"] = (
@@ -281,7 +282,8 @@ def oracle_sql() -> dict[str, str]:
     q["scrub_code"] = f"{kept_cte(code_findings(CODE))} select doc_id, text, 'CODE' as engine from {rewritten(CODE)}"
     q["scrub_one_way"] = f"{kept_cte(doc_findings(MIXED))} select doc_id, text from {rewritten(MIXED)}"
     q["restore"] = f"select doc_id, text from {MIXED}"
-    q["restore_map"] = q["restore"]
+    q["restore_map"] = q["publish_vault"] = q["restore"]
+    q["stream_restore"] = f"select doc_id, text from {DOCUMENTS}"
     q["roundtrip_violations"] = (
         f"select count(*) as n_docs, count(*) filter (where regexp_matches(text, '<[^<>]+_[0-9]+>')) as n_flagged, 0::bigint as n_violations from {MIXED}"
     )

@@ -16,6 +16,7 @@ from inkblot.operators.context import assign_sites
 from inkblot.operators.detect import looks_like_person
 from inkblot.operators.findings import drop_allowed, findings_json, findings_table
 from inkblot.operators.islands import island_rows, resolve_islands, scrub_islands
+from inkblot.operators.models import EntityModel
 from inkblot.operators.names import name_spans
 from inkblot.operators.restore import has_placeholder_text, restore, restore_text
 from inkblot.operators.risk import report, risk, risk_of_table
@@ -27,8 +28,8 @@ from inkblot.plans.scrub import placed_table, scan, scrub, vault_table
 from inkblot.rules import CustomRule, ScanConfig
 from inkblot.session import scratch_dir, spread, without_call_sites
 from inkblot.sources.files import assemble_pages
-from inkblot.sources.sinks import write_scrubbed
-from inkblot.streaming.streams import read_risk, risk_by_window, scrub_stream, write_risk
+from inkblot.sources.sinks import publish_scrubbed, published_texts, published_vault, write_scrubbed
+from inkblot.streaming.streams import read_restored, read_risk, restore_stream, risk_by_window, scrub_stream, write_risk
 
 Query = Callable[[SparkSession, str], DataFrame]
 DEFAULT = ScanConfig()
@@ -462,6 +463,39 @@ def query_scan_code_native(spark, sf):
     return _listed(found, "label", "start_at", "end_at", "snippet", "priority", "copies")
 
 
+def _stub_model():
+    """Stands for a model that a user would load: finds the names of customers."""
+    import re
+
+    name = re.compile(r"Customer#[0-9]+")
+    return lambda texts: [[(m.start(), m.end(), "PERSON") for m in name.finditer(t)] for t in texts]
+
+
+def query_find_model_entity(spark, sf):
+    """A user's model within a scan."""
+    config = ScanConfig(model=EntityModel(_stub_model, ("PERSON",)))
+    found = findings_table(scan(logs(spark, sf), config, "DOC")).where(F.col("detector") == "model")
+    return _listed(found, "start_at", "end_at", "snippet")
+
+
+def query_publish_vault(spark, sf):
+    """Texts and vault of two runs, published together, put back from what readers see."""
+    texts_at, vault_at = scratch_dir(spark, "published-texts"), scratch_dir(spark, "published-vault")
+    publish_scrubbed(scrub(documents(spark, sf), DEFAULT, "DOC"), texts_at, vault_at)
+    publish_scrubbed(scrub(_after(logs(spark, sf)), DEFAULT, "DOC"), texts_at, vault_at)
+    return restore(published_texts(spark, texts_at).select("doc_id", "text"), published_vault(spark, texts_at, vault_at))
+
+
+def query_stream_restore(spark, sf):
+    """A stream of scrubbed texts joined with the vault batch by batch."""
+    texts_at, vault_at, out, waiting = (scratch_dir(spark, f"stream-restore-{x}") for x in ("texts", "vault", "out", "waiting"))
+    write_scrubbed(scrub(documents(spark, sf), DEFAULT, "DOC"), texts_at, vault_at)
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(texts_at)
+    vault = lambda: spark.read.parquet(vault_at)
+    restore_stream(stream, vault, out, waiting).awaitTermination()
+    return read_restored(spark, vault, stream.schema, out, waiting)
+
+
 FIND: dict[str, tuple] = {
     "find_ipv4": (documents, "IPV4"), "find_ipv6": (logs, "IPV6", "CODE"), "find_bearer": (logs, "AUTH_BEARER"),
     "find_aws_key": (mixed, "AWS_KEY"), "find_s3": (logs, "S3_BUCKET"), "find_stripe": (logs, "STRIPE_KEY"),

@@ -17,6 +17,7 @@ from inkblot.functions.routing import kind_of
 from inkblot.operators.context import suspicious_literals
 from inkblot.operators.detect import FINDING, findings_of
 from inkblot.operators.findings import allow_large
+from inkblot.operators.models import add_model
 from inkblot.operators.names import add_names, name_labels
 from inkblot.operators.resolve import PLACED, number, resolve, rewrite
 from inkblot.operators.sites import native_literals
@@ -58,6 +59,8 @@ def scan(
     found = _in_row(routed, replace(config, ignore_table=None, names_table=None), one_kind, text_col)
     if config.names_table is not None:
         found = add_names(found, config.names_table, one_kind, config, text_col)
+    if config.model is not None:
+        found = add_model(found, config.model, config, text_col)
     if config.ignore_table is not None:
         found = allow_large(found, config.ignore_table, text_col)
     return found

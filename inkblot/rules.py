@@ -174,6 +174,7 @@ class ScanConfig:
     ignore_table: DataFrame | None = field(default=None, compare=False)
     names_table: DataFrame | None = field(default=None, compare=False)
     joined_labels: tuple[str, ...] = ()  # what names_table has, so that rules are counted as with short lists
+    model: object | None = field(default=None, compare=False)  # an operators.models.EntityModel, which a scan runs on its texts
     native_sites: bool = False  # find assignments by operators.sites, which runs no Python and parses less strictly
 
     @classmethod
