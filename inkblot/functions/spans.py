@@ -120,6 +120,15 @@ def regex_hit(
     return F.when(present, let(cut, lambda c: hit(c["matches"], c["gaps"])))
 
 
+def pattern_hit(text: Column, java_regex: Column) -> Column:
+    """Every non-overlapping match of a pattern that is a column; null if there is none."""
+
+    def hit(matches: Column) -> Column:
+        return F.when(F.size(matches) > 0, let(F.split(text, java_regex, -1), lambda gaps: _hit(matches, gaps, _indices(matches))))
+
+    return let(F.regexp_extract_all(text, java_regex, F.lit(0)), hit)
+
+
 def literal_hit(text: Column, literal: Column) -> Column:
     """Every non-overlapping occurrence of a (non-empty) literal, left to right; null if none."""
     quoted = F.concat(F.lit("\\Q"), F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))

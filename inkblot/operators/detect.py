@@ -43,7 +43,7 @@ def _assigned(text: Column, rule: Rule, literals: Column) -> Column:
 
 def _entry(rule: Rule, hit: Column, sub: Column | None = None, copies: Column | None = None) -> Column:
     return F.struct(
-        F.lit(rule.ordinal).alias("rule"),
+        F.lit(rule.place).alias("rule"),
         (F.lit(0) if sub is None else sub).alias("sub"),
         (F.lit(1) if copies is None else copies).alias("copies"),
         hit.alias("hit"),
@@ -89,7 +89,7 @@ def findings_of(text: Column, kind: str, config: ScanConfig, literals: Column |
             return F.struct(
                 (-span["start"]).alias("from_end"),
                 of_rule([-r.priority for r in rules], entry).alias("rank"),
-                entry["rule"].alias("ordinal"),
+                of_rule([r.ordinal for r in rules], entry).alias("ordinal"),
                 entry["sub"].alias("sub"),
                 span["start"].alias("start"), span["end"].alias("end"),
                 span["bstart"].alias("bstart"), span["bend"].alias("bend"),

@@ -249,6 +249,9 @@ def oracle_sql() -> dict[str, str]:
         f" union all select doc_id, s, e, snippet, 'HEX_SECRET', {len(DOC_RULES)}, 0, 45, 1 from {rule(DOCUMENTS, 'HEX_SECRET')}"
     )
     q["custom_rule"] = f"select doc_id, label, s::int as start_at, e::int as end_at, snippet, weight from {doc_findings(DOCUMENTS, hexed)}"
+    buckets = matches(LOGS, "bkt-[0-9]+")
+    q["custom_rules_many"] = f"""select doc_id, 'R' || substr(snippet, 5) as label, s::int as start_at, e::int as end_at, snippet, (substr(snippet, 5)::int % 60) as weight
+ from {buckets} where try_cast(substr(snippet, 5) as bigint) < 20000 and (snippet = 'bkt-0' or substr(snippet, 5, 1) <> '0')"""
     q["entropy_tokens"] = _spans(matches(DOCUMENTS, TOKEN + "+"))
     long_tokens = matches(DOCUMENTS, TOKEN + "+", where="length(m) >= 8 and not regexp_matches(m, '^[a-zA-Z_]+$')")
     q["token_entropy"] = f"select snippet as token, round(h, 6) as entropy from {entropy_of(long_tokens)}"

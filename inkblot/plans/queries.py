@@ -496,6 +496,14 @@ def query_stream_restore(spark, sf):
     return read_restored(spark, vault, stream.schema, out, waiting)
 
 
+def query_custom_rules_many(spark, sf):
+    """Twenty thousand rules from a table, most of which no text meets."""
+    made = spark.range(20_000).select(F.concat(F.lit("R"), "id").alias("name"), F.concat(F.lit("bkt-"), "id", F.lit(r"\b")).alias("regex"), (F.col("id") % 60).cast("int").alias("score"))
+    config = ScanConfig.from_tables(rules=made)
+    found = findings_table(scan(logs(spark, sf), config, "DOC"))
+    return _listed(found.where(F.col("label").rlike("^R[0-9]+$")), "label", "start_at", "end_at", "snippet", "weight")
+
+
 FIND: dict[str, tuple] = {
     "find_ipv4": (documents, "IPV4"), "find_ipv6": (logs, "IPV6", "CODE"), "find_bearer": (logs, "AUTH_BEARER"),
     "find_aws_key": (mixed, "AWS_KEY"), "find_s3": (logs, "S3_BUCKET"), "find_stripe": (logs, "STRIPE_KEY"),

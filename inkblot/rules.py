@@ -113,6 +113,8 @@ WITH_DIGIT = frozenset({"IPV4", "CREDIT_CARD_REGEX", "US_ZIP", "STREET_ADDRESS",
 
 # Sets carried inside the plan may have up to this many entries; larger ones are joined.
 INLINE_LIMIT = 10_000
+# Every rule in the plan is a detector of its own, with expressions of its own.
+RULES_INLINE = 200
 
 
 @dataclass(frozen=True)
@@ -127,6 +129,7 @@ class Rule:
     java: str = ""
     guard: tuple[str, ...] = ()
     with_digit: bool = False
+    place: int = 0  # among the rules that are in the plan
 
 
 @dataclass(frozen=True)
@@ -154,10 +157,10 @@ def _bounded(rows: DataFrame, what: str) -> list[Row]:
     return got
 
 
-def _few(rows: DataFrame) -> list[Row] | None:
+def _few(rows: DataFrame, limit: int = INLINE_LIMIT) -> list[Row] | None:
     """The rows of a table that can travel in the plan; None, after reading one row more, for a larger one."""
-    got = rows.limit(INLINE_LIMIT + 1).collect()
-    return got if len(got) <= INLINE_LIMIT else None
+    got = rows.limit(limit + 1).collect()
+    return got if len(got) <= limit else None
 
 
 @dataclass(frozen=True)
@@ -175,6 +178,9 @@ class ScanConfig:
     names_table: DataFrame | None = field(default=None, compare=False)
     joined_labels: tuple[str, ...] = ()  # what names_table has, so that rules are counted as with short lists
     model: object | None = field(default=None, compare=False)  # an operators.models.EntityModel, which a scan runs on its texts
+    rules_table: DataFrame | None = field(default=None, compare=False)  # ``name, regex, score`` of rules too many for the plan
+    rules_index: DataFrame | None = field(default=None, compare=False)  # the same, as operators.manyrules reads them
+    joined_rules: int = 0  # how many those are: detectors that come after them are counted on from there
     native_sites: bool = False  # find assignments by operators.sites, which runs no Python and parses less strictly
 
     @classmethod
@@ -214,17 +220,25 @@ class ScanConfig:
         """From tables ``rules(name, regex, score)``, ``ignore(value)``, ``suspicious(name)`` and
         ``names(value, label)``.
 
-        Rules and suspicious names become detectors. Allow-lists and lists of names may have any
-        length: short ones travel in the plan, others are joined by the scan, with the same result.
+        Suspicious names travel in the plan. Rules, allow-lists and lists of names may have any length:
+        short ones travel in the plan too, others are joined by the scan, with the same result. Of many rules,
+        those with the name of a built-in one replace it in the plan.
         """
+        few_rules = _few(rules, RULES_INLINE) if rules is not None else []
+        many = rules if few_rules is None else None
+        if many is not None:
+            built_in = [*CODE_PATTERNS, *DOC_PATTERNS]
+            few_rules = many.where(many["name"].isin(built_in)).collect()  # as many as there are built-in names, and their repeats
+            many = many.where(~many["name"].isin(built_in) | many["name"].isNull())
         ignored = ignore.select("value") if ignore is not None else None
         listed = names.select("value", "label") if names is not None else None
         few_ignored = _few(ignored) if ignored is not None else []
         few_names = _few(listed) if listed is not None else []
         return cls(
             custom_rules=tuple(
-                CustomRule(r["name"], r["regex"], r.asDict().get("score")) for r in _bounded(rules, "rules")
-            ) if rules is not None else (),
+                CustomRule(r["name"], r["regex"], r.asDict().get("score")) for r in few_rules
+            ),
+            rules_table=many,
             ignore=frozenset(r["value"] for r in few_ignored or () if r["value"] is not None),
             extra_suspicious=tuple(r["name"] for r in _bounded(suspicious.select("name"), "suspicious")) if suspicious is not None else (),
             names=tuple((r["value"], r["label"]) for r in few_names or () if r["value"] is not None),
@@ -285,24 +299,33 @@ class ScanConfig:
             if label in ENTITY_PATTERNS or label in listed
         ]
 
+    def _before_joined(self, kind: str) -> list[tuple[str, str, str, tuple[str, ...]]]:
+        """Detectors that emit before the rules of a table."""
+        return self._entities(CODE_ENTITIES) + self._patterns(CODE_PATTERNS) if kind == "CODE" else self._patterns(DOC_PATTERNS)
+
+    def first_joined(self, kind: str) -> int:
+        return len(self._before_joined(kind))
+
     def rules(self, kind: str) -> list[Rule]:
         """The detectors of an engine (``CODE`` or ``DOC``) in the order they emit findings."""
+        parts = self._before_joined(kind)
+        joined_at = len(parts)
         if kind == "CODE":
-            parts = self._entities(CODE_ENTITIES) + self._patterns(CODE_PATTERNS)
-            parts += [("HIGH_ENTROPY_SECRET", "entropy", "", ()), ("SECRET_VAR_ASSIGNMENT", "context", "", ())]
+            parts = parts + [("HIGH_ENTROPY_SECRET", "entropy", "", ()), ("SECRET_VAR_ASSIGNMENT", "context", "", ())]
         else:
-            parts = self._patterns(DOC_PATTERNS) + self._entities(DOC_ENTITIES)
+            parts = parts + self._entities(DOC_ENTITIES)
         return [
             Rule(
-                label, detector, ordinal,
+                label, detector, place + (self.joined_rules if place >= joined_at else 0),
                 # only the code engine ranks findings that start together; documents go by rule order
                 self.priority(label) if kind == "CODE" else 0,
                 self.weight(label),
                 _java(label, detector, regex) if regex else "",
                 guard,
                 label in WITH_DIGIT and regex in (DOC_PATTERNS.get(label), CODE_PATTERNS.get(label), ENTITY_PATTERNS.get(label)),
+                place,
             )
-            for ordinal, (label, detector, regex, guard) in enumerate(parts)
+            for place, (label, detector, regex, guard) in enumerate(parts)
         ]
 
     def names_for(self, label: str) -> list[str]:
