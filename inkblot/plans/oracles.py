@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from inkblot.plans.texts import (
-    EDGED, JSON_RECORD, LEAVES, LOG_LINE, LONG_MAIL, PAGE_PATH, PLACE_TEXT, RAGGED, RECORD_TEXT, SOURCE, TABLE_ADDR, TABLE_NOTE,
+    EDGED, FILE_TEXT, JSON_RECORD, LEAVES, LOG_LINE, LONG_MAIL, PAGE_PATH, PLACE_TEXT, RAGGED, RECORD_TEXT, SOURCE, TABLE_ADDR, TABLE_NOTE,
 )
 from inkblot.rules import CODE_PATTERNS, DEFAULT_WEIGHT, DOC_ENTITIES, DOC_PATTERNS, ENTITY_PATTERNS, PRIORITIES, SUSPICIOUS_NAMES, WEIGHTS
 
@@ -334,6 +334,10 @@ def oracle_sql() -> dict[str, str]:
     edged = f"(select c_custkey as doc_id, md5(cast(c_custkey as varchar(20))) as m, {EDGED} as text from customer)"
     q["find_edges"] = f"""select doc_id, b::int as start_at, (b + t + 19)::int as end_at, substr(text, (b + 1)::bigint, (t + 19)::bigint) as snippet from (
   select *, strpos(substr(text, (b + 1)::bigint), substr(m, 9, 20)) as t from (select *, strpos(text, substr(m, 1, 20)) - 1 as b from {edged}))"""
+    q["csv_file"] = """select c_custkey as doc_id, concat(c_name, chr(10), 'says "', c_mktsegment, '", once') as note,
+ concat('10.0.', cast(c_custkey % 256 as varchar), '.1') as addr, 3::int as n from customer"""
+    q["read_files"] = f"""select s_suppkey, 'DOC' as kind, 'txt' as fmt, concat(regexp_replace(replace(replace(t, ip, '<IPV4_1>'), chr(13), chr(10)), 'user=.*$', 'user=<USERNAME_1>'), chr(10)) as text,
+ null::varchar as error from (select s_suppkey, {FILE_TEXT} as t, concat('10.0.0.', cast(s_suppkey % 256 as varchar)) as ip from supplier)"""
     q["restore_dup"] = f"select doc_id, text from {LOGS}"
     both = f"(select c_custkey * 2 as doc_id, {TABLE_NOTE} as text from customer union all select c_custkey * 2 + 1, {TABLE_ADDR} from customer)"
     lines = " union all ".join(f"select doc_id, s, {lit(label)} as label from {rule(both, label)}" for label in ("IPV4", "US_ZIP"))

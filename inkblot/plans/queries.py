@@ -27,7 +27,8 @@ from inkblot.plans.oracles import FIRST_LOG_ID
 from inkblot.plans.scrub import placed_table, scan, scrub, vault_table
 from inkblot.rules import CustomRule, ScanConfig
 from inkblot.session import scratch_dir, spread, without_call_sites
-from inkblot.sources.files import assemble_pages
+from inkblot.sources.files import assemble_pages, read_documents
+from inkblot.sources.largecsv import read_large_csv
 from inkblot.sources.sinks import publish_scrubbed, published_texts, published_vault, write_scrubbed
 from inkblot.streaming.streams import read_restored, read_risk, restore_stream, risk_by_window, scrub_stream, write_risk
 
@@ -504,6 +505,24 @@ def query_custom_rules_many(spark, sf):
     return _listed(found.where(F.col("label").rlike("^R[0-9]+$")), "label", "start_at", "end_at", "snippet", "weight")
 
 
+def query_csv_file(spark, sf):
+    """CSV files with line feeds in quoted cells, read in splits."""
+    at = scratch_dir(spark, "csv-file")
+    table(spark, sf, "customer", "c_custkey", "c_name", "c_mktsegment").select(F.expr(texts.CSV_LINE).alias("value")).write.text(at)
+    rows = read_large_csv(spark, at)
+    return rows.select(F.get("cells", F.lit(0)).cast("bigint").alias("doc_id"), F.get("cells", F.lit(1)).alias("note"), F.get("cells", F.lit(2)).alias("addr"), F.size("cells").alias("n"))
+
+
+def query_read_files(spark, sf):
+    """A file for each supplier, read as documents and scrubbed; line ends of any kind are line feeds."""
+    at = scratch_dir(spark, "read-files")
+    suppliers = table(spark, sf, "supplier", "s_suppkey", "s_name").coalesce(1)
+    suppliers.select("s_suppkey", F.expr(texts.FILE_TEXT).alias("value")).write.partitionBy("s_suppkey").text(at)
+    docs = read_documents(spark, at, strict=True, recursiveFileLookup="true", pathGlobFilter="*.txt")
+    key = F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("bigint").alias("s_suppkey")
+    return scrub(docs.withColumn("s_suppkey", key), DEFAULT, "DOC").select("s_suppkey", "kind", "fmt", "text", "error")
+
+
 FIND: dict[str, tuple] = {
     "find_ipv4": (documents, "IPV4"), "find_ipv6": (logs, "IPV6", "CODE"), "find_bearer": (logs, "AUTH_BEARER"),
     "find_aws_key": (mixed, "AWS_KEY"), "find_s3": (logs, "S3_BUCKET"), "find_stripe": (logs, "STRIPE_KEY"),

@@ -58,3 +58,7 @@ RAGGED = f"""concat('10.0.', {_mod(256)}, '.1,b', repeat(',10.1.', 1), {_mod(256
 # Sources whose indented text parses only when dedented, and whose literals are not spelled as they read.
 EDGED = f"""concat('  password = "', substr({_M}, 1, 24), chr(92), 'n', substr({_M}, 5, 24), '"', chr(10), '  x = 1', chr(10))"""
 PEOPLE_TEXT = "concat(c_name, ' of ', c_mktsegment, ' wrote')"
+# A line of a CSV file whose second cell goes over a line feed and holds quotes.
+CSV_LINE = f"""concat({_K}, ',"', c_name, chr(10), 'says ""', c_mktsegment, '"", once",10.0.', {_mod(256)}, '.1')"""
+# What a file for each supplier holds.
+FILE_TEXT = """concat(s_name, ' of 10.0.0.', cast(s_suppkey % 256 as varchar(20)), chr(13), 'user=u', cast(s_suppkey as varchar(20)))"""
