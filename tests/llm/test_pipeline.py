@@ -55,5 +55,5 @@ def test_queries_return_a_row_for_each_document(spark, sf, name):
 
 def test_names():
     names = list(queries.queries())
-    assert names[-1] == "pipeline" and [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 11)]
+    assert names[-1] == "pipeline" and [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
