@@ -13,6 +13,7 @@ import re
 import sys
 import warnings
 from collections.abc import Iterator
+from dataclasses import replace
 from re import _constants as ops
 from re import _parser
 
@@ -70,7 +71,7 @@ def required_literal(regex: str) -> str:
     return best
 
 
-def rule_index(rules: DataFrame, config: ScanConfig) -> DataFrame:
+def rule_index(rules: DataFrame) -> DataFrame:
     """``name, java, literal, key, score, number`` of a table ``rules(name, regex, score)``, stored in scratch.
 
     Of rules with one name the last counts, by ``ordinal`` if the table has one, or else by pattern. Those that
@@ -109,6 +110,14 @@ def rule_index(rules: DataFrame, config: ScanConfig) -> DataFrame:
     return stored(numbered.join(rarest, "number", "left").select("name", "java", "literal", "key", "score", "number"), "rule-index")
 
 
+def with_rule_index(config: ScanConfig) -> ScanConfig:
+    """A configuration whose table of rules, if it has one, is made into an index."""
+    if config.rules_table is None:
+        return config
+    index = rule_index(config.rules_table)
+    return replace(config, rules_table=None, rules_index=index, joined_rules=index.count())
+
+
 def _candidates(rows: DataFrame, index: DataFrame, text_col: str) -> DataFrame:
     """``_key`` and ``_rules``: for each text, the rules whose literal it holds, or that have none."""
     keyed = index.where("key is not null")

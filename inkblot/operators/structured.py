@@ -29,6 +29,8 @@ from inkblot.operators.context import suspicious_literals
 from inkblot.operators.detect import FINDING, findings_of
 from inkblot.operators.findings import content_key, with_allowed, without_allowed
 from inkblot.operators.jsontext import is_json, json_leaves, tokens, written_json
+from inkblot.operators.manyrules import add_rules, with_rule_index
+from inkblot.operators.models import add_model
 from inkblot.operators.names import name_findings, name_labels
 from inkblot.operators.resolve import resolve, scrub_kept, scrub_leaves
 from inkblot.operators.sites import native_literals
@@ -179,27 +181,40 @@ def _found(config: ScanConfig, code: bool = False) -> Column:
 
 def _planned(config: ScanConfig | None, df: DataFrame) -> ScanConfig:
     """The configuration with lists that are too long for the plan as tables."""
-    config = (config or ScanConfig()).tables(df.sparkSession)
+    config = with_rule_index((config or ScanConfig()).tables(df.sparkSession))
     return config if config.names_table is None else replace(config, joined_labels=name_labels(config.names_table))
 
 
+def _joins(config: ScanConfig) -> bool:
+    """Whether a scan has parts that are not expressions of the row."""
+    return any(x is not None for x in (config.names_table, config.ignore_table, config.rules_index, config.model))
+
+
 def _with_found(rows: DataFrame, config: ScanConfig, code: bool = False) -> DataFrame:
     """Rows with ``_leaves`` and the findings in each of them, ``_found``; long lists are joined.
 
     They come back by a hash of the leaves and the engine, which is all that findings depend on. Rows are
     stored in scratch for that, originals included.
     """
-    in_row = replace(config, ignore_table=None, names_table=None)
-    if config.names_table is None and config.ignore_table is None:
+    in_row = replace(config, ignore_table=None, names_table=None, rules_index=None, model=None)
+    if not _joins(config):
         return rows.withColumn("_found", _found(in_row, code))
     kind = F.col("kind") if code else F.lit("DOC")
     rows = rows.withColumn("_key", F.concat(F.when(kind == "CODE", "C").otherwise("D"), content_key(F.col("_leaves"))))
     # taken apart and detected once: the joins read the stored rows
     found = rows = stored(rows.withColumn("_found", _found(in_row, code)), "leaves")
-    if config.names_table is not None:
+    if config.names_table is not None or config.rules_index is not None or config.model is not None:
         leaves = rows.select("_key", F.posexplode_outer("_leaves").alias("_leaf", "text")).where("text is not null")
-        kinds = ("CODE", "DOC") if code else ("DOC",)
-        hits = [name_findings(leaves.where(F.col("_key").startswith(k[0])), config.names_table, k, config, ["_key", "_leaf"]) for k in kinds]
+        hits = []
+        for k in ("CODE", "DOC") if code else ("DOC",):
+            of_kind = leaves.where(F.col("_key").startswith(k[0]))
+            if config.names_table is not None:
+                hits.append(name_findings(of_kind, config.names_table, k, config, ["_key", "_leaf"]))
+            scanned = of_kind.withColumn("kind", F.lit(k)).withColumn("findings", empty(FINDING)).withColumnRenamed("_key", "_row_key")
+            if config.rules_index is not None:
+                hits.append(_found_rows(add_rules(scanned, config.rules_index, k, config)))
+            if config.model is not None:
+                hits.append(_found_rows(add_model(scanned, config.model, config)))
         # bounded by the words of the one leaf; rows of the same leaves bring the same findings
         per_leaf = reduce(DataFrame.union, hits).groupBy("_key", "_leaf").agg(F.collect_set("f").alias("fs"))
         names = F.struct(F.col("_leaf").alias("leaf"), F.lit(1).alias("side"), "fs")
@@ -211,6 +226,10 @@ def _with_found(rows: DataFrame, config: ScanConfig, code: bool = False) -> Data
     return found.drop("_key")
 
 
+def _found_rows(scanned: DataFrame) -> DataFrame:
+    return scanned.select(F.col("_row_key").alias("_key"), "_leaf", F.explode_outer("findings").alias("f")).where("f is not null")
+
+
 def _merged(found: Column, names: Column) -> Column:
     """The findings of each leaf with those of names, which only some leaves have."""
     item = f"array<struct<leaf:int,side:int,fs:array<{FINDING}>>>"
@@ -231,7 +250,7 @@ def _merged(found: Column, names: Column) -> Column:
 
 def _with_result(rows: DataFrame, config: ScanConfig, code: bool = False) -> DataFrame:
     """Rows with ``_leaves`` and, in ``_result``, what becomes of them."""
-    if not config.names and config.names_table is None and config.ignore_table is None:
+    if not config.names and not _joins(config):
         return rows.withColumn("_result", _scrubbed(config, code))
     # step by step: with names, one expression of all this is too deep for the analyzer
     found = _with_found(rows, config, code).withColumn("_kept", F.transform("_found", resolve))

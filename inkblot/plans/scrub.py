@@ -17,7 +17,7 @@ from inkblot.functions.routing import kind_of
 from inkblot.operators.context import suspicious_literals
 from inkblot.operators.detect import FINDING, findings_of
 from inkblot.operators.findings import allow_large
-from inkblot.operators.manyrules import add_rules, rule_index
+from inkblot.operators.manyrules import add_rules, with_rule_index
 from inkblot.operators.models import add_model
 from inkblot.operators.names import add_names, name_labels
 from inkblot.operators.resolve import PLACED, number, resolve, rewrite
@@ -52,15 +52,13 @@ def scan(
     config = (config or ScanConfig()).tables(docs.sparkSession)
     if config.names_table is not None and not config.joined_labels:
         config = replace(config, joined_labels=name_labels(config.names_table))
-    if config.rules_table is not None:
-        index = rule_index(config.rules_table, config)
-        config = replace(config, rules_table=None, rules_index=index, joined_rules=index.count())
+    config = with_rule_index(config)
     one_kind = kind or ("DOC" if not {"kind", "path"} & set(docs.columns) else None)
     routed = with_kind(docs, one_kind)
     if one_kind is None and (config.names_table is not None or config.rules_index is not None):
         parts = [scan(routed.where(F.col("kind") == k), config, k, text_col, id_col) for k in ("CODE", "DOC")]
         return parts[0].unionByName(parts[1])
-    found = _in_row(routed, replace(config, ignore_table=None, names_table=None, rules_index=None), one_kind, text_col)
+    found = _in_row(routed, replace(config, ignore_table=None, names_table=None, rules_index=None, model=None), one_kind, text_col)
     if config.rules_index is not None:
         found = add_rules(found, config.rules_index, one_kind, config, text_col)
     if config.names_table is not None:

@@ -7,6 +7,8 @@ from inkblot import ScanConfig, scan, scrub
 from inkblot.functions.dialect import RuleError
 from inkblot.operators.findings import findings_table
 from inkblot.operators.manyrules import required_literal
+from inkblot.operators.models import EntityModel
+from inkblot.operators.structured import scrub_any, scrub_columns
 from inkblot.rules import CustomRule
 
 RULES = [
@@ -36,6 +38,22 @@ def test_the_same_findings_as_in_the_plan(texts, both, kind):
     assert text(inline) == text(table)
 
 
+def test_structured_texts_columns_and_models(spark, both):
+    """What a text finds, the strings of structured texts find too."""
+    inline, table = both
+    model = EntityModel(lambda: lambda texts: [[(0, 2, "ORG")] if t.startswith("TK") else [] for t in texts], ("ORG",))
+    docs = spark.createDataFrame(
+        [(1, "/a.json", '{"a": "TK-123456", "b": ["order number 5", "10.0.0.1"]}'), (2, "/a.csv", "TK-123456,shared x\r\n"), (3, "/a.txt", "TK-654321 q7"), (4, "/a.json", "{TK-123456"), (None, "/b.json", '["TK-123456"]')],
+        "doc_id bigint, path string, text string")
+    shown = lambda config: sorted((r.path, r.text, len(r.findings)) for r in scrub_any(docs, config).collect())
+    got = shown(table)
+    assert got == shown(inline) and "<TICKET_1>" in got[0][1] and all(n for *_, n in got)
+    rows = lambda config: [(r.text, r.path) for r in scrub_columns(docs.where("doc_id = 3"), ["text", "path"], config).collect()]
+    assert rows(table) == rows(inline) == [("<TICKET_1> <SHORT_1>", "/a.txt")]
+    (r,) = scrub_any(docs.where("doc_id = 2"), ScanConfig(model=model)).collect()
+    assert r.text == "<ORG_1>-123456,shared x\r\n"
+
+
 def test_rows_of_both_kinds_and_without_id(spark, both):
     _, table = both
     docs = spark.createDataFrame([(None, "TK-123456", "/a.py"), (None, "TK-123456 TK-654321", "/a.txt"), (1, None, "/a.py")], "doc_id bigint, text string, path string")
