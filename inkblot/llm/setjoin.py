@@ -15,7 +15,9 @@ Jaccard similarity is at least 0.8. The join answers with components of linked d
 * Entries of different components are then joined by block: a list falls into blocks of sets of similar
   size, and a set visits the blocks of its own and the two adjacent sizes only; the largest component of
   a list is never joined with itself. Within a block, pairs whose positions leave too few elements
-  behind them are skipped. What remains is verified on whole sets.
+  behind them are skipped.
+* Of every candidate pair, the index then tells how many prefix elements the two share and where the last
+  of them stand. That bounds their overlap from above; only pairs that may still link are verified on whole sets.
 
 Both steps are exact: no list, set or pair is capped or sampled. Sets are needed for verification only,
 and are made again from the texts of candidates, which a bit map of fixed size picks out.
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkblot.llm.common import components, lean_batches, small_batches, text_bytes, written
+from inkblot.llm.common import components, fresh, lean_batches, small_batches, text_bytes, written
 
 WORDS, PERCENT = 5, 80
 SKETCH, BITS = 1 << 18, 1 << 23
@@ -112,8 +114,23 @@ def _compatible(n, m, i, j):
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (1 + F.least(n - i - 1, m - j - 1) >= least)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _promising(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b), those whose shared prefix elements leave room for a link.
+
+    An element that two sets share but not within both prefixes stands behind the last one that they share
+    there, and behind the prefix of one of them. Linked pairs always pass.
+    """
+    left = index.select(F.col("id").alias("a"), "token", "n", F.col("pos").alias("i"))
+    right = index.select(F.col("id").alias("b"), "token", F.col("n").alias("m"), F.col("pos").alias("j"))
+    seen = pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"))
+    behind = F.greatest(*(F.floor((PERCENT * F.col(size) + 99) / 100) - 1 for size in ("n", "m")))
+    more = F.least(behind, F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
+    return seen.where((100 + PERCENT) * (F.col("shared") + more) >= PERCENT * (F.col("n") + F.col("m"))).select("a", "b")
+
+
+def _verified(docs: DataFrame, index: DataFrame, candidates: DataFrame) -> DataFrame:
     """Of candidate pairs (a, b), those that link, checked on whole sets."""
+    pairs = written(_promising(index, candidates), "join-promising")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
     words = ids.groupBy(F.shiftright(bit, 5).cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(id), {BITS}) & 31 as int)))").alias("v")).toPandas()
@@ -157,7 +174,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     with_head = index.where((F.col("id") != F.col("head.id")) & _compatible(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos")))
     tried = written(with_head.select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct(), "join-heads")
-    links = written(_verified(docs, tried), "join-links")
+    links = written(_verified(docs, index, tried), "join-links")
     known = written(components(links), "join-known")
 
     entries = written(_mixed(index, known), "join-mixed")
@@ -167,7 +184,7 @@ def join(docs: DataFrame) -> DataFrame:
         if crowded.isEmpty():
             break
         pairs = written(_without(_to_heads(crowded, seed), tried), "join-heads")
-        new = written(_verified(docs, pairs), "join-links")
+        new = written(_verified(docs, index, pairs), "join-links")
         tried = tried.union(pairs)
         if new.isEmpty():
             break
@@ -177,7 +194,7 @@ def join(docs: DataFrame) -> DataFrame:
     if seen:  # lists only lose components, so those that had one need no second look
         entries = written(_mixed(entries, known), "join-mixed")
     more = written(_without(_other_pairs(entries), tried), "join-pairs")
-    late = written(_verified(docs, more), "join-late")
+    late = written(_verified(docs, index, more), "join-late")
     several = _several_classes(first)
     found = components(links.union(late).union(several))
 
@@ -235,7 +252,15 @@ def _other_pairs(entries: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component; rows without doc_id stay."""
-    keep = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    chosen = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"]).select(*(docs[c] for c in docs.columns))
-    return chosen.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stand for their component; rows without doc_id stay.
+
+    Of rows that share a doc_id, the one with the smallest text stays, nulls first.
+    """
+    found = join(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
+    keep = written(found, "join-keep")
+    columns, known = [docs[c] for c in docs.columns], docs["doc_id"].cast("long") == keep["_keep"]
+    single = docs.join(keep.where("_rows = 1"), known, "left_semi").select(*columns)
+    several = docs.join(keep.where("_rows > 1"), known, "left_semi").select(*columns)
+    place = fresh(docs, "_place")
+    ranked = several.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns)))))
+    return single.union(ranked.where(F.col(place) == 1).drop(place)).union(docs.where("doc_id is null"))

@@ -69,6 +69,25 @@ def test_join_with_repeated_ids_and_empty_tables(make_docs):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 9]
 
 
+def test_bound_on_the_overlap_keeps_every_link(spark):
+    """Sets as prefixes of an index: whatever links passes, and a single shared element of long sets does not."""
+    rng = random.Random(3)
+    base = rng.sample(range(100_000), 400)
+    sets = {1: base, 2: base[:360] + list(range(200_000, 200_040)), 3: base[40:], 4: base[:1] + list(range(300_000, 300_399)), 5: base[:320]}
+    rows = [(token, i, len(s), pos) for i, s in sets.items() for pos, token in enumerate(sorted(s, reverse=True)[: setjoin.prefix_size(len(s))])]
+    index = spark.createDataFrame(rows, "token long, id long, n long, pos long")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    got = {(r.a, r.b) for r in setjoin._promising(index, pairs).collect()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert len(linked) >= 3 and linked <= got and not {p for p in got if 4 in p}
+
+
+def test_of_rows_with_one_id_the_smallest_text_stays(make_docs):
+    rows = [(1, "b " * 9), (1, "a " * 9), (1, "a " * 9), (2, "x y z"), (3, "x y z")]
+    for _ in range(2):
+        assert sorted((r.doc_id, r.text) for r in setjoin.one_of_each(make_docs(rows, "_rows", "_place")).collect()) == [(1, "a " * 9), (2, "x y z")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 100), (7, 7), (200, 201)]
     df = spark.createDataFrame(edges, "a long, b long")
