@@ -128,10 +128,13 @@ def marked(word: str) -> str:
 
 
 class Encoder:
-    """Encodes texts; remembers words, and forgets all when it knows too many."""
+    """Encodes texts; remembers words, and forgets all when it knows too many.
+
+    ``exact`` stays true as long as the ids of every word spell it: then all texts come back as they were.
+    """
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known, self.chars = v, {}, 0
+        self.v, self.known, self.chars, self.exact = v, {}, 0, True
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of 32-bit numbers."""
@@ -143,6 +146,7 @@ class Encoder:
         for word, ids in encode_words(spelled, self.v):
             self.known[spelled[word]] = ids
             self.chars += len(word)
+            self.exact = self.exact and spell(np.frombuffer(ids, np.int32).tolist(), self.v) == spelled[word].encode("utf-8", "surrogatepass")
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -159,8 +163,12 @@ def parts(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
         yield some
 
 
+def spell(ids: Iterable[int], v: Vocabulary) -> bytes:
+    return b"".join([v.spelled[i] for i in ids])
+
+
 def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
-    data = b"".join([v.spelled[i] for i in ids])
+    data = spell(ids, v)
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
@@ -178,7 +186,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
             coded = [c for some in parts([t or "" for t in texts]) for c in encoder(some)]
             offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
             flat = np.frombuffer(b"".join(coded), np.int32)
-            same = [decode_ids(np.frombuffer(c, np.int32).tolist(), v) == (t or "") for c, t in zip(coded, texts)]
+            same = [encoder.exact or decode_ids(np.frombuffer(c, np.int32).tolist(), v) == (t or "") for c, t in zip(coded, texts)]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(same)], names=[*b.schema.names, ids, exact])
 

@@ -263,6 +263,23 @@ def test_pieces_round_trip(make_docs):
     assert pieces.encode(make_docs(rows).where("false")).collect() == []
 
 
+def test_an_encoder_knows_whether_its_words_come_back():
+    v = pieces.load()
+    texts = ["▁ \0 漢é\n a  b", "", "\U0001f600" * 3]
+    encoder = pieces.Encoder(v)
+    coded = encoder(texts)
+    assert encoder.exact and [pieces.decode_ids(np.frombuffer(c, np.int32).tolist(), v) for c in coded] == texts
+    broken = pieces.load()
+    broken.spelled = [s.replace(b"b", b"") for s in broken.spelled]
+    encoder = pieces.Encoder(broken)
+    encoder(["a c"])
+    assert encoder.exact
+    encoder(texts)
+    assert not encoder.exact
+    encoder(["a c"])
+    assert not encoder.exact
+
+
 def test_one_long_word_needs_memory_in_proportion():
     """Texts without blanks are one marked word: back pointers, and not a string of ids for each character."""
     import tracemalloc
