@@ -122,7 +122,8 @@ def _promising(index: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     left = index.select(F.col("id").alias("a"), "token", "n", F.col("pos").alias("i"))
     right = index.select(F.col("id").alias("b"), "token", F.col("n").alias("m"), F.col("pos").alias("j"))
-    seen = pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"))
+    asked = right.join(pairs.select("b").distinct(), "b", "left_semi")  # few pairs need few lists
+    seen = pairs.join(left, "a").join(asked, ["b", "token"]).groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"))
     behind = F.greatest(*(F.floor((PERCENT * F.col(size) + 99) / 100) - 1 for size in ("n", "m")))
     more = F.least(behind, F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
     return seen.where((100 + PERCENT) * (F.col("shared") + more) >= PERCENT * (F.col("n") + F.col("m"))).select("a", "b")
