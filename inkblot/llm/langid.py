@@ -2,10 +2,12 @@
 
 A text is lower-cased, what is no letter becomes a blank, and its byte n-grams of 2 to 4 bytes are
 hashed to rows of an embedding table; the softmax reads the average. Table and weights are trained by
-stochastic gradient descent in numpy on pieces of a bounded sample: at most ``per_lang`` labelled
-documents of each language, those with the least hash of their id. A part of the sample that did not
-train sets the temperature, which makes scores probabilities, and the threshold below which a text is
-rejected.
+stochastic gradient descent in numpy on a bounded sample: at most ``per_lang`` labelled documents of
+each language, those with the least hash of their id. A document of the sample is learned as a whole: it
+goes to the driver as the shares that its n-grams of each bucket have in the whole text, so that its size
+there is bounded by the number of buckets. A part of the sample that did not train sets the temperature,
+which makes scores probabilities, and the threshold below which a text is rejected; both are fitted on
+whole texts too.
 
 Every whole text is scored; scores read nothing but the text. Null texts and texts without a letter
 are ``und`` with score 0, and rejected; so are all if nothing is labelled. Repeated rows score alike;
@@ -26,7 +28,7 @@ from pyspark.sql.types import StructType
 from inkblot.llm.common import crc_mod, lean_batches, small_batches
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
-PER_LANG, PIECE, MAX_PIECES = 1500, 240, 6
+PER_LANG = 1500
 NONE = "und"
 # lower-cased ASCII letters and all bytes of other letters stay; the rest becomes a blank
 _TABLE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -55,6 +57,11 @@ def grams(data: np.ndarray, n: int) -> np.ndarray:
     return value >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -86,69 +93,66 @@ class Model:
         return out + self.bias
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        z = self.logits(texts) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return softmax(self.logits(texts) / self.temperature)
+
+
+Bag = tuple[np.ndarray, np.ndarray]  # buckets, each once, and the share of a text's n-grams that each has
 
 
-def pieces_of(text: str) -> list[bytes]:
-    """Pieces from all over a text, so that the model meets short texts too; none if it has no letter."""
+def bag_of(text: str) -> Bag | None:
+    """The whole text as a bag, with a blank before and after; none if it has no letter."""
     data = plain(text)
     if not has_letter(text, data):
-        return []
-    n = max(1, min(MAX_PIECES, len(data) // PIECE))
-    step = max(1, len(data) // n)
-    return [data[i * step : i * step + PIECE] for i in range(n)]
+        return None
+    data = np.frombuffer(b" " + data + b" ", np.uint8)
+    counts = sum(np.bincount(grams(data, n), minlength=BUCKETS) for n in SIZES)
+    buckets = np.flatnonzero(counts)
+    return buckets.astype(np.uint16), (counts[buckets] / counts.sum()).astype(np.float32)
+
+
+def averaged(table: np.ndarray, bags: list[Bag]) -> np.ndarray:
+    """Of each bag, the average of the rows that it holds."""
+    return np.stack([share @ table[buckets] for buckets, share in bags]) if bags else np.zeros((0, table.shape[1]))
 
 
-def train(texts: list[list[bytes]], labels: list[str], epochs: int = 4, rate: float = 0.5, rows: int = 32, seed: int = 7) -> Model:
-    """Fit on the pieces of four fifths of the texts, calibrate on the rest."""
+def train(bags: list[Bag | None], labels: list[str], epochs: int = 8, rate: float = 0.5, rows: int = 16, seed: int = 7) -> Model:
+    """Fit on four fifths of the texts, calibrate on the rest."""
     langs = sorted(set(labels))
     number = {x: i for i, x in enumerate(langs)}
     rng = np.random.default_rng(seed)
     examples, held = [], []
-    for i, (pieces, lang) in enumerate(zip(texts, labels)):
-        (held if i % 5 == 4 else examples).extend((piece, number[lang]) for piece in pieces)
+    for i, (bag, lang) in enumerate(zip(bags, labels)):
+        if bag is not None:
+            (held if i % 5 == 4 else examples).append((bag, number[lang]))
     examples = examples or held
-    bags = []
-    for piece, y in examples:
-        data = np.frombuffer(b" " + piece + b" ", np.uint8)
-        bags.append((np.concatenate([grams(data, n) for n in SIZES if len(data) >= n]), y))
     embed = rng.normal(0, 0.1, (BUCKETS, DIM))
     weights, bias = rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
-    steps = epochs * -(-len(bags) // rows)
+    steps = epochs * -(-len(examples) // rows)
     done = 0
     for _ in range(epochs):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(examples))
         for at in range(0, len(order), rows):
-            some = [bags[i] for i in order[at : at + rows]]
+            some = [examples[i] for i in order[at : at + rows]]
             lr = rate * (1 - done / max(1, steps))
             done += 1
-            index = np.concatenate([b for b, _ in some])
-            sizes = np.array([len(b) for b, _ in some])
-            begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            hidden = np.add.reduceat(embed[index], begins, axis=0) / sizes[:, None]
+            hidden = averaged(embed, [bag for bag, _ in some])
             z = hidden @ weights + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
+            p = softmax(z)
             p[np.arange(len(some)), [y for _, y in some]] -= 1
-            back = p @ weights.T * (lr * 20 / sizes[:, None])
+            back = p @ weights.T * (lr * 20)
             weights -= lr * hidden.T @ p
             bias -= lr * p.sum(axis=0) / len(some)
-            used, inverse = np.unique(index, return_inverse=True)
-            step = np.zeros((len(used), DIM))
-            whose = np.repeat(np.arange(len(some)), sizes)
-            np.add.at(step, inverse, back[whose])
-            embed[used] -= step
+            for ((buckets, share), _), step in zip(some, back):
+                embed[buckets] -= share[:, None] * step
     model = Model(langs, (embed @ weights).astype(np.float32), bias)
     return calibrated(model, held)
 
 
-def calibrated(model: Model, held: list[tuple[bytes, int]], lost: float = 0.002, most: float = 0.6) -> Model:
-    """The temperature of least log loss on held-out pieces; the threshold that rejects few of the right ones."""
+def calibrated(model: Model, held: list[tuple[Bag, int]], lost: float = 0.002, most: float = 0.6) -> Model:
+    """The temperature of least log loss on held-out texts; the threshold that rejects few of the right ones."""
     if not held or len(model.langs) < 2:
         return model
-    z = model.logits([p for p, _ in held])
+    z = averaged(model.table, [bag for bag, _ in held]) + model.bias
     y = np.array([i for _, i in held])
 
     def loss(t: float) -> float:
@@ -157,7 +161,7 @@ def calibrated(model: Model, held: list[tuple[bytes, int]], lost: float = 0.002,
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
     model.temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
-    scores = model.scores([p for p, _ in held])
+    scores = softmax(z / model.temperature)
     right = scores.max(axis=1)[scores.argmax(axis=1) == y]
     model.threshold = float(min(most, np.quantile(right, lost))) if len(right) else 0.0
     return model
@@ -176,16 +180,17 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
         wanted = wanted | ((F.col("lang") == row["lang"]) & (place < int(min(1.0, 2 * per_lang / row["count"] + 1e-3) * (1 << 30))))
     first = Window.partitionBy("lang").orderBy(place, "doc_id")
     some = known.where(wanted).withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= per_lang)
-    rows = some.select("lang", "turn", "text").mapInArrow(_sampled, "lang string, turn int, pieces array<binary>").collect()
+    rows = some.select("lang", "turn", "text").mapInArrow(_sampled, "lang string, turn int, buckets binary, shares binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["turn"]))
-    return train([[bytes(p) for p in r["pieces"]] for r in rows], [r["lang"] for r in rows])
+    bags = [None if r["buckets"] is None else (np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32)) for r in rows]
+    return train(bags, [r["lang"] for r in rows])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A few pieces stand for a text of the sample, so that its size on the driver is bounded too."""
     for b in batches:
-        pieces = [pieces_of(t) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pieces, pa.list_(pa.binary()))], names=["lang", "turn", "pieces"])
+        bags = [bag_of(t) for t in b.column(2).to_pylist()]
+        packed = [pa.array([None if bag is None else bag[i].tobytes() for bag in bags], pa.binary()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], names=["lang", "turn", "buckets", "shares"])
 
 
 def predict(docs: DataFrame, model: Model | None, name: str = "_lang") -> DataFrame:

@@ -216,6 +216,34 @@ def test_language_of_held_out_texts(make_docs):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_whole_texts_are_learned_and_scored_as_by_a_plain_softmax():
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 0.7)
+    texts = ["x", "Haus, Wasser!", "  the people ", "\u00e9t\u00e9 \u6f22 " * 50, "many words " * 9000 + "and Another END", "y" * 70000 + " \u00df"]
+    got = model.scores([langid.plain(t) for t in texts])
+    for t, row in zip(texts, got):
+        data = b" " + langid.plain(t) + b" "
+        runs = Counter(data[i : i + n] for n in langid.SIZES for i in range(len(data) - n + 1))
+        z, shares = np.zeros(3), Counter()
+        for run, often in runs.items():
+            bucket = int(langid.grams(np.frombuffer(run, np.uint8), len(run))[0])
+            z += model.table[bucket].astype(float) * often / runs.total()
+            shares[bucket] += often / runs.total()
+        p = np.exp((z + model.bias) / model.temperature)
+        assert np.allclose(row, p / p.sum(), atol=1e-9)
+        buckets, share = langid.bag_of(t)
+        assert buckets.tolist() == sorted(shares) and np.allclose(share, [shares[b] for b in sorted(shares)], atol=1e-6)
+    assert langid.bag_of("12 .. !") is None and langid.bag_of("") is None
+
+
+def test_what_ends_a_long_text_is_learned():
+    """Texts of two languages that differ beyond their first 100,000 bytes only."""
+    same = "one and the same text " * 5000
+    bags = [langid.bag_of(same + ending * 400) for ending in ("quick zebra ", "vom wurf ") * 40]
+    model = langid.train(bags, ["a", "b"] * 40)
+    assert [model.langs[i] for i in model.scores([langid.plain(same + e * 400) for e in ("quick zebra ", "vom wurf ")]).argmax(axis=1)] == ["a", "b"]
+
+
 def test_language_without_labels_or_rows(make_docs):
     df = make_docs([(1, "some text", None), (2, "more", None)])
     assert {(r.lang_pred, r.score) for r in langid.identify(df).collect()} == {("und", 0.0)}
