@@ -107,20 +107,16 @@ def _texts(blobs: pa.ChunkedArray) -> Iterator[tuple[list, list[bytes], list[boo
         yield table.column("doc_id"), [t.lower() for t in table.column("text").to_pylist()], table.column("train").to_pylist()
 
 
-def _pairs(order: int):
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of training texts, how often each symbol follows each byte, and how many words there are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, words = np.zeros(1 << 16, np.int64), 0
-        for b in batches:
-            texts = [t.lower() for t in b.column(0).to_pylist()]
-            words += sum(len(t.split()) for t in texts)
-            for some in chunks(texts):
-                counts += np.bincount(grams_of(some, order)[0] & 0xFFFF, minlength=1 << 16)
-        pair = np.append(np.flatnonzero(counts), TOKENS)
-        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(np.append(counts[pair[:-1]], words))], names=["pair", "n"])
-
-    return run
+    counts, words = np.zeros(1 << 16, np.int64), 0
+    for b in batches:
+        texts = [t.lower() for t in b.column(0).to_pylist()]
+        words += sum(len(t.split()) for t in texts)
+        for some in chunks(texts):
+            counts += np.bincount(grams_of(some, 1)[0], minlength=1 << 16)
+    pair = np.append(np.flatnonzero(counts), TOKENS)
+    yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(np.append(counts[pair[:-1]], words))], names=["pair", "n"])
 
 
 def _count_block(order: int):
@@ -259,7 +255,11 @@ def _score_block(order: int, id_type: pa.DataType, ends: int):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         read = [(ids, texts, flags) for ids, texts, flags in _texts(docs.column("blob"))]
         every = [t for _, texts, _ in read for t in texts]
-        names = sorted({w for t in every for w in t.split()})
+        seen: set[bytes] = set()
+        for t in every:
+            seen.update(t.split())
+        names = sorted(seen)
+        del seen
         keys = distinct(every, order)[0]
         logs, often = np.empty(len(keys)), np.empty(len(names))
         for values in unpacked(back.column("blob")):
@@ -276,7 +276,7 @@ def _score_block(order: int, id_type: pa.DataType, ends: int):
         for ids, texts, flags in read:
             n_tokens, n_known, known, scores = [], [], [], []
             for t in texts:
-                found = [words[w] for w in t.split()]
+                found = list(map(words.__getitem__, t.split()))
                 n_tokens.append(len(found) + 1)
                 n_known.append(len(found) - found.count(unknown) + (ends > 0))
                 known.append(sum(found) + end)
@@ -305,7 +305,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block: int = BLOCK
     rows = docs.select("doc_id", text_bytes(docs).alias("text"), train.alias("train"))
     small_batches(docs.sparkSession)
     learned = rows.where("train").select("text")
-    pairs = learned.mapInArrow(lean_batches(_pairs(order)), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # 65,537 rows at most
+    pairs = learned.mapInArrow(lean_batches(_pairs), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # 65,537 rows at most
     words = int(pairs["n"][pairs["pair"] == TOKENS].sum())
     pairs = pairs[pairs["pair"] != TOKENS]
     low = low_levels(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64))
@@ -319,8 +319,9 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, block: int = BLOCK
     key = F.coalesce("gram", F.xxhash64("word").bitwiseOR(F.lit(-(1 << 63))))
     keyed = counted.select("block", "place", key.alias("k"), "word", "n").repartition("k")
     same = Window.partitionBy("k", "word")
+    asker = F.shiftleft(F.col("block").cast("long"), 32) + F.col("place")
     summed_up = (
-        keyed.withColumn("total", F.sum("n").over(same)).withColumn("first", F.min(F.struct("block", "place")).over(same) == F.struct("block", "place"))
+        keyed.withColumn("total", F.sum("n").over(same)).withColumn("first", F.min(asker).over(same) == asker)
         .withColumn("is_gram", F.max(F.col("k")).over(same) >= 0)
     )
     branch = F.shiftright("k", 8).bitwiseAND(0xFFFF).alias("branch")
