@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from inkblot import scan, scrub, vault_table
 from inkblot.operators.structured import scrub_table
+from inkblot.plans import queries
 from inkblot.sources.files import assemble_pages, read_csv_rows, read_documents
 from inkblot.sources.sinks import write_findings, write_scrubbed
 from inkblot.streaming.streams import read_risk, risk_by_window, scrub_stream, write_risk
@@ -96,3 +97,9 @@ def test_stream_equals_batch(spark, texts, tmp_path):
     assert sorted(map(tuple, got.select("doc_id", "text").collect())) == sorted(map(tuple, done.select("doc_id", "text").collect()))
     vault = spark.read.parquet(str(tmp_path / "vault")).select("doc_id", "placeholder", "original")
     assert sorted(map(tuple, vault.collect())) == sorted(map(tuple, vault_table(done).select("doc_id", "placeholder", "original").collect()))
+
+
+def test_streams_of_a_table_in_several_files(spark, texts, tmp_path):
+    texts(["from 10.0.0.1", "user=bob", None]).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in queries.query_stream_scrub(spark, str(tmp_path)).collect()}
+    assert got == {0: "from <IPV4_1>", 1: "user=<USERNAME_1>", 2: None}
