@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkblot.functions.arrays import collect_pass, let
+from inkblot.functions.arrays import index_pass, let
 
 PLACEHOLDER = r"<[^<>]+_[0-9]+>"
 
@@ -38,7 +38,6 @@ def _one_by_one(text: Column, entries: Column) -> Column:
 
 
 _ASKED = "struct<key:string,pos:int,value:string>"
-_ANSWER = "struct<pos:int,value:string>"
 
 
 def _looked_up(text: Column, found: Column, entries: Column) -> Column:
@@ -47,13 +46,21 @@ def _looked_up(text: Column, found: Column, entries: Column) -> Column:
     asked = F.transform(found, lambda k, i: F.struct(k.alias("key"), i.alias("pos"), F.lit(None).cast("string").alias("value")))
     together = F.sort_array(F.concat(known.cast(f"array<{_ASKED}>"), asked.cast(f"array<{_ASKED}>")))
 
-    def step(last: Column, x: Column) -> tuple[Column, Column, Column]:
-        entry = F.when(x["pos"] < 0, F.struct(x["key"].alias("key"), x["value"].alias("value"))).otherwise(last)
-        value = F.when(last["key"] == x["key"], last["value"])
-        return entry, F.struct(x["pos"].alias("pos"), F.coalesce(value, x["key"]).alias("value")), x["pos"] >= 0
+    def answered(together: Column) -> Column:
+        # the entry before each placeholder, by its index; only numbers are carried
+        def step(entry: Column, i: Column) -> tuple[Column, Column, None]:
+            after = F.when(F.get(together, i)["pos"] < 0, i).otherwise(entry)
+            return after, after, None
 
-    nothing = F.struct(F.lit("").alias("key"), F.lit(None).cast("string").alias("value"))
-    answers = F.sort_array(collect_pass(together, nothing, _ANSWER, step))
+        def one(x: Column, entry: Column) -> Column:
+            known = F.get(together, entry)
+            value = F.when(known["key"] == x["key"], known["value"])
+            return F.struct(x["pos"].alias("pos"), F.coalesce(value, x["key"]).alias("value"))
+
+        entries = index_pass(F.size(together), F.lit(-1), step)
+        return F.filter(F.zip_with(together, entries, one), lambda a: a["pos"] >= 0)
+
+    answers = F.sort_array(let(together, answered))
     return F.when(F.size(found) > 0, let(answers, lambda values: _filled(F.split(text, PLACEHOLDER, -1), values))).otherwise(text)
 
 

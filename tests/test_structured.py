@@ -1,10 +1,13 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkblot import ScanConfig
+from inkblot.operators.detect import FINDING
 from inkblot.operators.findings import findings_table
+from inkblot.operators.resolve import FEW, number, resolve
 from inkblot.operators.risk import risk
 from inkblot.operators.structured import scrub_any, scrub_columns, scrub_structured, scrub_table
 from inkblot.sources.sinks import write_scrubbed
@@ -140,3 +143,22 @@ def test_long_lists_reach_every_leaf(spark, tmp_path):
     lines = spark.createDataFrame([(i, "Kim" if i % 2 else "10.0.0.1", f"Robin Doe {i}") for i in range(20)], "i int, a string, b string")
     want, got = (sorted(map(repr, scrub_table(lines, ["a", "b"], "i", F.floor(F.col("i") / 7), None, c).collect())) for c in (few, many))
     assert got == want and "<PERSON_30>" in str(got)
+
+
+def test_numbers_of_few_and_many_findings(spark):
+    """Counted one by one or sorted by label, on both sides of the limit: the same numbers."""
+    for n in (1, FEW, FEW + 1, 300):
+        text = " ".join(f"10.0.{i // 256}.{i % 256} user=u{i}" for i in range(n))
+        df = spark.createDataFrame([(1, text, [text, None, "10.9.9.9"])], "id int, s string, more array<string>")
+        row = scrub_columns(df, ["s", "more"]).first()
+        want, again = [" ".join(f"<IPV4_{k - i}> user=<USERNAME_{u - i}>" for i in range(n)) for k, u in ((n, n), (2 * n, 2 * n))]
+        assert row.s == want and row.more == [again, None, f"<IPV4_{2 * n + 1}>"]
+        assert [(p.leaf, p.start) for p in row.placed] == sorted((p.leaf, p.start) for p in row.placed)
+
+
+def test_passes_gather_numbers_only(spark):
+    """A step of a fold copies what was gathered: were it what was found, its cost would grow with the square."""
+    schema = f"fs array<array<{FINDING}>>"
+    plan = spark.createDataFrame([], schema).select(number(F.transform("fs", resolve)))._jdf.queryExecution().analyzed().toString()
+    assert "array_append(" in plan and not re.search(r"array_append\([^,]*, (?:named_struct|struct)\((?:leaf|from_end)", plan)
+    assert "cast(array() as array<struct<leaf" not in plan and "cast(array() as array<struct<from_end" not in plan
