@@ -103,3 +103,20 @@ def test_streams_of_a_table_in_several_files(spark, texts, tmp_path):
     texts(["from 10.0.0.1", "user=bob", None]).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.text for r in queries.query_stream_scrub(spark, str(tmp_path)).collect()}
     assert got == {0: "from <IPV4_1>", 1: "user=<USERNAME_1>", 2: None}
+
+
+def test_files_of_keys_that_repeat(spark, tmp_path):
+    """Rows of one key stay in one file, in the order of the table, whichever task writes it."""
+    rows = [(i % 40, f"S{i}") for i in range(120)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_name string").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.s_suppkey: r.text for r in queries.query_read_files(spark, str(tmp_path)).collect()}
+    assert len(got) == 40
+    assert all([line.split(" of ")[0] for line in got[k].split("\n") if " of " in line] == [f"S{i}" for i in range(k, 120, 40)] for k in got)
+
+
+def test_a_vault_that_is_read_twice_is_made_once(spark, tmp_path):
+    spark.createDataFrame([(7, "Customer#7", "BUILDING")], "c_custkey bigint, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    df = queries.query_restore_dup(spark, str(tmp_path))
+    assert "sk_live_" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = queries.logs(spark, str(tmp_path)).collect()
+    assert df.collect() == want
