@@ -8,6 +8,7 @@ from inkblot.operators.findings import findings_table
 from inkblot.operators.risk import risk
 from inkblot.operators.structured import scrub_table
 from inkblot.plans import oracles, queries
+from inkblot.session import spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,24 @@ def test_entry_and_registry(spark):
     assert len(rows) == 200
     assert set(oracles.oracle_sql()) == set(queries.queries())
     assert set(queries.queries()) <= set(spark_entry.queries()) and set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
+
+
+def test_one_row_group(spark, tmp_path):
+    """A file of one row group has many splits, of which one has all rows: it is dealt out all the same."""
+    at = str(tmp_path / "one")
+    spark.range(4000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text").coalesce(1).write.parquet(at)
+    small = {"spark.sql.files.maxPartitionBytes": "8000", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in small}
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        docs = spark.read.parquet(at)
+        assert docs.rdd.getNumPartitions() >= 8
+        dealt = spread(docs, "doc_id")
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 1000
+        even = spark.range(4000).repartition(16)
+        assert spread(even) is even
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
