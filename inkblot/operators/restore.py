@@ -88,8 +88,12 @@ def restore(scrubbed: DataFrame, vault: DataFrame, id_col: str = "doc_id", text_
     """
     text = F.col(text_col)
     marked = scrubbed.withColumn("_found", F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)))
-    wanted = marked.select(id_col, F.posexplode_outer("_found").alias("_pos", "placeholder")).where("placeholder is not null")
-    known = vault.groupBy(id_col, "placeholder").agg(F.min("original").alias("original"))
+    # No row without an id has an answer. Rows are dealt by document and placeholder before they are gathered: what
+    # a task sorts and hashes is then its share of a shuffle, which Spark sizes, and not all that its split holds.
+    has_id = F.col(id_col).isNotNull()
+    wanted = marked.where(has_id).select(id_col, F.posexplode_outer("_found").alias("_pos", "placeholder")).where("placeholder is not null")
+    wanted = wanted.repartition(id_col, "placeholder")
+    known = vault.where(has_id).repartition(id_col, "placeholder").groupBy(id_col, "placeholder").agg(F.min("original").alias("original"))
     answers = (
         wanted.distinct().join(known, [id_col, "placeholder"], "left")
         .groupBy(id_col)

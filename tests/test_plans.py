@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as spark_entry
 from inkblot import scan, scrub, vault_table
 from inkblot.operators.findings import findings_table
+from inkblot.operators.restore import restore
 from inkblot.operators.risk import risk
 from inkblot.operators.structured import scrub_table
 from inkblot.plans import oracles, queries
@@ -64,3 +65,12 @@ def test_one_row_group(spark, tmp_path):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_restore_gathers_behind_the_shuffle(spark, texts):
+    """Vault rows are sorted in shares of a shuffle, not split by split."""
+    done = scrub(texts(["10.0.0.1 and 10.0.0.2", None, "10.0.0.3"]), kind="DOC").select("doc_id", "text", "placed")
+    lines = plan(restore(done.select("doc_id", "text"), vault_table(done))).splitlines()
+    (at,) = [i for i, line in enumerate(lines) if "partial_min" in line]
+    below = [line.lstrip(" :+-") for line in lines[at + 1 :]]
+    assert next(line for line in below if "Aggregate" in line or "Exchange" in line or "Scan" in line).startswith("Exchange")
