@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from inkblot import ScanConfig, scan, scrub
 from inkblot.functions.dialect import RuleError
 from inkblot.operators.findings import findings_table
-from inkblot.operators.manyrules import required_literal
+from inkblot.operators.manyrules import _candidates, required_literal, rule_index
 from inkblot.operators.models import EntityModel
 from inkblot.operators.structured import scrub_any, scrub_columns
 from inkblot.rules import CustomRule
@@ -73,3 +73,14 @@ def test_a_rule_that_cannot_run_is_refused(spark, texts):
 ])
 def test_literals_that_every_match_holds(regex, literal):
     assert required_literal(regex) == literal
+
+
+def test_a_text_meets_only_rules_whose_literal_it_may_hold(spark, texts):
+    """Digits that many literals end with are no reason to look at their rules."""
+    rules = spark.range(3000).select(F.concat(F.lit("R"), "id").alias("name"), F.concat(F.lit("bkt-"), "id", F.lit(r"\b")).alias("regex"))
+    long = spark.createDataFrame([("LONG", "one long literal of a rule"), ("ASTRAL", "😀😀 smiling and more")], "name string, regex string")
+    index = rule_index(rules.union(long))
+    docs = texts(["card 1234 2345 1999 and bkt-77 here", "1234", "bkt-2999", "a bkt-", "no one long literal of a rule", "x😀😀 smiling and more"])
+    met = {r._key: {x.name for x in r._rules} for r in _candidates(docs.withColumnRenamed("doc_id", "_key"), index, "text").collect()}
+    assert met[0] <= {"R7", "R77"} and "R77" in met[0] and 1 not in met and 3 not in met
+    assert "R2999" in met[2] and len(met[2]) <= 4 and met[4] == {"LONG"} and met[5] == {"ASTRAL"}
