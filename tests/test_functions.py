@@ -146,3 +146,16 @@ def test_ipv6_is_looked_for_where_colons_stand():
     for _ in range(20_000):
         text = "".join(rnd.choice("::::af09gx 1") for _ in range(rnd.randint(0, 40)))
         assert [m.span() for m in re.finditer(plain, text)] == [m.span() for m in re.finditer(f"{lead}(?:{plain})", text)]
+
+
+def test_sums_begin_where_they_are_told_to(spark):
+    for n in (0, 1, 2, 64, 65, 5000):
+        sizes = F.transform(F.filter(F.sequence(F.lit(0), F.lit(n)), lambda x: x > 0), lambda x: x.cast("bigint"))
+        got = spark.range(1).select(offsets(sizes, "bigint", F.lit(7).cast("bigint")).alias("o")).first().o
+        assert got == [7 + i * (i + 1) // 2 for i in range(n)]
+
+
+def test_parts_of_a_text_are_picked_by_index(spark):
+    """Every other part is a match: nothing is asked of each part to tell."""
+    plan = spark.range(1).select(regex_spans(F.col("id").cast("string"), "a+").alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert "filter(" not in plan and "% 2" not in plan
