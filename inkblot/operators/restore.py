@@ -21,11 +21,14 @@ def restore_text(text: Column, originals: Column) -> Column:
     As if done longest placeholder first, one after the other, each wherever it occurs. Where no original
     can be part of a placeholder the order does not matter, and the text is cut once at its placeholders.
     """
-    entries = F.map_entries(originals)
-    plain = F.forall(entries, lambda e: e["key"].rlike(f"^{PLACEHOLDER}\\z") & ~F.contains(e["value"], F.lit("<")) & ~F.contains(e["value"], F.lit(">")))
-    return F.when(plain, let(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)), lambda found: _looked_up(text, found, entries))).otherwise(
-        _one_by_one(text, entries)
-    )
+
+    def filled(entries: Column) -> Column:
+        plain = F.forall(entries, lambda e: e["key"].rlike(f"^{PLACEHOLDER}\\z") & ~F.contains(e["value"], F.lit("<")) & ~F.contains(e["value"], F.lit(">")))
+        found = F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
+        put_back = F.when(plain, let(found, lambda found: _looked_up(text, found, entries))).otherwise(_one_by_one(text, entries))
+        return F.when(F.size(entries) == 0, text).otherwise(put_back)
+
+    return let(F.map_entries(originals), filled)
 
 
 def _one_by_one(text: Column, entries: Column) -> Column:

@@ -305,3 +305,14 @@ def test_a_document_of_very_many_findings(spark, texts):
 def test_findings_json(spark, texts):
     row = findings_json(scan(texts(["10.0.0.1"]), ScanConfig(entities=False))).first()
     assert row.findings == '[{"label":"IPV4","start":0,"end":8,"snippet":"10.0.0.1"}]'
+
+
+def test_a_map_is_made_once_to_restore_from(spark):
+    row = spark.createDataFrame([("a <X_1> b <Y_2>",)], "t string")
+    entries = F.map_from_arrays(F.array(F.lit("<X_1>")), F.array(F.col("t").substr(1, 1)))
+    done = row.select(restore_text(F.col("t"), entries).alias("t"), restore_text(F.col("t"), F.lit(None).cast("map<string,string>")).alias("n"))
+    assert done.first() == ("a a b <Y_2>", None)
+    plan = row.select(restore_text(F.col("t"), entries).alias("o"))._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert plan.count("map_from_arrays") == 1
+    none = F.map_from_entries(F.filter(F.map_entries(entries), lambda e: F.lit(False)))
+    assert row.select(restore_text(F.col("t"), none)).first()[0] == "a <X_1> b <Y_2>"
