@@ -36,6 +36,7 @@ MARK = "▁"
 LITERAL = "\udc81"  # stands for a mark in the text itself; no valid text has a lone surrogate
 WORDS = re.compile(r" *[^ \n]+| +|\n")
 KNOWN_WORDS, KNOWN_CHARS = 150_000, 4 << 20  # together about as much as words of text need
+BATCH = "4m"  # texts, words and ids of a batch are in memory together, as objects and as Arrow
 
 
 @dataclass
@@ -150,7 +151,7 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-def parts(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
+def parts(texts: list[str], size: int = 1 << 18) -> Iterator[list[str]]:
     """A batch in parts of about ``size`` characters: words are many times larger as objects."""
     some, total = [], 0
     for text in texts:
@@ -174,7 +175,7 @@ def decode_ids(ids: Iterable[int], v: Vocabulary) -> str:
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "ids", exact: str = "exact") -> DataFrame:
     """The rows of ``docs`` with their ``ids``, and ``exact``: decoding them gave the text back."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     v = load(model)
     schema = StructType(list(docs.schema.fields)).add(ids, ArrayType(IntegerType())).add(exact, "boolean")
     at = docs.columns.index(text)
@@ -188,6 +189,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
             flat = np.frombuffer(b"".join(coded), np.int32)
             same = [encoder.exact or decode_ids(np.frombuffer(c, np.int32).tolist(), v) == (t or "") for c, t in zip(coded, texts)]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            del texts, coded, flat
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(same)], names=[*b.schema.names, ids, exact])
 
     return docs.mapInArrow(lean_batches(run), schema)
@@ -195,7 +197,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
 
 def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows of ``docs`` with the text that their ``ids`` stand for; ids outside the vocabulary stand for nothing."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     v = load(model)
     at = docs.columns.index(ids)
 

@@ -57,3 +57,11 @@ def test_names():
     names = list(queries.queries())
     assert names[-1] == "pipeline" and [n.split("_")[0] for n in names[:-1]] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_pieces_are_made_in_small_batches(make_docs, spark):
+    """A batch stands in memory as texts, words and ids."""
+    rows = [(i, f"word{i} some text " * 40_000) for i in range(9)]
+    coded = pieces.encode(make_docs(rows).repartition(1))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+    assert all(r.exact and r.decoded == r.text for r in pieces.decode(coded).collect())
