@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from inkblot.llm import setjoin, suffixes
-from inkblot.llm.common import components
+from inkblot.llm.common import CLEANUP, components, written
 from tests.llm import plain
 
 
@@ -202,3 +202,15 @@ def test_slices_change_nothing(monkeypatch, make_docs):
         monkeypatch.setattr(suffixes, "HOT", hot)
         got = {r.doc_id: [list(x) for x in zip(r.begins, r.ends)] for r in suffixes.repeats(make_docs(rows), block=700, hot=hot).collect()}
         assert {i: sum(e - b for b, e in x) for i, x in got.items()} == {i: w[1] for i, w in want.items()}
+
+
+def test_a_table_that_is_written_leaves_no_shuffle_files(spark):
+    def files():
+        kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in kept.mkString("\n").split("\n") if "/shuffle_" in name}
+
+    before, rows = files(), spark.range(5000).selectExpr("id % 7 as k").groupBy("k").count()
+    kept = spark.conf.get(CLEANUP)
+    table = written(rows, "cleanup")
+    assert not files() - before and spark.conf.get(CLEANUP) == kept
+    assert table.count() == written(rows, "cleanup").count() == 7 and rows.count() == 7
