@@ -35,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\udc81"  # stands for a mark in the text itself; no valid text has a lone surrogate
 WORDS = re.compile(r" *[^ \n]+| +|\n")
-KNOWN_WORDS, KNOWN_CHARS = 150_000, 4 << 20  # together about as much as words of text need
+KNOWN_WORDS, KNOWN_CHARS = 500_000, 8 << 20  # at some 250 bytes a word, about 125 MB
 BATCH = "4m"  # texts, words and ids of a batch are in memory together, as objects and as Arrow
 
 
@@ -46,6 +46,7 @@ class Vocabulary:
     byte_ids: list[int]
     byte_score: float
     spelled: list[bytes]  # of each id, the bytes it stands for
+    endings: dict | None = None  # see ending_tree; built where words are encoded
 
 
 def load(model: str = MODEL) -> Vocabulary:
@@ -73,43 +74,60 @@ def load(model: str = MODEL) -> Vocabulary:
     return Vocabulary(packed, scores | dict.fromkeys(tails.difference(scores)), byte_ids, worst, spelled)
 
 
+def ending_tree(v: Vocabulary) -> dict[str, tuple[float, dict]]:
+    """Pieces from their last character backwards: of each ending its score (minus infinity if it is no piece), and longer ones."""
+    if v.endings is None:
+        v.endings = {}
+        for piece, score in v.scores.items():
+            if score is not None:
+                level = v.endings
+                for char in piece[:0:-1]:
+                    level = level.setdefault(char, (-math.inf, {}))[1]
+                level[piece[0]] = (score, level[piece[0]][1] if piece[0] in level else {})
+    return v.endings
+
+
 def encode_words(words: Iterable[str], v: Vocabulary) -> Iterator[tuple[str, bytes]]:
     """Each distinct marked word with its ids (the bytes of 32-bit numbers), in sorted order."""
     best: list[float] = [0.0]  # forward score before each character of the word at hand
     back: list[int] = [0]  # where the last piece of the best segmentation up to there begins
-    last: list[bytes] = [b""]  # the ids of that piece
     before = ""
-    get, packed = v.scores.get, v.packed
+    endings, packed = ending_tree(v), v.packed
+    longest = max(map(len, packed), default=0)
     for word in sorted(words):
-        kept, n = 0, min(len(before), len(word))
-        while kept < n and before[kept] == word[kept]:
+        kept, size, backwards = 0, len(word), word[::-1]
+        for x, y in zip(before, word):
+            if x != y:
+                break
             kept += 1
-        del best[kept + 1 :], back[kept + 1 :], last[kept + 1 :]
-        for end in range(kept + 1, len(word) + 1):
-            char = word[end - 1]
-            top, begin = -1e300, -1
-            if char not in packed:
-                spelled = _spelling(char)
-                top = best[end - 1] + v.byte_score * len(spelled)
-            for at in range(end - 1, -1, -1):
-                score = get(word[at:end], 1)
-                if score == 1:
+        if len(best) <= size:
+            more = [0] * (size + 1 - len(best))
+            best += more
+            back += more
+        for end in range(kept + 1, size + 1):
+            at, begin, top, longer = end, -1, -1e300, endings
+            for char in backwards[size - end : size - end + longest]:
+                found = longer.get(char)
+                if found is None:
                     break  # no piece ends with this
-                if score is not None and best[at] + score >= top:
+                at -= 1
+                score, longer = found
+                if best[at] + score >= top:
                     top, begin = best[at] + score, at
-            best.append(top)
-            if begin < 0:
-                back.append(end - 1)
-                last.append(_byte_pieces(spelled, v))
-            else:
-                back.append(begin)
-                last.append(packed[word[begin:end]])
+            if word[end - 1] not in packed:
+                spelled = best[end - 1] + v.byte_score * len(_spelling(word[end - 1]))
+                if begin < 0 or spelled > top:
+                    top, begin = spelled, end - 1
+            best[end] = top
+            back[end] = begin
         before = word
-        ids, end = [], len(word)
+        ids, end = [], size
         while end:
-            ids.append(last[end])
-            end = back[end]
-        yield word, b"".join(reversed(ids))
+            begin = back[end]
+            ids.append(packed.get(word[begin:end]) or _byte_pieces(_spelling(word[begin]), v))
+            end = begin
+        ids.reverse()
+        yield word, b"".join(ids)
 
 
 def _spelling(char: str) -> bytes:
@@ -129,27 +147,38 @@ def marked(word: str) -> str:
 
 
 class Encoder:
-    """Encodes texts; remembers words, and forgets all when it knows too many.
+    """Encodes texts; remembers words. When it knows too many, those not met since it last did are forgotten.
 
     ``exact`` stays true as long as the ids of every word spell it: then all texts come back as they were.
     """
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known, self.chars, self.exact = v, {}, 0, True
+        self.v, self.known, self.older, self.chars, self.exact = v, {}, {}, 0, True
+        self.sizes = np.array([len(x) for x in v.spelled], np.int64)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of 32-bit numbers."""
         split = [marked_words(t) for t in texts]
-        if len(self.known) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
-            self.known, self.chars = {}, 0
-        new = {w for words in split for w in words}.difference(self.known)
-        spelled = {marked(w): w for w in new}
-        for word, ids in encode_words(spelled, self.v):
-            self.known[spelled[word]] = ids
-            self.chars += len(word)
-            self.exact = self.exact and spell(np.frombuffer(ids, np.int32).tolist(), self.v) == spelled[word].encode("utf-8", "surrogatepass")
+        if 2 * len(self.known) > KNOWN_WORDS or 2 * self.chars > KNOWN_CHARS:
+            self.known, self.older, self.chars = {}, self.known, 0
+        new = set().union(*split).difference(self.known)
+        again = {w for w in new if w in self.older}
+        self.known.update((w, self.older[w]) for w in again)
+        spelled = {marked(w): w for w in new.difference(again)}
+        coded = list(encode_words(spelled, self.v))
+        self.known.update((spelled[word], ids) for word, ids in coded)
+        self.chars += sum(map(len, new))
+        self.exact = self.exact and self._spelled_back([spelled[word] for word, _ in coded], [ids for _, ids in coded])
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
+    def _spelled_back(self, words: list[str], coded: list[bytes]) -> bool:
+        """Whether the ids of each word spell it: sizes are compared word by word, bytes of all words at once."""
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        ids = np.frombuffer(b"".join(coded), np.int32)
+        ends = np.cumsum([len(c) // 4 for c in coded], dtype=np.int64)
+        spelled = np.concatenate(([0], np.cumsum(self.sizes[ids])))
+        return bool((spelled[ends] == np.cumsum([len(d) for d in data], dtype=np.int64)).all()) and spell(ids.tolist(), self.v) == b"".join(data)
+
 
 def parts(texts: list[str], size: int = 1 << 18) -> Iterator[list[str]]:
     """A batch in parts of about ``size`` characters: words are many times larger as objects."""

@@ -321,3 +321,19 @@ def test_one_long_word_needs_memory_in_proportion():
     assert peak < 100_000_000
     for text, ids in zip(texts, coded):
         assert pieces.decode_ids(np.frombuffer(ids, np.int32).tolist(), v) == text
+
+
+def test_words_that_come_again_are_not_forgotten(monkeypatch):
+    """Where the words that were met no longer fit, those that the last texts had stay; rare ones go."""
+    monkeypatch.setattr(pieces, "KNOWN_WORDS", 400)
+    spelled = []
+    real = pieces.encode_words
+    monkeypatch.setattr(pieces, "encode_words", lambda words, v: (spelled.extend(words), real(words, v))[1])
+    v = pieces.load()
+    encoder = pieces.Encoder(v)
+    frequent = " ".join(f"often{i}" for i in range(50))
+    for turn in range(30):
+        texts = [frequent, " ".join(f"rare{turn}x{i}" for i in range(100))]
+        assert [pieces.decode_ids(np.frombuffer(c, np.int32).tolist(), v) for c in encoder(texts)] == texts
+        assert len(encoder.known) + len(encoder.older) <= 3 * 400
+    assert spelled.count("▁often7") == 1 and encoder.exact
