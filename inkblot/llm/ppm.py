@@ -22,7 +22,7 @@ table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +57,7 @@ def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key, begins
 
 
-def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[list[bytes]]:
+def chunks(texts: Iterable[bytes], size: int = CHUNK) -> Iterator[list[bytes]]:
     some, total = [], 0
     for t in texts:
         some.append(t)
@@ -82,14 +82,23 @@ def _first_of_each(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(keys, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
 
 
-def distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [], []
+def distinct(texts: Iterable[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of the texts with their counts. Those of a chunk join the others as soon as they are as many:
+    most come again, so that the grams of all chunks side by side would need several times the memory.
+    """
+    parts, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
     for some in chunks(texts):
         found = np.sort(grams_of(some, order)[0])
         first = _first_of_each(found)
-        keys.append(found[first])
-        counts.append(np.diff(first, append=len(found)))
-    return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        parts.append((found[first], np.diff(first, append=len(found))))
+        waiting += len(first)
+        if waiting >= max(2 * len(parts[0][0]), 3 * CHUNK // 2):
+            parts, waiting = [_merged(parts)], 0
+    return _merged(parts)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -121,20 +130,19 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_block(order: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        train, held = [], []
-        for _, texts, flags in _texts(group.column("blob")):
-            for t, f in zip(texts, flags):
-                (train if f else held).append(t)
+        def chosen(wanted: bool) -> Iterator[bytes]:  # read again for each use: a block's texts are never there at once
+            return (t for _, texts, flags in _texts(group.column("blob")) for t, f in zip(texts, flags) if bool(f) == wanted)
+
         words: Counter = Counter()
-        for t in train:
+        for t in chosen(True):
             words.update(t.split())
-        for t in held:
+        for t in chosen(False):
             words.update(dict.fromkeys(t.split(), 0))
         names = sorted(words)
         often = np.fromiter((words[w] for w in names), np.int64, len(names))
         del words
-        keys, counts = distinct(train, order)
-        asked = distinct(held, order)[0]
+        keys, counts = distinct(chosen(True), order)
+        asked = distinct(chosen(False), order)[0]
         keys, counts = summed(np.concatenate((keys, asked)), np.concatenate((counts, np.zeros(len(asked), np.int64))))
         place = np.concatenate((np.arange(len(keys), dtype=np.int32), np.arange(len(names), dtype=np.int32)))
         gram = pa.chunked_array([pa.array(keys), pa.nulls(len(names), pa.int64())]).combine_chunks()
@@ -253,14 +261,15 @@ def _score_block(order: int, id_type: pa.DataType, ends: int):
     ])
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        read = [(ids, texts, flags) for ids, texts, flags in _texts(docs.column("blob"))]
-        every = [t for _, texts, _ in read for t in texts]
+        def every() -> Iterator[bytes]:  # read again for each use, as in _count_block
+            return (t for _, texts, _ in _texts(docs.column("blob")) for t in texts)
+
         seen: set[bytes] = set()
-        for t in every:
+        for t in every():
             seen.update(t.split())
         names = sorted(seen)
         del seen
-        keys = distinct(every, order)[0]
+        keys = distinct(every(), order)[0]
         logs, often = np.empty(len(keys)), np.empty(len(names))
         for values in unpacked(back.column("blob")):
             is_word = values.column("is_word").to_numpy(zero_copy_only=False)
@@ -273,7 +282,7 @@ def _score_block(order: int, id_type: pa.DataType, ends: int):
         words = dict(zip(names, np.log10(often + 0.5).tolist()))
         unknown, end = float(np.log10(0.5)), float(np.log10(ends + 0.5))
         out = []
-        for ids, texts, flags in read:
+        for ids, texts, flags in _texts(docs.column("blob")):
             n_tokens, n_known, known, scores = [], [], [], []
             for t in texts:
                 found = list(map(words.__getitem__, t.split()))

@@ -337,3 +337,16 @@ def test_words_that_come_again_are_not_forgotten(monkeypatch):
         assert [pieces.decode_ids(np.frombuffer(c, np.int32).tolist(), v) for c in encoder(texts)] == texts
         assert len(encoder.known) + len(encoder.older) <= 3 * 400
     assert spelled.count("▁often7") == 1 and encoder.exact
+
+
+def test_grams_that_come_again_need_no_more_memory():
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(0, 200, 1 << 20, np.uint8).tobytes()
+    keys, counts = ppm.distinct([text], 5)
+    tracemalloc.start()
+    many, often = ppm.distinct((text for _ in range(16)), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (many == keys).all() and (often == 16 * counts).all()
+    assert peak < 250_000_000  # 16 bytes for each gram of each text, three times over, would be twice that
