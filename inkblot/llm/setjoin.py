@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkblot.llm.common import components, fresh, lean_batches, small_batches, text_bytes, written
+from inkblot.llm.common import components, fresh, lean_batches, small_batches, tasks_for, text_bytes, written
 
 WORDS, PERCENT = 5, 80
 SKETCH, BITS = 1 << 18, 1 << 23
@@ -129,9 +129,9 @@ def _promising(index: DataFrame, pairs: DataFrame) -> DataFrame:
     return seen.where((100 + PERCENT) * (F.col("shared") + more) >= PERCENT * (F.col("n") + F.col("m"))).select("a", "b")
 
 
-def _verified(docs: DataFrame, index: DataFrame, candidates: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, index: DataFrame, candidates: DataFrame, tasks: int) -> DataFrame:
     """Of candidate pairs (a, b), those that link, checked on whole sets."""
-    pairs = written(_promising(index, candidates), "join-promising")
+    pairs = written(_promising(index, candidates), "join-promising", tasks)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
     words = ids.groupBy(F.shiftright(bit, 5).cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(id), {BITS}) & 31 as int)))").alias("v")).toPandas()
@@ -148,7 +148,7 @@ def _verified(docs: DataFrame, index: DataFrame, candidates: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([shingles(t) for t in some], pa.list_(pa.int64()))], names=["id", "s"])
 
     rows = docs.select("doc_id", text_bytes(docs).alias("text"), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(BITS)).alias("bit")).where("doc_id is not null")
-    made = written(rows.mapInArrow(lean_batches(sets), "id long, s array<long>").join(ids, "id", "left_semi"), "join-sets")
+    made = written(rows.mapInArrow(lean_batches(sets), "id long, s array<long>").join(ids, "id", "left_semi"), "join-sets", tasks)
     left, right = made.toDF("a", "x"), made.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
@@ -156,7 +156,7 @@ def _verified(docs: DataFrame, index: DataFrame, candidates: DataFrame) -> DataF
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
+    spark, tasks = docs.sparkSession, tasks_for(docs)
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = rows.select("doc_id", text_bytes(rows).alias("text"))
@@ -171,33 +171,33 @@ def join(docs: DataFrame) -> DataFrame:
     entries = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     of_list = Window.partitionBy("token")
     lists = entries.withColumn("many", F.count("*").over(of_list)).withColumn("head", F.min(F.struct("id", "n", "pos")).over(of_list))
-    index = written(lists.where("many > 1").select("token", "id", "n", "pos", "head"), "join-index")
+    index = written(lists.where("many > 1").select("token", "id", "n", "pos", "head"), "join-index", tasks)
 
     with_head = index.where((F.col("id") != F.col("head.id")) & _compatible(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos")))
-    tried = written(with_head.select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct(), "join-heads")
-    links = written(_verified(docs, index, tried), "join-links")
-    known = written(components(links), "join-known")
+    tried = written(with_head.select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct(), "join-heads", tasks)
+    links = written(_verified(docs, index, tried, tasks), "join-links", tasks)
+    known = written(components(links, tasks=tasks), "join-known", tasks)
 
-    entries = written(_mixed(index, known), "join-mixed")
+    entries = written(_mixed(index, known), "join-mixed", tasks)
     crowded, seen = _crowded(entries), False
     for seed in range(ROUNDS):
-        crowded = written(crowded, "join-crowded")
+        crowded = written(crowded, "join-crowded", tasks)
         if crowded.isEmpty():
             break
-        pairs = written(_without(_to_heads(crowded, seed), tried), "join-heads")
-        new = written(_verified(docs, index, pairs), "join-links")
+        pairs = written(_without(_to_heads(crowded, seed), tried), "join-heads", tasks)
+        new = written(_verified(docs, index, pairs, tasks), "join-links", tasks)
         tried = tried.union(pairs)
         if new.isEmpty():
             break
         links, seen = links.union(new), True
-        known = written(components(links), "join-known")
+        known = written(components(links, tasks=tasks), "join-known", tasks)
         crowded = _crowded(_mixed(crowded, known))
     if seen:  # lists only lose components, so those that had one need no second look
-        entries = written(_mixed(entries, known), "join-mixed")
-    more = written(_without(_other_pairs(entries), tried), "join-pairs")
-    late = written(_verified(docs, index, more), "join-late")
+        entries = written(_mixed(entries, known), "join-mixed", tasks)
+    more = written(_without(_other_pairs(entries), tried), "join-pairs", tasks)
+    late = written(_verified(docs, index, more, tasks), "join-late", tasks)
     several = _several_classes(first)
-    found = components(links.union(late).union(several))
+    found = components(links.union(late).union(several), tasks=tasks)
 
     kept = first.where("bucket is null").select("doc_id", "n", "p1", "p2")
     reps = kept.where("n > 0 and doc_id is not null").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("rep"))

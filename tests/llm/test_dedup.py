@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from inkblot.llm import setjoin, suffixes
+from inkblot.llm import common, setjoin, suffixes
 from inkblot.llm.common import CLEANUP, components, written
 from tests.llm import plain
 
@@ -96,6 +96,49 @@ def test_components(spark):
     assert components(df.where("a < 0")).collect() == []
 
 
+@pytest.fixture()
+def many_partitions(spark):
+    """Shuffles into many partitions that are not put together."""
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def tasks_of(spark, group, work):
+    """What ``work`` returns, and how many tasks its jobs had."""
+    context = spark.sparkContext
+    context.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        out = work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else ())}
+    return out, sum(tracker.getStageInfo(s).numCompletedTasks for s in stages if tracker.getStageInfo(s))
+
+
+def test_few_edges_take_few_tasks(spark, many_partitions, monkeypatch):
+    edges = [(i, i + 1) for i in range(0, 400, 2)] + [(i, i * 7 % 400) for i in range(0, 400, 5)] + [(900, 901), (3, 3)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    few, tasks = tasks_of(spark, "few-edges", lambda: components(df, tasks=3).collect())
+    assert tasks < 200  # 60 in each shuffle of each round otherwise
+    monkeypatch.setattr(common, "FEW", 0)
+    many, _ = tasks_of(spark, "many-edges", lambda: components(df).collect())
+    assert sorted(few) == sorted(many) and len(few) == len({r.node for r in few})
+
+
+def test_small_tables_are_written_by_few_tasks(spark, many_partitions, make_docs):
+    counted = spark.range(1000).groupBy("id").count()
+    assert len(written(counted, "few", 4).inputFiles()) <= 4
+    docs = make_docs(near_copies(1))
+    _, tasks = tasks_of(spark, "join", lambda: setjoin.join(docs).collect())
+    assert 0 < tasks < 2600
+
+
 def byte_texts(seed):
     rng = random.Random(seed)
     passages = ["".join(rng.choice("ab é\n") for _ in range(rng.choice([99, 100, 101, 140, 300]))) for _ in range(5)]
