@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkblot.llm.common import written
+from inkblot.llm.common import tasks_for, written
 
 SLOTS, SHARDS = 4096, 16
 
@@ -110,7 +110,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: s
     are numbered within their slot only, so that no task holds a whole shard. ``map_path`` stores the map.
     """
     records = records_of(docs, slots)
-    sums = written(slot_sums(records, slots), "slot-sums")
+    sums = written(slot_sums(records, slots).repartition(1), "slot-sums")  # a row for each slot
     slot_map = written(new_map(sums, shards), "slot-map")
     if map_path:
         store_map(slot_map, map_path)
@@ -119,7 +119,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: s
         "virtual_slot", "version", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("begins"),
     )
     within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")).cast("long") - 1
-    return records.withColumn("_within", within).join(F.broadcast(begins), "virtual_slot").select(
+    return records.withColumn("_within", within).join(F.broadcast(begins), "virtual_slot").coalesce(tasks_for(docs)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("begins") + F.col("_within")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
     )

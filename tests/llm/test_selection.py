@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkblot.llm import ann, mixing, sharding, urls
+from inkblot.llm.common import tasks_for
 
 
 def plain_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
@@ -83,6 +84,24 @@ def test_shards_have_equal_bytes_and_gapless_places(make_docs, tmp_path, spark):
     assert sharding.load_map(spark, path).count() == sharding.SLOTS
 
 
+def test_records_are_written_to_no_more_files_than_tasks_read(make_docs, spark):
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = make_docs([(i, f"text {i % 90}") for i in range(300)])
+        out = sharding.shard(docs)
+        assert out.rdd.getNumPartitions() <= tasks_for(docs) < 60
+        rows = out.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 300
+    for s in range(sharding.SHARDS):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_a_map_is_edited_not_made_anew(make_docs, tmp_path, spark):
     path = str(tmp_path / "maps")
     sums = sharding.slot_sums(sharding.records_of(make_docs(shard_rows()), 512), 512).cache()
