@@ -162,3 +162,32 @@ def test_passes_gather_numbers_only(spark):
     plan = spark.createDataFrame([], schema).select(number(F.transform("fs", resolve)))._jdf.queryExecution().analyzed().toString()
     assert "array_append(" in plan and not re.search(r"array_append\([^,]*, (?:named_struct|struct)\((?:leaf|from_end)", plan)
     assert "cast(array() as array<struct<leaf" not in plan and "cast(array() as array<struct<from_end" not in plan
+
+
+def test_leaves_on_one_sheet(spark):
+    """A row's leaves are asked by every rule once, together; nothing is found across leaves, and offsets count within them."""
+    mark, nul = "\x01", "\0"
+    odd = [
+        ["10.0.0.1", None, "", "10.0.0.2 é 10.0.0.3"], ["10.0.0.", "1", "Bearer ", "abc", "12 ", "Main Street"], ["10.0.0.1", "10.0.0.2", "ü€𝄞 user=u1 zip 12345"],
+        [f"10.0.0.1{mark}10.0.0.2", mark, f"{mark}user=u", "x"], [f"10.0.0.1{nul}user=u é", "a@b.example", nul], [None, None], [""], [], [mark],
+        ["1.2.3.4.5.6.7.8", "4111-1111-1111-1111 123-45-6789", "call 212-555-0100 user=u user: v@x.example.com"], ["999.1.1.1 fe80::1 10.0.0.9"] * 40,
+    ]
+    df = spark.createDataFrame([(i, leaves) for i, leaves in enumerate(odd)], "id int, a array<string>")
+    done = scrub_columns(df, ["a"])
+    optimized = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in optimized and not re.search(r"RLIKE\(lambda|lambda \w+#\d+ RLIKE", optimized)
+    got = {r.id: r for r in done.collect()}
+    for i, leaves in enumerate(odd):
+        counters, vault = {}, {}
+        assert got[i].a == [None if v is None else brute.scrub(v, brute.doc_scan(v), counters, vault) for v in leaves], leaves
+        assert {p.placeholder: p.original for p in got[i].placed} == vault
+        for p in got[i].placed:
+            leaf = leaves[p.leaf]
+            assert leaf[p.start:p.end] == p.original == leaf.encode()[p.bstart:p.bend].decode()
+    rows = spark.createDataFrame([(i, "json", json.dumps([v for v in leaves if v is not None])) for i, leaves in enumerate(odd)], "doc_id int, fmt string, text string")
+    few, each = ScanConfig(), ScanConfig.from_mapping({"custom_rules": [{"name": "NEVER", "regex": "never to be found", "score": 1}]})  # rules of users: leaf by leaf
+    columns = ["doc_id", "text", "placed", "finding_leaves", F.transform("findings", lambda f: F.struct(f["start"], f["end"], f["bstart"], f["bend"], f["label"], f["snippet"], f["weight"], f["copies"])).alias("f")]
+    one, other = (sorted(map(repr, scrub_structured(rows, c).select(*columns).collect())) for c in (few, each))
+    assert one == other
+    one, other = (sorted(map(repr, findings_table(scrub_structured(rows, c)).select("doc_id", "ord", "leaf", "start", "end", "label", "snippet").collect())) for c in (few, each))
+    assert one == other
